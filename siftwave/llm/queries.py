@@ -5,9 +5,11 @@ from __future__ import annotations
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .mixing import OP3_SQL, op3_mix_sources
 from .quality import op8_quality_rules
+from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_substring_dedup": OP1_SQL,
     "op3_mix_sources": OP3_SQL,
     "op7_url_filter": OP7_SQL,
     "op10_decontaminate": OP10_SQL,
