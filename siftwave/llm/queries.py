@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
+from .minhash import op9_minhash_near_dedup
 from .mixing import OP3_SQL, op3_mix_sources
 from .quality import op8_quality_rules
 from .substring_dedup import OP1_SQL, op1_substring_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
