@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
+from .html_text import op6_html_text
 from .minhash import op9_minhash_near_dedup
 from .mixing import OP3_SQL, op3_mix_sources
 from .quality import op8_quality_rules
@@ -12,6 +13,7 @@ from .url_filter import OP7_SQL, op7_url_filter
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op6_html_text": op6_html_text,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
