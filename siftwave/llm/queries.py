@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .html_text import op6_html_text
+from .lm_score import op5_lm_score
 from .minhash import op9_minhash_near_dedup
 from .mixing import OP3_SQL, op3_mix_sources
 from .quality import op8_quality_rules
@@ -13,6 +14,7 @@ from .url_filter import OP7_SQL, op7_url_filter
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op5_lm_score": op5_lm_score,
     "op6_html_text": op6_html_text,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
