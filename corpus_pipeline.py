@@ -3,9 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftwave.llm.common import Scratch, table
+from siftwave.llm.decontaminate import remove_documents
+from siftwave.llm.minhash import keep_leaders
 from siftwave.llm.mixing import LIMIT, SHARE, WEIGHTS, mix
+from siftwave.llm.quality import keep_good
+from siftwave.llm.substring_dedup import remove_repeats
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or an adaptive cutoff go."""
+    return keep_good(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the least id stays. Five-word shingles, a similarity of 0.8 or more."""
+    return keep_leaders(docs, shingle=5, percent=80)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of 50 that a document with a smaller id has go; texts that lose some are their other words joined by one space."""
+    out = remove_repeats(docs)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with at least a twentieth of their words in windows of benchmark items go."""
+    return remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,10 +40,14 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_stage),
+    ("decontaminate", decontaminate_stage),
     ("mix", mix_stage),
 ]
 
-#: Near-duplicate detection and the quality sketches are not put in SQL; tests hold the stages against brute force.
+#: SQL has no signatures or components; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
