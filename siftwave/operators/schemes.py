@@ -113,7 +113,7 @@ def window_key(d: Dialect, scheme: Scheme, w: int, k: int, sigma: int, lmer: str
     if scheme.kind == "anchor":
         return scheme.order(d, f"substring({lmer}, 2 * {j} + 1)", Shape(w, l, sigma))
     r = max(scheme.r, k - 1)
-    return f"CASE WHEN {j} > 0 AND {j} > {l - r} THEN 'z' ELSE substring({lmer} || {lmer}, {d.integer(f'2 * {j} + 1')}, {2 * l}) END"
+    return f"CASE WHEN {j} > 0 AND {j} >= {l - r} THEN 'z' ELSE substring({lmer} || {lmer}, {d.integer(f'2 * {j} + 1')}, {2 * l}) END"
 
 
 def chunks(seqs: DataFrame, w: int, k: int, chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:

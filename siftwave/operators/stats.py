@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from .schemes import Scheme, cyclic
 
-#: The position before the first counts as 0, so a first sample at 0 is no change.
-CHANGED = F.expr("pos <> coalesce(prev, 0)")
+
+def changed() -> Column:
+    """The position before the first counts as 0, so a first sample at 0 is no change."""
+    return F.expr("pos <> coalesce(prev, 0)")
 
 
 def density(samples: DataFrame, *by: str) -> DataFrame:
     """n_windows, n_changes and pos_sum (a checksum); density is n_changes / n_windows."""
-    return samples.groupBy(*by).agg(F.count("*").alias("n_windows"), F.sum(CHANGED.cast("long")).alias("n_changes"), F.sum("pos").alias("pos_sum"))
+    return samples.groupBy(*by).agg(F.count("*").alias("n_windows"), F.sum(changed().cast("long")).alias("n_changes"), F.sum("pos").alias("pos_sum"))
 
 
 def distinct_positions(samples: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def positions(samples: DataFrame) -> DataFrame:
 
 def distances(samples: DataFrame) -> DataFrame:
     """(jump, n): how far each change goes."""
-    return samples.where(CHANGED).groupBy((F.col("pos") - F.coalesce("prev", F.lit(0))).alias("jump")).agg(F.count("*").alias("n"))
+    return samples.where(changed()).groupBy((F.col("pos") - F.coalesce("prev", F.lit(0))).alias("jump")).agg(F.count("*").alias("n"))
 
 
 def transfer(samples: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def transfer_power(matrix: DataFrame, doublings: int = 3) -> DataFrame:
 def sampled_kmers(samples: DataFrame, k: int) -> DataFrame:
     """(kmer, n): changes by the number that the lowest bits of the k-mer there make. samples carry bytes."""
     kmer = F.expr(f"hex(substring(bytes, cast(pos + 1 as int), {k}))")
-    return samples.where(CHANGED).select(kmer.alias("x")).groupBy(F.expr(K.low_bits("x", k)).alias("kmer")).agg(F.count("*").alias("n"))
+    return samples.where(changed()).select(kmer.alias("x")).groupBy(F.expr(K.low_bits("x", k)).alias("kmer")).agg(F.count("*").alias("n"))
 
 
 def kmer_places(samples: DataFrame, k: int) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import stats
-from .operators.schemes import get_scheme, sample
-from .plans import oracle
+from .operators.schemes import explicit_local, get_scheme, sample
+from .plans import bounds, debruijn, explore, oracle, search
 from .sources.text import sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,53 @@ def _samples_with_bytes(g: Grid, spark: SparkSession, d: str) -> DataFrame:
     return g.samples(spark, d, keep=("bytes",))
 
 
+#: (scheme, w, k, sigma, parameters, forward): exact densities; a scheme that isn't forward needs a longer circle.
+EXACT = [(n, w, k, s, {}, True) for n in ("Lex", "AntiLex", "Alternating") for w, k, s in ((2, 2, 2), (3, 2, 2), (2, 3, 2), (3, 3, 2), (4, 2, 2), (5, 3, 2), (2, 2, 3), (3, 2, 3), (3, 1, 4))]
+EXACT += [("SusLex", 6, 1, 2, {}, True), ("SusAntiLex", 8, 1, 2, {}, True), ("BdAnchor", 4, 1, 2, {"r": 0}, False), ("BdAnchor", 4, 1, 2, {"r": 1}, False)]
+
+#: Optima that searches here have found: w, k, sigma, numerator, denominator.
+OPTIMA = [(2, 2, 2, 11, 16), (3, 2, 2, 16, 32), (2, 3, 2, 20, 32), (4, 2, 2, 25, 64)]
+
+BOUNDS = [(w, k, s) for w in range(2, 13) for k in range(1, 9) for s in (2, 3, 4)]
+
+_CYCLES = grid("benchmark", "AntiLex", 4, 2, 4)
+_CYCLE = 10
+
+
+def exact_densities(spark: SparkSession, _: str) -> DataFrame:
+    out = None
+    for name, w, k, s, p, forward in EXACT:
+        row = debruijn.exact_density(spark, name + "".join(map(str, p.values())), get_scheme(name, **p), w, k, s, forward)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _grid(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(BOUNDS, "w int, k int, sigma int")
+
+
+def _choices(sigma: int, l: int, w: int) -> list[tuple[int, int]]:
+    return [(c, (c * 7 + 3) % w) for c in range(sigma**l)]
+
+
+def selections(spark: SparkSession, _: str) -> DataFrame:
+    """Exact densities of all selection functions over two letters, for w 7."""
+    out = None
+    for name, f in explore.SELECTIONS.items():
+        row = search.exact_total(search.exact_counts(spark, f, 2, 7)).select(F.lit(name).alias("selection"), "n_sampled", "n_places")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def rolling(spark: SparkSession, d: str) -> DataFrame:
+    """The least density up to each k."""
+    out = None
+    for k in range(1, 7):
+        row = stats.density(_SMALL._replace(k=k).samples(spark, d)).select(F.lit("AntiLex").alias("scheme"), F.lit(k).alias("k"), (F.col("n_changes") / F.col("n_windows")).alias("density"))
+        out = row if out is None else out.unionByName(row)
+    return stats.rolling_min(out, "scheme", "k", "density").select("scheme", "k", F.round("density", 9).alias("density"), F.round("least_so_far", 9).alias("least_so_far"))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _density(g) for name, g in DENSITIES.items()}
     out |= {
@@ -135,10 +182,57 @@ def queries() -> dict[str, Query]:
         "interval_merge": lambda s, d: stats.covered(_SMALL.samples(s, d), 4),
         "context_diff": lambda s, d: stats.only_in(stats.contexts(_samples_with_bytes(_SMALL, s, d), 8, 4), stats.contexts(_samples_with_bytes(_SMALL._replace(scheme="Lex"), s, d), 8, 4)),
         "samples_all": lambda s, d: _SMALL.samples(s, d).select("seq_id", "win", "pos"),
+        "mean_jumps": lambda s, d: stats.mean_jumps(stats.kmer_jumps(_samples_with_bytes(_SMALL, s, d), 4)),
+        "transfer_power": lambda s, d: stats.transfer_power(stats.transfer(_SMALL.samples(s, d))).select("place_from", "place_to", F.round("p", 6).alias("p")),
+        "cycle_stats": lambda s, d: stats.cycle_stats(stats.cycle_samples(_CYCLES.sequences(s, d), _CYCLE, get_scheme("AntiLex"), 4, 2, 4)),
+        "bad_cycles": lambda s, d: stats.bad_cycles(_CYCLES.sequences(s, d), _CYCLE, get_scheme("AntiLex"), 4, 2, 4),
+        "explicit_scheme": lambda s, d: explicit_local(_CYCLES.sequences(s, d), s.createDataFrame(_choices(4, 5, 4), "code long, choice int"), 4, 2, 4),
+        "window_ratio": lambda s, d: search.window_ratio(_samples_with_bytes(_SMALL, s, d), "(6561|20..)", 2, 8),
+        "rolling_min_density": rolling,
+        "debruijn_words": lambda s, d: debruijn.lyndon_words(s, 2, 8),
+        "debruijn_sequence": lambda s, d: debruijn.de_bruijn(s, 2, 3).unionByName(debruijn.de_bruijn(s, 3, 2)),
+        "cyclic_density_exact": exact_densities,
+        "bounds_grid": lambda s, d: bounds.add_bounds(_grid(s)).select("w", "k", "sigma", *[F.round(c, 9).alias(c) for c in ("trivial", "expected", "sampled_kmers", "older", "older_improved", "lower", "lower_next", "lower_smooth")]),
+        "bounds_counted": lambda s, d: bounds.counted_bound(s, 4, 4, 3),
+        "optimum_vs_bound": lambda s, d: bounds.against_optima(bounds.exact_bounds(s, BOUNDS), s.createDataFrame(OPTIMA, "w int, k int, sigma int, num long, den long")),
+        "bruteforce_orders": lambda s, d: search.best_order(s, 3, 3, 2),
+        "bruteforce_directed": lambda s, d: search.best_order(s, 3, 2, 2, True),
+        "bruteforce_local": lambda s, d: search.best_local(s, 2, 2, 2),
+        "selection_densities": selections,
+        "failing_cycles": lambda s, d: search.failing_cycles(search.exact_counts(s, explore.sus, 2, 7)),
+        "suffix_minimal_words": lambda s, d: search.suffix_minimal(s, 2, 8),
     }
     return out
 
 
+def _words_sql(sigma: int, n: int) -> str:
+    digits = " || ".join(f"CAST((c // {sigma ** (n - 1 - i)}) % {sigma} AS VARCHAR)" for i in range(n))
+    return f"SELECT {digits} AS word FROM range({sigma**n}) t(c)"
+
+
+def _lyndon_sql(sigma: int, n: int) -> str:
+    return f"SELECT word FROM ({_words_sql(sigma, n)}) WHERE len(list_filter(range(1, {n}), lambda i: word >= substring(word, i + 1) || substring(word, 1, i))) = 0"
+
+
+def _cycles_sql() -> str:
+    """Samples of each whole chunk of _CYCLE letters, with a window's letters once more at its end."""
+    texts = oracle.sequence_sql(_CYCLES.table, *TEXTS[_CYCLES.table], _CYCLES.sigma)
+    size = 2 * _CYCLE
+    parts = f"SELECT seq_id * 1000000 + c AS seq_id, substring(h, c * {size} + 1, {size}) AS h FROM (SELECT seq_id, h, unnest(range(0, length(h) // {size})) AS c FROM ({texts}))"
+    l = _CYCLES.w + _CYCLES.k - 1
+    return oracle.sample_sql(f"SELECT seq_id, h || substring(h, 1, {2 * l - 2}) AS h FROM ({parts})", get_scheme(_CYCLES.scheme), _CYCLES.w, _CYCLES.k, _CYCLES.sigma)
+
+
+def _exact_sql(case: tuple) -> str:
+    """Over the circle itself, written out, with the window's letters once more at its end."""
+    name, w, k, s, p, forward = case
+    size = s ** debruijn.exact_order(w, k, forward)
+    text = debruijn.de_bruijn_text(s, debruijn.exact_order(w, k, forward))
+    ring = "".join(f"0{c}" for c in text + text[: w + k - 2])
+    body = oracle.sample_sql(f"SELECT 0 AS seq_id, '{ring}' AS h", get_scheme(name, **p), w, k, s)
+    return f"SELECT * FROM ({body} SELECT '{name}{''.join(map(str, p.values()))}' AS scheme, {w} AS w, {k} AS k, {s} AS sigma, {size}::BIGINT AS n_text, count(DISTINCT pos % {size}) AS n_sampled FROM smp)"
+
+
 def sql() -> dict[str, str]:
     out = {name: oracle.density_sql(g.sql()) for name, g in DENSITIES.items()}
     low = lambda at: "(" + " + ".join(f"(instr('0123456789ABCDEF', substring(h, 2 * {at} + {2 * i + 2}, 1)) - 1) % 2 * {2 ** (3 - i)}" for i in range(4)) + ")::BIGINT"
@@ -164,5 +258,27 @@ def sql() -> dict[str, str]:
             SELECT seq_id, min(first) AS first, max(past) AS past FROM il GROUP BY seq_id, island""",
         "context_diff": "SELECT context FROM (" + _SMALL.sql() + ctx + ") EXCEPT SELECT context FROM (" + _SMALL._replace(scheme="Lex").sql() + ctx + ")",
         "samples_all": _SMALL.sql() + "SELECT seq_id, win, pos FROM smp",
+        "mean_jumps": _SMALL.sql() + f"SELECT {low('pos')} AS kmer, count(*) AS n, sum(pos - prev)::BIGINT AS jump_sum FROM smp WHERE pos > prev GROUP BY 1",
+        "window_ratio": _SMALL.sql() + """SELECT count(*) AS windows, sum(CASE WHEN regexp_full_match(substring(h, 2 * pos + 1, 4), '6561|20..') THEN 1 ELSE 0 END)::BIGINT AS chosen FROM smp
+            WHERE len(list_filter(range(0, 8), lambda j: regexp_full_match(substring(h, 2 * (win + j) + 1, 4), '6561|20..'))) > 0""",
+        "rolling_min_density": "SELECT scheme, k, round(density, 9) AS density, round(least(1, min(density) OVER (ORDER BY k)), 9) AS least_so_far FROM ("
+        + " UNION ALL ".join(f"SELECT 'AntiLex' AS scheme, {k} AS k, n_changes / n_windows AS density FROM ({oracle.density_sql(_SMALL._replace(k=k).sql(), '')})" for k in range(1, 7)) + ")",
+        "cycle_stats": f"SELECT samples, count(*) AS n FROM ({_cycles_sql()} SELECT seq_id, count(DISTINCT pos % {_CYCLE})::INT AS samples FROM smp GROUP BY seq_id) GROUP BY samples",
+        "explicit_scheme": "WITH seqs AS (" + oracle.sequence_sql("benchmark", "item_id", "text", 4) + """), s AS (SELECT seq_id, h, length(h) // 2 AS n FROM seqs WHERE length(h) // 2 >= 5),
+            x AS (SELECT seq_id, h, unnest(range(0, n - 4)) AS win FROM s),
+            c AS (SELECT seq_id, win, list_sum(list_transform(range(0, 5), lambda i: CAST(substring(h, 2 * win + 2 * i + 2, 1) AS BIGINT) * CAST(pow(4, 4 - i) AS BIGINT)))::BIGINT AS code FROM x)
+            SELECT seq_id, win, win + (code * 7 + 3) % 4 AS pos FROM c""",
+        "debruijn_words": " UNION ALL ".join(_lyndon_sql(2, n) for n in (1, 2, 4, 8)),
+        "debruijn_sequence": "SELECT 2 AS sigma, 3 AS ord, '0001011100' AS seq UNION ALL SELECT 3, 2, '0010211220'",
+        "cyclic_density_exact": " UNION ALL ".join(map(_exact_sql, EXACT)),
+        "bounds_grid": """WITH g AS (SELECT w::INT AS w, k::INT AS k, sigma::INT AS sigma FROM range(2, 13) a(w), range(1, 9) b(k), (VALUES (2), (3), (4)) c(sigma)),
+            n AS (SELECT *, ceil((k - 1) / w) * w + 1 AS j FROM g)
+            SELECT w, k, sigma, round(1 / w, 9) AS trivial, round(2 / (w + 1), 9) AS expected, round(pow(sigma, -k), 9) AS sampled_kmers,
+            round((1.5::DOUBLE + greatest(floor((k - w) / w), 0) + 1 / (2 * w)) / (w + k), 9) AS older, round(1.5::DOUBLE / (w + k - 0.5::DOUBLE), 9) AS older_improved,
+            round(ceil((w + k) / w) / (w + k), 9) AS lower, round(greatest(ceil((w + k) / w) / (w + k), ceil((w + j) / w) / (w + j)), 9) AS lower_next,
+            round((w + k + (w - 1)) / w / (w + k), 9) AS lower_smooth FROM n""",
+        "bounds_counted": "SELECT sum(ceil(length(word) / 4))::BIGINT AS num, 6561::BIGINT AS den FROM (" + " UNION ALL ".join(_lyndon_sql(3, n) for n in (1, 2, 4, 8)) + ")",
+        "optimum_vs_bound": "SELECT w::INT AS w, k::INT AS k, sigma::INT AS sigma, tight FROM (VALUES " + ", ".join(f"({w}, {k}, {s}, {str(bounds.forward_bound(w, k, s) * d == n)})" for w, k, s, n, d in OPTIMA) + ") t(w, k, sigma, tight)",
+        "suffix_minimal_words": f"SELECT word FROM ({_words_sql(2, 8)}) WHERE len(list_filter(range(2, 9), lambda i: substring(word, i) < word)) = 0",
     }
     return out
