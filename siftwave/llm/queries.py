@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .chat import OP2_SQL, op2_chat_rotation
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .html_text import op6_html_text
+from .licenses import OP4_SQL, op4_license_scan
 from .lm_score import op5_lm_score
 from .minhash import op9_minhash_near_dedup
 from .mixing import OP3_SQL, op3_mix_sources
@@ -13,7 +15,9 @@ from .url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_chat_rotation": op2_chat_rotation,
     "op3_mix_sources": op3_mix_sources,
+    "op4_license_scan": op4_license_scan,
     "op5_lm_score": op5_lm_score,
     "op6_html_text": op6_html_text,
     "op7_url_filter": op7_url_filter,
@@ -24,7 +28,9 @@ QUERIES = {
 
 SQL = {
     "op1_substring_dedup": OP1_SQL,
+    "op2_chat_rotation": OP2_SQL,
     "op3_mix_sources": OP3_SQL,
+    "op4_license_scan": OP4_SQL,
     "op7_url_filter": OP7_SQL,
     "op10_decontaminate": OP10_SQL,
 }
