@@ -150,3 +150,37 @@ def keep_good(df: DataFrame) -> DataFrame:
     keyed = df.withColumn("_digest", digest)
     bad = judge(keyed, keep=("_digest",)).where("not kept").select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d")).distinct()
     return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left_anti").drop("_digest")
+
+
+def _sql() -> str:
+    """DuckDB SQL of the query: quantiles from sorted values of buckets' lower ends, which is what the histograms give."""
+    fixed = {"symbols": "n_symbols * 10000 // greatest(n_words, 1)", "dup_lines": "n_dup_lines * 10000 // greatest(n_lines, 1)", "length": "word_chars * 100 // greatest(n_words, 1)"}
+    values = " UNION ALL ".join(f"SELECT r, lang, source, base_failed, '{m.name}' AS k, {fixed[m.name]} AS v, {m.per_mille} AS q, {m.spread} AS spread, {m.least} AS floor_ FROM m" for m in MEASURES)
+
+    def cut(by: str) -> str:
+        at = lambda q: f"list(low ORDER BY low)[CAST((count(*) * {q} + 999) // 1000 AS INT)]"
+        return f"SELECT {by} k, greatest(any_value(floor_), {at('any_value(q)')} + any_value(spread) * ({at('any_value(q)')} - {at('500')})) AS cutoff FROM g GROUP BY {by} k"
+
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+e AS (SELECT r, a, array_to_string(w[a:a + 4], ' ') AS gram FROM (SELECT r, w, unnest(range(1, (len(w) - 3)::BIGINT)) AS a FROM d WHERE len(w) >= 5)),
+f AS (SELECT r, a FROM e QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(a, a + 5)) AS p FROM f) GROUP BY r),
+b AS (SELECT d.r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+      (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+      (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN c ON d.r = c.r),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
+v AS ({values}),
+g AS (SELECT *, v - v % (1 << greatest(length(bin(v)) - 6, 0)::INT) AS low FROM v WHERE NOT base_failed),
+q0 AS ({cut("lang, source,")}), q1 AS ({cut("lang,")}), q2 AS ({cut("")}),
+s AS (SELECT lang, source, own, sum(own) OVER (PARTITION BY lang) AS in_lang FROM (SELECT lang, source, count(*) FILTER (NOT base_failed) AS own FROM m GROUP BY lang, source)),
+x AS (SELECT DISTINCT v.r FROM v JOIN s ON v.lang IS NOT DISTINCT FROM s.lang AND v.source IS NOT DISTINCT FROM s.source
+      LEFT JOIN q0 ON q0.k = v.k AND q0.lang IS NOT DISTINCT FROM v.lang AND q0.source IS NOT DISTINCT FROM v.source
+      LEFT JOIN q1 ON q1.k = v.k AND q1.lang IS NOT DISTINCT FROM v.lang LEFT JOIN q2 ON q2.k = v.k
+      WHERE v.v > CASE WHEN own >= {LEAST_DOCUMENTS} THEN q0.cutoff WHEN in_lang >= {LEAST_DOCUMENTS} THEN q1.cutoff ELSE q2.cutoff END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.r IS NULL AS kept FROM m LEFT JOIN x ON m.r = x.r
+"""
+
+
+OP8_SQL = _sql()

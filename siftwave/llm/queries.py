@@ -9,7 +9,7 @@ from .licenses import OP4_SQL, op4_license_scan
 from .lm_score import op5_lm_score
 from .minhash import op9_minhash_near_dedup
 from .mixing import OP3_SQL, op3_mix_sources
-from .quality import op8_quality_rules
+from .quality import OP8_SQL, op8_quality_rules
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .url_filter import OP7_SQL, op7_url_filter
 
@@ -32,5 +32,6 @@ SQL = {
     "op3_mix_sources": OP3_SQL,
     "op4_license_scan": OP4_SQL,
     "op7_url_filter": OP7_SQL,
+    "op8_quality_rules": OP8_SQL,
     "op10_decontaminate": OP10_SQL,
 }
