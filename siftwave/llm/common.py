@@ -13,11 +13,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where spark.checkpoint.dir is unset, as in tests, a local one is set."""
+    """The folder that driver and executors share. Where spark.checkpoint.dir is unset, as in tests, a local one is set once for the context."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file:///tmp/siftwave-scratch-{uuid.uuid4().hex[:12]}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(f"file:///tmp/siftwave-scratch-{uuid.uuid4().hex[:12]}")
+        root = context.getCheckpointDir()
     return root
 
 
