@@ -85,6 +85,12 @@ def is_forward(samples: DataFrame) -> DataFrame:
     return samples.groupBy("seq_id").agg(F.coalesce(F.bool_and(F.col("pos") >= F.col("prev")), F.lit(True)).alias("forward"))
 
 
+def scheme_report(samples: DataFrame) -> DataFrame:
+    """One row: n_windows, n_changes, pos_sum and forward."""
+    back = F.coalesce(F.col("pos") >= F.col("prev"), F.lit(True))
+    return samples.agg(F.count("*").alias("n_windows"), F.sum(changed().cast("long")).alias("n_changes"), F.sum("pos").alias("pos_sum"), F.bool_and(back).alias("forward"))
+
+
 def cycles(seqs: DataFrame, l: int) -> DataFrame:
     """(seq_id, bytes) for each whole chunk of l letters; seq_id is (sequence, chunk)."""
     rows = seqs.withColumn("n", F.length("bytes")).where(F.col("n") >= l)

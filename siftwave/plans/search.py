@@ -142,6 +142,23 @@ def suffix_minimal(spark: SparkSession, sigma: int, n: int) -> DataFrame:
     return words.where(F.expr(f"forall(sequence(2, {n}), i -> substring(word, i) >= word)")) if n > 1 else words
 
 
+def rank_listing(order: DataFrame) -> DataFrame:
+    """(code, rank) of an order: its k-mers with less than the greatest rank, preferred ones first."""
+    most = order.agg(F.max("rank").alias("most"))
+    return order.join(F.broadcast(most), F.col("rank") < F.col("most")).select("code", "rank").orderBy("rank", "code")
+
+
+def equivalents(choice: dict[Window, int]) -> list[dict[Window, int]]:
+    """The choices that are the same but for swapping the letters 0 and 1, reading from the other side, or both. Places count in letters of the window."""
+    swap = lambda c: {tuple(1 - v for v in x): at for x, at in c.items()}
+    turn = lambda c: {x[::-1]: len(x) - 1 - at for x, at in c.items()}
+    out: list[dict[Window, int]] = []
+    for c in (choice, swap(choice), turn(choice), turn(swap(choice))):
+        if c not in out:
+            out.append(c)
+    return out
+
+
 def window_ratio(samples: DataFrame, pattern: str, k: int, w: int) -> DataFrame:
     """(windows, chosen): windows that have a k-mer that fits the pattern (hex digits, ``.`` for any), and those whose sampled k-mer does. samples carry bytes."""
     kmer = f"hex(substring(bytes, cast(pos + 1 as int), {k}))"

@@ -182,6 +182,8 @@ def queries() -> dict[str, Query]:
         "interval_merge": lambda s, d: stats.covered(_SMALL.samples(s, d), 4),
         "context_diff": lambda s, d: stats.only_in(stats.contexts(_samples_with_bytes(_SMALL, s, d), 8, 4), stats.contexts(_samples_with_bytes(_SMALL._replace(scheme="Lex"), s, d), 8, 4)),
         "samples_all": lambda s, d: _SMALL.samples(s, d).select("seq_id", "win", "pos"),
+        "scheme_report": lambda s, d: stats.scheme_report(_BACK.samples(s, d)),
+        "rank_listing": lambda s, d: search.rank_listing(s.createDataFrame([(i, r % 40) for i, r in enumerate(_RANKS)], "code long, rank long")),
         "mean_jumps": lambda s, d: stats.mean_jumps(stats.kmer_jumps(_samples_with_bytes(_SMALL, s, d), 4)),
         "transfer_power": lambda s, d: stats.transfer_power(stats.transfer(_SMALL.samples(s, d))).select("place_from", "place_to", F.round("p", 6).alias("p")),
         "cycle_stats": lambda s, d: stats.cycle_stats(stats.cycle_samples(_CYCLES.sequences(s, d), _CYCLE, get_scheme("AntiLex"), 4, 2, 4)),
@@ -258,6 +260,8 @@ def sql() -> dict[str, str]:
             SELECT seq_id, min(first) AS first, max(past) AS past FROM il GROUP BY seq_id, island""",
         "context_diff": "SELECT context FROM (" + _SMALL.sql() + ctx + ") EXCEPT SELECT context FROM (" + _SMALL._replace(scheme="Lex").sql() + ctx + ")",
         "samples_all": _SMALL.sql() + "SELECT seq_id, win, pos FROM smp",
+        "scheme_report": _BACK.sql() + f"SELECT count(*) AS n_windows, sum(CASE WHEN {oracle.CHANGED} THEN 1 ELSE 0 END)::BIGINT AS n_changes, sum(pos)::BIGINT AS pos_sum, bool_and(coalesce(pos >= prev, true)) AS forward FROM smp",
+        "rank_listing": "SELECT code, rank FROM (SELECT i::BIGINT AS code, ((i * 37 + 11) % 64 % 40)::BIGINT AS rank FROM range(64) t(i)) WHERE rank < 39",
         "mean_jumps": _SMALL.sql() + f"SELECT {low('pos')} AS kmer, count(*) AS n, sum(pos - prev)::BIGINT AS jump_sum FROM smp WHERE pos > prev GROUP BY 1",
         "window_ratio": _SMALL.sql() + """SELECT count(*) AS windows, sum(CASE WHEN regexp_full_match(substring(h, 2 * pos + 1, 4), '6561|20..') THEN 1 ELSE 0 END)::BIGINT AS chosen FROM smp
             WHERE len(list_filter(range(0, 8), lambda j: regexp_full_match(substring(h, 2 * (win + j) + 1, 4), '6561|20..'))) > 0""",

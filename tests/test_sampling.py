@@ -161,6 +161,13 @@ def test_search(spark):
     assert search.order_of_local({(0, 1): 0, (1, 0): 0}, 2, 1) is None
 
 
+def test_equivalents():
+    c = {(0, 0): 0, (0, 1): 1, (1, 0): 0, (1, 1): 0}
+    every = search.equivalents(c)
+    assert c in every and {(1, 1): 0, (1, 0): 1, (0, 1): 0, (0, 0): 0} in every
+    assert all(c in search.equivalents(x) for x in every) and len(every) <= 4
+
+
 def test_selections(spark):
     """Every selection is a place of the window; the factors make up the word."""
     for r in debruijn.all_words(spark, 2, 7).collect():
