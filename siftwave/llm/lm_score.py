@@ -6,7 +6,7 @@ words, and the word before the last alone (a skip), each hashed into ROWS rows.
 words' own weights, which training by counts solves outright: (count + 1) / (class total + class size + 1), the one more being for unknown words.
 
 Steps: count all training words; train the weights, each shard by gradient steps over all its tokens and then the mean of all
-shards; score every text in numpy batches. The HEAD most frequent words are known to every task, which bounds what is broadcast; the
+shards; score every text in numpy batches. Up to HEAD of the most frequent words are known to every task, which bounds what is broadcast; the
 others travel to their counts, and by being rare they don't make a key hot.
 """
 
@@ -184,7 +184,15 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
     weights = np.zeros((TABLES * ROWS // 64, 64 * CLASSES), np.float32)
     for r in means.collect():  # one set of weights, whatever the input
         weights[r.block] = np.frombuffer(r.weights, np.float32)
-    head = sorted((r.h % (1 << 64), r.c) for r in counts.orderBy(F.desc("c"), "h").limit(HEAD).collect())
+    # whole levels of counts, from the top, that have HEAD words at most; so no task sends more than its share of them
+    level = F.floor(F.log2(F.col("c").cast("double")) * 8)
+    least, known = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        known += r.n
+        if known > HEAD:
+            break
+        least = r.level
+    head = sorted((r.h % (1 << 64), r.c) for r in counts.where(level >= least).select("h", "c").collect()) if least is not None else []
     model = {"weights": weights.reshape(TABLES, ROWS, CLASSES), "bias": bias, "size": size, "head": np.array([x[0] for x in head], np.uint64), "count": np.array([x[1] for x in head], np.float64)}
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, counts double, score double, rare array<struct<h: long, n: int>>"
     scored = scratch.save(docs.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
