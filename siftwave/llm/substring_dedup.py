@@ -8,8 +8,11 @@ minimiser make a super-k-mer. The steps:
    texts. Equal texts are one from here on; every copy but that with the least id loses all its windows at once.
 3. What goes on travels as one packed string to its minimiser's bucket. There its windows are sorted as strings of words, and equal
    neighbours give the windows that a document with a smaller id has too.
-4. Minimisers with more than HOT super-k-mers aren't brought together. Their windows go on one by one, as 128-bit hashes, and the least id
-   of each is found by an aggregation that combines before it shuffles. So no bucket holds more than HOT strings of a minimiser.
+4. Minimisers with more than HOT super-k-mers aren't brought together. Their windows go on as 128-bit hashes, BLOCK at a time: a block is the
+   windows in which the minimiser stands at certain places, so windows in common make blocks in common but at the ends of a passage. The
+   least id of each block is found by an aggregation that combines before it shuffles, and all documents but that lose the block. The
+   blocks of least ids alone, one of each kind, are then taken apart into windows, for which the same is done. So no bucket holds more
+   than HOT strings of a minimiser, and a passage that very many documents share moves a few rows for each of them.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from .tokens import Words, gram_hashes, mix64, sliding_min, words
 WINDOW = 50
 RUN = 8
 HOT = 256
+BLOCK = 8
 
 #: Stands for a null id: no id is greater.
 LAST = (1 << 63) - 1
@@ -83,24 +87,35 @@ def _pack(window: int):
     return of
 
 
-def _hot_windows(window: int):
-    """Batches of (did, h1, h2, text, runs) to those of (w1, w2, did, h1, h2, at), a row for each window of a hot run."""
+def _hot_blocks(window: int, run: int):
+    """Batches of (did, h1, h2, text, runs) to those of (b1, b2, did, h1, h2, at, n, w1, w2), a row for each block of a hot run; w1 and w2 are the hashes of its windows."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, runs = [b.column(i).to_numpy() for i in (0, 1, 2)], b.column(4).to_pylist()
             for w in words(b.column(3)):
-                rows, at = [], []
-                for d, row in enumerate(w.rows):
-                    own = [np.arange(r["at"], r["at"] + r["n"]) for r in runs[row] if r["hot"]]
-                    if own:
-                        at.append(np.concatenate(own) + w.first[d])
-                        rows.append(np.full(len(at[-1]), row))
-                if not rows:
+                own = [(row, int(w.first[d]) + r["at"], r["n"], r["mini"]) for d, row in enumerate(w.rows) for r in runs[row] if r["hot"]]
+                if not own:
                     continue
-                h, where, row = w.hashes(), np.concatenate(at), np.concatenate(rows)
-                both = [gram_hashes(x, window)[where].view(np.int64) for x in (h, mix64(h ^ np.uint64(0x5851F42D4C957F2D)))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*both, *(x[row] for x in ids), (where - w.first[row - w.rows.start]).astype(np.int32))], ["w1", "w2", "did", "h1", "h2", "at"])
+                row, start, n, mini = (np.array([o[i] for o in own]) for i in range(4))
+                each = np.repeat(np.arange(len(own)), n)
+                at = np.arange(len(each)) - (np.cumsum(n) - n)[each] + start[each]
+                h = w.hashes()
+                grams = gram_hashes(h, run).view(np.int64)
+                # the place of the minimiser that stands first in each window, from the last run of words backwards
+                place = np.full(len(at), -1)
+                for j in range(window - run, -1, -1):
+                    place[grams[at + j] == mini[each]] = j
+                new = np.flatnonzero(np.concatenate(([True], (each[1:] != each[:-1]) | (place[1:] != place[:-1] - 1) | (place[1:] // BLOCK != place[:-1] // BLOCK))))
+                count = np.diff(np.append(new, len(at)))
+                both = [gram_hashes(x, window)[at] for x in (h, mix64(h ^ np.uint64(0x5851F42D4C957F2D)))]
+                # first and last window overlap, so they and the number of windows are the block
+                blocks = [mix64(x[new] * np.uint64(0x9E3779B97F4A7C15) + mix64(x[new + count - 1]) + count.astype(np.uint64)).view(np.int64) for x in both]
+                ends = pa.array(np.append(new, len(at)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64))) for x in both]
+                owner = row[each[new]]
+                columns = [*blocks, *(x[owner] for x in ids), (at[new] - w.first[owner - w.rows.start]).astype(np.int32), count.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *lists], ["b1", "b2", "did", "h1", "h2", "at", "n", "w1", "w2"])
 
     return of
 
@@ -229,9 +244,15 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop("runs", "going")
     packed = texts.mapInArrow(_pack(window), "mini long, did long, h1 long, h2 long, at int, n int, packed binary").repartition("mini").sortWithinPartitions("mini")
     cold = packed.mapInArrow(_bucket(window), "h1 long, h2 long, did long, at int, n int")
-    single = texts.where(F.exists("runs", lambda r: r["hot"])).mapInArrow(_hot_windows(window), "w1 long, w2 long, did long, h1 long, h2 long, at int")
-    least = single.groupBy("w1", "w2").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most").drop("most")
-    warm = single.join(least, ["w1", "w2"]).where("least < did").select("h1", "h2", "did", "at", F.lit(1).alias("n"))
+    blocks = texts.where(F.exists("runs", lambda r: r["hot"])).mapInArrow(_hot_blocks(window, run), "b1 long, b2 long, did long, h1 long, h2 long, at int, n int, w1 array<long>, w2 array<long>")
+    blocks = scratch.save(blocks, "blocks")
+    least = blocks.groupBy("b1", "b2").agg(F.min("did").alias("least"))
+    warm = blocks.drop("w1", "w2").join(least.withColumnRenamed("least", "l"), ["b1", "b2"]).where("l < did").select("h1", "h2", "did", "at", "n")
+    first = blocks.join(least, ["b1", "b2"]).where("least = did")
+    single = first.select("did", "h1", "h2", "at", F.posexplode_outer(F.arrays_zip("w1", "w2")).alias("i", "w")).select("did", "h1", "h2", (F.col("at") + F.col("i")).alias("at"), "w.w1", "w.w2")
+    single = scratch.save(single, "single")
+    shared = single.groupBy("w1", "w2").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most").drop("most")
+    warm = warm.unionByName(single.join(shared, ["w1", "w2"]).where("least < did").select("h1", "h2", "did", "at", F.lit(1).alias("n")))
     ranges = cold.unionByName(warm).groupBy("did", "h1", "h2").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
     cut = texts.select("did", "h1", "h2", "text").join(ranges, ["did", "h1", "h2"]).select("did", "h1", "h2", "text", "ranges")
     return Repeats(owner, scratch.save(cut.mapInArrow(_cut(window), "did long, h1 long, h2 long, n_removed long, kept string").distinct(), "cut"))
