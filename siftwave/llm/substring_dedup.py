@@ -31,7 +31,7 @@ from .tokens import Words, gram_hashes, mix64, sliding_min, words
 WINDOW = 50
 RUN = 8
 HOT = 256
-BLOCK = 8
+BLOCK = 16
 
 #: Stands for a null id: no id is greater.
 LAST = (1 << 63) - 1
