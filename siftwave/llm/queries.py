@@ -9,7 +9,7 @@ from .licenses import OP4_SQL, op4_license_scan
 from .lm_score import op5_lm_score
 from .minhash import op9_minhash_near_dedup
 from .mixing import OP3_SQL, op3_mix_sources
-from .quality import OP8_SQL, op8_quality_rules
+from .quality import OP8_SQL, op8_quality_robust, op8_quality_rules
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .url_filter import OP7_SQL, op7_url_filter
 
@@ -22,6 +22,7 @@ QUERIES = {
     "op6_html_text": op6_html_text,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
+    "op8_quality_robust": op8_quality_robust,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
