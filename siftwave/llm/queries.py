@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP2_SQL, op2_chat_rotation
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .html_text import op6_html_text
+from .license_texts import op4_license_texts
 from .licenses import OP4_SQL, op4_license_scan
 from .lm_score import op5_lm_score
 from .minhash import op9_minhash_near_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_chat_rotation": op2_chat_rotation,
     "op3_mix_sources": op3_mix_sources,
     "op4_license_scan": op4_license_scan,
+    "op4_license_texts": op4_license_texts,
     "op5_lm_score": op5_lm_score,
     "op6_html_text": op6_html_text,
     "op7_url_filter": op7_url_filter,
