@@ -7,12 +7,14 @@ units, which must stand side by side.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .licenses import RULES, SENTENCES, Rule, normal
+from .license_table import ALL_RULES, ALL_SENTENCES
+from .licenses import Rule, normal
 
 #: Where units end, by view: 0 lines; 1 marks before white space, and lines that hold no letter or digit.
 ENDS = ("\n", "[.;:!?][ \t\r\n]+|\n[^a-zA-Z0-9\n]*\n")
@@ -34,7 +36,7 @@ def known_units(sentences: dict[str, str], view: int) -> tuple[dict[str, str], d
     return unit_ids, of
 
 
-def scan_texts(df: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_texts(df: DataFrame, sentences: dict[str, str] = ALL_SENTENCES, rules: tuple[Rule, ...] = ALL_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns and treatment of odd rows as in licenses.scan(). A rule matches if its sentences stand one after another in either view, other units between
     them or not; the units of one sentence stand side by side. Texts are never shuffled, only known units are."""
     digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
@@ -55,13 +57,18 @@ def scan_texts(df: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tupl
         lead = lambda x, i: F.when((i > 0) & (F.get(F.col(c), i - 1)["at"] == x["at"] - 1), "+").otherwise(",")
         return F.concat(F.array_join(F.transform(c, lambda x, i: F.concat(lead(x, i), x["id"])), ""), F.lit(","))
 
-    def pattern(rule: Rule, view: int) -> str:
-        return "[,+]" + "[,+]".join(r"\+".join(re.escape(u) for u in known[view][1][s]) for s in rule.sentences) + "[,+]"
+    def pattern(group: list[Rule], view: int) -> str:
+        fits = ("[,+]".join(r"\+".join(re.escape(u) for u in known[view][1][s]) for s in r.sentences) for r in group)
+        return f"[,+](?:{'|'.join(fits)})[,+]"
 
     ids = lambda c: F.coalesce(F.transform(c, lambda x: x["id"]), F.array().cast("array<string>"))
     out = out.select("doc_id", ids("lines").alias("line_ids"), ids("sentences").alias("sentence_ids"), chain("lines").alias("_l"), chain("sentences").alias("_s"))
-    fits = lambda r: F.coalesce(F.col("_l").rlike(pattern(r, 0)) | F.col("_s").rlike(pattern(r, 1)), F.lit(False))
-    licences = F.array_distinct(F.array_compact(F.array(*[F.when(fits(r), F.lit(r.licence)) for r in rules]))) if rules else F.array().cast("array<string>")
+    # rules for one licence that follow each other are one pattern
+    groups = [(licence, list(g)) for licence, g in groupby(rules, key=lambda r: r.licence)]
+    fits = lambda g: F.coalesce(F.col("_l").rlike(pattern(g, 0)) | F.col("_s").rlike(pattern(g, 1)), F.lit(False))
+    none = F.array().cast("array<string>")
+    some = F.array_distinct(F.array_compact(F.array(*[F.when(fits(g), F.lit(licence)) for licence, g in groups]))) if rules else none
+    licences = F.when(F.size("line_ids") + F.size("sentence_ids") > 0, some).otherwise(none)
     return out.withColumn("licences", licences).drop("_l", "_s").withColumn("licence", F.get("licences", F.lit(0)))
 
 

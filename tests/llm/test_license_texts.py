@@ -3,7 +3,8 @@
 import textwrap
 
 from siftwave.llm import licenses
-from siftwave.llm.license_texts import scan_texts
+from siftwave.llm.license_table import ALL_RULES, ALL_SENTENCES, HEADERS, SPDX
+from siftwave.llm.license_texts import known_units, scan_texts
 
 from .test_native import native
 
@@ -30,3 +31,19 @@ def test_units_of_a_sentence_stand_side_by_side(spark):
     got = sorted((str(r.doc_id), r.licence or "") for r in scan_texts(df).collect())
     assert got == [("1", ""), ("1", "MIT"), ("2", ""), ("3", "MIT"), ("5", ""), ("6", ""), ("None", "GPL-3.0")]
     assert scan_texts(df.limit(0)).collect() == [] and not any(r.licence for r in scan_texts(df, rules=()).collect())
+
+
+def test_common_licences(spark):
+    """Headers wrapped, SPDX lines and notices that grant nothing; those of op4_license_scan are unknown to most of them."""
+    rows = [(f"{i}", f"Notice\n\n{wrap(s, '# ')}\n\nrest", licence) for i, (licence, s) in HEADERS.items()]
+    rows += [(x, f"# SPDX-License-Identifier: {x}\nimport x", licence) for licence, xs in SPDX.items() for x in xs]
+    rows += [("reserved", "Copyright 2021 X.\nAll rights reserved.\nMore text", "LicenseRef-All-Rights-Reserved"), ("none", "no rights at all.", None), ("grant", "x. Released under the Mozilla Public License 2.0. y", "MPL-2.0")]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    assert {r.doc_id: r.licence for r in scan_texts(df).collect()} == {i: licence for i, _, licence in rows}
+
+
+def test_no_two_licences_share_a_sentence():
+    for view in (0, 1):
+        of, seen = known_units(ALL_SENTENCES, view)[1], {}
+        for r in ALL_RULES:
+            assert seen.setdefault(tuple(tuple(of[s]) for s in r.sentences), r.licence) == r.licence
