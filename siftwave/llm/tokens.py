@@ -12,31 +12,22 @@ import pyarrow.compute as pc
 #: Bytes of text looked at together, so that memory doesn't follow the batch. A longer document is a chunk of its own.
 CHUNK = 1 << 21
 
+#: Bytes hashed together.
+PIECE = 1 << 16
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GRAM = np.uint64(0xD1342543DE82EF95)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
+#: Two hashes of a word are independent: a byte at a place has a random number of its own in each.
+_SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0xA24BAED4963EE407))
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_TABLE: dict[str, np.ndarray] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_TABLE.get("up", ())) < n:
-        size = max(n, CHUNK + 1)
-        _TABLE["up"], _TABLE["down"] = _powers(_BASE, size), _powers(_INVERSE, size)
-    return _TABLE["up"], _TABLE["down"]
+#: Places of a word whose numbers are looked up; those of later ones are worked out.
+_PLACES = 64
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -61,22 +52,44 @@ class Words(NamedTuple):
         """Words lo up to hi, joined by one space."""
         return b" ".join(self.data[self.starts[lo] : self.ends[hi - 1]].tobytes().split()) if hi > lo else b""
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes: the sum of the random numbers that its bytes have at their places. which: 0 or 1, two independent hashes."""
         out, lo = np.empty(len(self.starts), np.uint64), 0
-        while lo < len(out):  # as many words as fit into a chunk, one at least
+        while lo < len(out):  # some words at a time, one at least, so that what is looked at stays in the processor's cache
             at = self.starts[lo]
-            hi = max(lo + 1, int(np.searchsorted(self.ends, at + CHUNK, "right")))
-            piece = self.data[at : self.ends[hi - 1]]
-            up, down = _tables(len(piece) + 1)
-            sums = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=sums[1:])
-            s, e = self.starts[lo:hi] - at, self.ends[lo:hi] - at
-            out[lo:hi] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _GRAM)
+            hi = max(lo + 1, int(np.searchsorted(self.ends, at + PIECE, "right")))
+            starts, size = (self.starts[lo:hi] - at).astype(np.int32), (self.ends[lo:hi] - self.starts[lo:hi]).astype(np.int32)
+            first = np.cumsum(size, dtype=np.int32) - size
+            every = np.arange(int(size.sum()), dtype=np.int32)
+            data = self.data[at : self.ends[hi - 1]][every + np.repeat(starts - first, size)]
+            out[lo:hi] = mix64(np.add.reduceat(_numbers(data, every - np.repeat(first, size), which), first))
             lo = hi
         return out
 
 
+def _random(key: np.ndarray, which: int) -> np.ndarray:
+    return mix64(key * _STEP ^ _SEEDS[which])
+
+
+_LOOKUP = [_random(np.arange(1, 256 * _PLACES + 1, dtype=np.uint64), which) for which in (0, 1)]
+
+
+def _numbers(data: np.ndarray, place: np.ndarray, which: int) -> np.ndarray:
+    out = _LOOKUP[which][np.minimum(place, _PLACES - 1) * 256 + data]
+    far = np.flatnonzero(place >= _PLACES)
+    out[far] = _random(place[far].astype(np.uint64) * np.uint64(256) + data[far] + np.uint64(1), which)
+    return out
+
+
+def digests(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the numbers h[start] up to h[start + size], in their order, for each start and size (1 at least)."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    return mix64(np.add.reduceat(mix64(h[place + np.repeat(start, size)] + place.astype(np.uint64) * _STEP), first))
+
+
 def _column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = pc.fill_null(column, "")
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
