@@ -43,6 +43,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def boxed(df: DataFrame, **more: Column) -> DataFrame:
+    """All of df's columns as one struct, ``row``, beside ``more`` columns: no name of df's can clash with those. ``select("row.*")`` gives them back."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; nothing else changes."""
     return F.translate(c, UPPER, LOWER)

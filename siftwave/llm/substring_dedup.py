@@ -8,11 +8,12 @@ minimiser make a super-k-mer. The steps:
    texts. Equal texts are one from here on; every copy but that with the least id loses all its windows at once.
 3. What goes on travels as one packed string to its minimiser's bucket. There its windows are sorted as strings of words, and equal
    neighbours give the windows that a document with a smaller id has too.
-4. Minimisers with more than HOT super-k-mers aren't brought together. Their windows go on as 128-bit hashes, BLOCK at a time: a block is the
-   windows in which the minimiser stands at certain places, so windows in common make blocks in common but at the ends of a passage. The
-   least id of each block is found by an aggregation that combines before it shuffles, and all documents but that lose the block. The
-   blocks of least ids alone, one of each kind, are then taken apart into windows, for which the same is done. So no bucket holds more
-   than HOT strings of a minimiser, and a passage that very many documents share moves a few rows for each of them.
+4. Minimisers with more than HOT super-k-mers aren't brought together. Their windows are looked at by 128-bit hashes of words, from the coarse to
+   the fine: super-k-mers, blocks and quarters of the windows in which a minimiser stands at certain places, and single windows. A
+   text has a row for each different unit, with all places where it stands. At each level the least id of each unit is found by an aggregation that combines before it shuffles. All documents but
+   that one lose the unit, and only the unit of the least id is taken apart, as it has whatever window another has in that unit.
+   All windows of a block have some words in common, its core; a block whose core is in one document alone has no repeated window and isn't taken
+   apart. So no key brings many rows together, and a passage that very many documents share moves a few rows for each of them.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
-from .tokens import Words, gram_hashes, mix64, sliding_min, words
+from .common import WORD, Scratch, boxed, table
+from .tokens import Words, digests, gram_hashes, mix64, sliding_min, words
 
 WINDOW = 50
 RUN = 8
 HOT = 256
-BLOCK = 16
+
+#: Places of a minimiser in a block and in a quarter.
+BLOCKS = (16, 4)
 
 #: Stands for a null id: no id is greater.
 LAST = (1 << 63) - 1
@@ -87,39 +90,96 @@ def _pack(window: int):
     return of
 
 
-def _hot_blocks(window: int, run: int):
-    """Batches of (did, h1, h2, text, runs) to those of (b1, b2, did, h1, h2, at, n, w1, w2), a row for each block of a hot run; w1 and w2 are the hashes of its windows."""
+def _both(w: Words, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Two independent hashes of the words from each start on, as many as size says."""
+    return [digests(w.hashes(i), start, size).view(np.int64) for i in (0, 1)]
+
+
+def _once(row: np.ndarray, hashes: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Of units that are alike in a row, the first; and all their places."""
+    order = np.lexsort((at, *hashes, row))
+    keys = [x[order] for x in (row, *hashes)]
+    new = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+    return order[new], pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array(at[order].astype(np.int32)))
+
+
+def _hot_runs(window: int):
+    """Batches of (did, h1, h2, text, runs) to those of (id1, id2, did, h1, h2, ats, n): hot super-k-mers."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, runs = [b.column(i).to_numpy() for i in (0, 1, 2)], b.column(4).to_pylist()
+            for w in words(b.column(3)):
+                own = [(row, int(w.first[d]), r["at"], r["n"]) for d, row in enumerate(w.rows) for r in runs[row] if r["hot"]]
+                if own:
+                    row, first, at, n = (np.array([o[i] for o in own]) for i in range(4))
+                    hashes = _both(w, at + first, n + window - 1)
+                    one, ats = _once(row, hashes, at)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[one]) for x in hashes), *(pa.array(x[row[one]]) for x in ids), ats, pa.array(n[one].astype(np.int32))], ["id1", "id2", "did", "h1", "h2", "ats", "n"])
+
+    return of
+
+
+def _places(w: Words, start: np.ndarray, window: int, run: int) -> np.ndarray:
+    """Of each window by its first word: where in it the least run of words stands, the first of equals."""
+    grams = gram_hashes(w.hashes(), run)
+    best, place = grams[start], np.zeros(len(start), np.int64)
+    for j in range(1, window - run + 1):
+        other = grams[start + j]
+        place[other < best] = j
+        best = np.minimum(best, other)
+    return place
+
+
+def _blocks(window: int, run: int):
+    """Batches of (did, h1, h2, text, own), own being places and lengths of super-k-mers, to those of (id1, id2, core1, core2, did, h1, h2, ats, n, parts): blocks, their parts being quarters, and theirs windows, whose places count from the block's."""
+    sizes = [min(s, window) for s in BLOCKS]
+
+    def units(w: Words, start: np.ndarray, mark: np.ndarray, apart: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """First window and number of windows of each unit, and the hashes of units and cores. mark: where each window's minimiser stands; apart: windows that don't go with the one before."""
+        slot = (mark - start) // size
+        new = np.flatnonzero(apart | np.concatenate(([True], slot[1:] != slot[:-1])))
+        count = np.diff(np.append(new, len(start)))
+        return new, count, _both(w, start[new], count + window - 1), _both(w, mark[new] - size * slot[new], np.full(len(new), window - size + 1))
+
+    def lists(ends: np.ndarray, columns: dict) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns)))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, runs = [b.column(i).to_numpy() for i in (0, 1, 2)], b.column(4).to_pylist()
             for w in words(b.column(3)):
-                own = [(row, int(w.first[d]) + r["at"], r["n"], r["mini"]) for d, row in enumerate(w.rows) for r in runs[row] if r["hot"]]
+                own = [(row, int(w.first[d]), at, r["n"]) for d, row in enumerate(w.rows) for r in runs[row] for at in r["ats"]]
                 if not own:
                     continue
-                row, start, n, mini = (np.array([o[i] for o in own]) for i in range(4))
+                row, first, at, n = (np.array([o[i] for o in own]) for i in range(4))
                 each = np.repeat(np.arange(len(own)), n)
-                at = np.arange(len(each)) - (np.cumsum(n) - n)[each] + start[each]
-                h = w.hashes()
-                grams = gram_hashes(h, run).view(np.int64)
-                # the place of the minimiser that stands first in each window, from the last run of words backwards
-                place = np.full(len(at), -1)
-                for j in range(window - run, -1, -1):
-                    place[grams[at + j] == mini[each]] = j
-                new = np.flatnonzero(np.concatenate(([True], (each[1:] != each[:-1]) | (place[1:] != place[:-1] - 1) | (place[1:] // BLOCK != place[:-1] // BLOCK))))
-                count = np.diff(np.append(new, len(at)))
-                both = [gram_hashes(x, window)[at] for x in (h, mix64(h ^ np.uint64(0x5851F42D4C957F2D)))]
-                # first and last window overlap, so they and the number of windows are the block
-                blocks = [mix64(x[new] * np.uint64(0x9E3779B97F4A7C15) + mix64(x[new + count - 1]) + count.astype(np.uint64)).view(np.int64) for x in both]
-                ends = pa.array(np.append(new, len(at)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64))) for x in both]
-                owner = row[each[new]]
-                columns = [*blocks, *(x[owner] for x in ids), (at[new] - w.first[owner - w.rows.start]).astype(np.int32), count.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *lists], ["b1", "b2", "did", "h1", "h2", "at", "n", "w1", "w2"])
+                start = np.arange(len(each)) - (np.cumsum(n) - n)[each] + (at + first)[each]
+                mark = start + _places(w, start, window, run)
+                apart = np.concatenate(([True], (each[1:] != each[:-1]) | (mark[1:] != mark[:-1])))
+                coarse, count, hashes, cores = units(w, start, mark, apart, sizes[0])
+                apart[coarse] = True
+                fine, few, own_hashes, own_cores = units(w, start, mark, apart, sizes[1])
+                single = _both(w, start, np.full(len(start), window))
+                parts = lists(np.append(fine, len(start)), {"id1": single[0], "id2": single[1]})
+                of_block = np.searchsorted(coarse, fine, "right") - 1
+                offset = (start[fine] - start[coarse][of_block]).astype(np.int32)
+                quarters = {"id1": own_hashes[0], "id2": own_hashes[1], "core1": own_cores[0], "core2": own_cores[1], "at": offset, "n": few.astype(np.int32), "parts": parts}
+                quarters = lists(np.append(np.searchsorted(fine, coarse), len(fine)), quarters)
+                owner = row[each[coarse]]
+                one, ats = _once(owner, hashes, start[coarse] - first[each[coarse]])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x[one]) for x in (*hashes, *cores)), *(pa.array(x[owner[one]]) for x in ids), ats, pa.array(count[one].astype(np.int32)), quarters.take(pa.array(one))],
+                    ["id1", "id2", "core1", "core2", "did", "h1", "h2", "ats", "n", "parts"],
+                )
 
     return of
 
 
+_UNIT = "id1: long, id2: long, core1: long, core2: long"
+_BLOCK = f"{_UNIT.replace(':', '')}, did long, h1 long, h2 long, ats array<int>, n int, parts array<struct<{_UNIT}, at: int, n: int, parts: array<struct<id1: long, id2: long>>>>"
+
+
 def _repeats(group: list[tuple], window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(did, h1, h2, at, n): runs of windows that a smaller id has too. group: (did, h1, h2, at, n, packed) of one minimiser."""
     by: dict[bytes, list[tuple]] = {}
@@ -181,8 +241,9 @@ def _covered(ranges: list[dict], n_words: int, window: int) -> np.ndarray:
     """Of each word, whether a window in ranges covers it."""
     step = np.zeros(n_words + 1, np.int64)
     for r in ranges:
-        step[r["at"]] += 1
-        step[r["at"] + r["n"] + window - 1] -= 1
+        for at in r["ats"]:
+            step[at] += 1
+            step[at + r["n"] + window - 1] -= 1
     return np.cumsum(step[:-1]) > 0
 
 
@@ -235,27 +296,44 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = _keyed(df, id_col, text_col)
     owner = scratch.save(docs.groupBy("h1", "h2").agg(F.min("did").alias("first")), "owner")
     runs = scratch.save(docs.select("h1", "h2", "text").mapInArrow(_super_kmers(window, run), "mini long, h1 long, h2 long, at int, n int"), "runs")
-    shared = runs.groupBy("mini").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count("*").alias("c")).where("a < b").select("mini", (F.col("c") > hot).alias("hot"))
+    # a table of its own, so that the join's sides are plain shuffles and a minimiser with very many runs can be split
+    shared = scratch.save(runs.groupBy("mini").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count("*").alias("c")).where("a < b").select("mini", (F.col("c") > hot).alias("hot")), "shared")
     # a run for each text and place; copies of a text have the same
     going = runs.join(shared, "mini").groupBy("h1", "h2", "at").agg(F.first("n").alias("n"), F.first("mini").alias("mini"), F.first("hot").alias("hot"))
     going = going.groupBy("h1", "h2").agg(F.collect_list(F.struct("mini", "at", "n", "hot")).alias("runs"))
     going = scratch.save(going.join(owner, ["h1", "h2"]).withColumnRenamed("first", "did"), "going")
     texts = scratch.save(docs.drop("doc_id").join(going, ["did", "h1", "h2"]).select("did", "h1", "h2", "text", "runs"), "texts")
-    scratch.drop("runs", "going")
+    scratch.drop("runs", "shared", "going")
     packed = texts.mapInArrow(_pack(window), "mini long, did long, h1 long, h2 long, at int, n int, packed binary").repartition("mini").sortWithinPartitions("mini")
-    cold = packed.mapInArrow(_bucket(window), "h1 long, h2 long, did long, at int, n int")
-    blocks = texts.where(F.exists("runs", lambda r: r["hot"])).mapInArrow(_hot_blocks(window, run), "b1 long, b2 long, did long, h1 long, h2 long, at int, n int, w1 array<long>, w2 array<long>")
-    blocks = scratch.save(blocks, "blocks")
-    least = blocks.groupBy("b1", "b2").agg(F.min("did").alias("least"))
-    warm = blocks.drop("w1", "w2").join(least.withColumnRenamed("least", "l"), ["b1", "b2"]).where("l < did").select("h1", "h2", "did", "at", "n")
-    first = blocks.join(least, ["b1", "b2"]).where("least = did")
-    single = first.select("did", "h1", "h2", "at", F.posexplode_outer(F.arrays_zip("w1", "w2")).alias("i", "w")).select("did", "h1", "h2", (F.col("at") + F.col("i")).alias("at"), "w.w1", "w.w2")
-    single = scratch.save(single, "single")
-    shared = single.groupBy("w1", "w2").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most").drop("most")
-    warm = warm.unionByName(single.join(shared, ["w1", "w2"]).where("least < did").select("h1", "h2", "did", "at", F.lit(1).alias("n")))
-    ranges = cold.unionByName(warm).groupBy("did", "h1", "h2").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
+    gone = [packed.mapInArrow(_bucket(window), "h1 long, h2 long, did long, at int, n int").select("h1", "h2", "did", F.array("at").alias("ats"), "n")]
+
+    def owned(units: DataFrame) -> DataFrame:
+        """The units of least ids; the others' windows are gone. The joins' keys have the id, so none is hot."""
+        least = units.groupBy("id1", "id2").agg(F.min("did").alias("did"))
+        gone.append(units.join(least, ["id1", "id2", "did"], "left_anti").select("h1", "h2", "did", "ats", "n"))
+        kept = units.join(least, ["id1", "id2", "did"], "left_semi")
+        if "core1" in units.columns:
+            alone = units.groupBy("core1", "core2").agg(F.min("did").alias("did"), F.max("did").alias("most")).where("did = most").drop("most")
+            kept = kept.join(alone, ["core1", "core2", "did"], "left_anti")
+        return kept
+
+    moved = lambda by: F.transform("ats", lambda a: a + by).alias("ats")
+    hot_runs = scratch.save(texts.where(F.exists("runs", lambda r: r["hot"])).mapInArrow(_hot_runs(window), "id1 long, id2 long, did long, h1 long, h2 long, ats array<int>, n int"), "hot-runs")
+    own = owned(hot_runs).groupBy("did", "h1", "h2").agg(F.collect_list(F.struct("ats", "n")).alias("own"))
+    blocks = scratch.save(texts.drop("runs").join(own, ["did", "h1", "h2"]).mapInArrow(_blocks(window, run), _BLOCK), "blocks")
+    quarters = owned(blocks).select("did", "h1", "h2", "ats", F.explode("parts").alias("x"))
+    quarters = scratch.save(quarters.select("x.id1", "x.id2", "x.core1", "x.core2", "did", "h1", "h2", moved(F.col("x.at")), "x.n", "x.parts"), "quarters")
+    single = owned(quarters).select("did", "h1", "h2", "ats", F.posexplode("parts").alias("i", "x"))
+    single = scratch.save(single.select("x.id1", "x.id2", "did", "h1", "h2", moved(F.col("i")), F.lit(1).alias("n")), "windows")
+    owned(single)
+    every = gone[0]
+    for more in gone[1:]:
+        every = every.unionByName(more)
+    ranges = every.groupBy("did", "h1", "h2").agg(F.collect_list(F.struct("ats", "n")).alias("ranges"))
     cut = texts.select("did", "h1", "h2", "text").join(ranges, ["did", "h1", "h2"]).select("did", "h1", "h2", "text", "ranges")
-    return Repeats(owner, scratch.save(cut.mapInArrow(_cut(window), "did long, h1 long, h2 long, n_removed long, kept string").distinct(), "cut"))
+    cut = scratch.save(cut.mapInArrow(_cut(window), "did long, h1 long, h2 long, n_removed long, kept string").distinct(), "cut")
+    scratch.drop("texts", "hot-runs", "blocks", "quarters", "windows")
+    return Repeats(owner, cut)
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
@@ -270,17 +348,17 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
-    """All rows of df with their columns. Texts that lose words are their kept words joined by one space, the rest stay as they are, null too."""
+    """All rows of df with their columns, whatever their names. Texts that lose words are their kept words joined by one space, the rest stay as they are, null too. An empty table gives an empty table."""
     found = find_repeats(df, id_col, text_col, window, **options)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = df.withColumns({"_did": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)})
+    keyed = boxed(df, did=F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), h1=F.xxhash64(text), h2=F.xxhash64(F.lit(7), text), text=F.col(text_col))
     # owners and cuts meet by the rows' keys alone; texts then move once, to what they lose
-    keys = keyed.select("_did", "_h1", "_h2", (F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) >= window).alias("_long")).distinct()
-    owner, cut = found.owner.withColumnsRenamed({"h1": "_h1", "h2": "_h2"}), found.cut.withColumnsRenamed({"did": "_did", "h1": "_h1", "h2": "_h2"})
-    change = keys.join(owner, ["_h1", "_h2"]).join(cut, ["_did", "_h1", "_h2"], "left").withColumn("_copy", F.col("_long") & (F.col("_did") > F.col("first")))
-    change = change.where(F.col("_copy") | F.col("kept").isNotNull()).select("_did", "_h1", "_h2", F.when(F.col("_copy"), F.lit("")).otherwise(F.col("kept")).alias("_kept"))
-    out = keyed.join(change, ["_did", "_h1", "_h2"], "left")
-    return out.select(*[F.coalesce("_kept", F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    keys = keyed.select("did", "h1", "h2", (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) >= window).alias("long")).distinct()
+    change = keys.join(found.owner, ["h1", "h2"]).join(found.cut, ["did", "h1", "h2"], "left").withColumn("copy", F.col("long") & (F.col("did") > F.col("first")))
+    change = change.where(F.col("copy") | F.col("kept").isNotNull()).select("did", "h1", "h2", F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("kept"))
+    out = keyed.drop("text").join(change, ["did", "h1", "h2"], "left")
+    own = lambda c: F.col("row").getField(c)
+    return out.select(*[(F.coalesce("kept", own(c)) if c == text_col else own(c)).alias(c) for c in df.columns])
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,51 @@ def test_remove(docs, corpus):
         assert gone > 0 or (i, t) in unchanged
 
 
+def test_clashing_names(docs):
+    """A row's own columns may have any name that the operator uses."""
+    names = {"lang": "did", "source": "h1", "n_chars": "h2", "words": "kept", "label": "row"}
+    got, plain = S.remove_repeats(docs.withColumnsRenamed(names)), S.remove_repeats(docs)
+    assert got.columns == [names.get(c, c) for c in plain.columns]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+
+
+def morse(n):
+    """The Thue-Morse word and its complement: polynomials modulo powers of two can't tell them apart."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide(spark):
+    a, b = morse(1024)
+    common = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, f"{common} {x} {common}") for i, x in enumerate([a, b, a])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (256, 1):
+        got = [tuple(r) for r in S.report(df, hot=hot).collect()]
+        assert sorted(got) == sorted(brute(rows)) and sorted(r[2] for r in got) == [0, 0, 61]
+
+
+def test_hot_passages(spark):
+    """Passages of many lengths in very different surroundings, some with a word changed, by way of hot minimisers."""
+    import random
+
+    r = random.Random(3)
+    text = lambda n: [f"{r.randrange(10**6)}" for _ in range(n)]
+    shared = [text(n) for n in (50, 51, 64, 120, 400)]
+    rows = []
+    for i in range(60):
+        parts = text(r.randrange(40))
+        for p in r.sample(shared, 2):
+            lo = r.randrange(0, len(p) - 49)
+            p = list(p[lo:])
+            if i % 5 == 0:
+                p[r.randrange(len(p))] = "x"
+            parts += [*p, *text(r.randrange(30))]
+        rows.append((i, " ".join(parts)))
+    got = [tuple(x) for x in S.report(spark.createDataFrame(rows, "doc_id long, text string"), hot=3).collect()]
+    assert sorted(got) == sorted(brute(rows)) and sum(x[2] > 0 for x in got) > 30
+
+
 def test_empty(empty):
     assert S.report(empty).collect() == []
     assert S.remove_repeats(empty).collect() == []
