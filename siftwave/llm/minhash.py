@@ -12,10 +12,11 @@ least MATCHES coordinates agree. The steps:
    are all in one component are done, and in the others the least node, which has met all others, leaves.
 5. What is open after ROUNDS rounds are lists of many nodes that resemble each other without being linked, like texts around one
    passage. Their nodes are posted once more, under the rarest fifth of their shingles: two sets with 80% in common share one of these, and
-   nodes with enough words of their own are posted nowhere. These lists are merged in blocks of nodes, which keeps only pairs of
-   different components whose longer sketches, of SKETCH bytes, agree to within 10 points of the similarity asked for.
+   nodes with enough words of their own are posted nowhere. Lists led by the same node are merged. In each list the nodes of its largest component meet all others, and the
+   others meet each other, in blocks of sets. A block's common shingles are counted for all its pairs by one product of matrices, and only
+   links that join two components leave it, fewer than it has nodes.
 
-So the work on a large group of near copies, or of texts with a passage in common, grows with its size, not with its square.
+So what moves for a large group of near copies, or of texts with a passage in common, grows with its size, not with its square.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, boxed, table
 from .components import components
 from .tokens import Words, gram_hashes, mix64, words
 
@@ -38,33 +39,34 @@ PERCENT = 80
 SIZE = 64
 MATCHES = 37
 ROUNDS = 2
-BLOCK = 256
 
-#: Coordinates of the sketches of step 5. At 80%, fewer than 70% of them agree once in a hundred million pairs.
-SKETCH = 512
+#: Shingles in a block of step 5, in its sets taken together, each of which counts as LIGHT at least; and columns of a matrix.
+BLOCK = 1 << 19
+LIGHT = 512
+COLUMNS = 4096
 
 #: Stands for a null id: no id is greater.
 LAST = (1 << 63) - 1
 
 
-def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each document: document, then hash, in order. With fewer words than n, all of them are one; without words there is none."""
-    h, count = w.hashes(), np.diff(w.first)
+def shingles(w: Words, n: int, second: bool = False) -> tuple[np.ndarray, ...]:
+    """The distinct shingles of each document: document, then hash, in order; second: an independent hash beside them. With fewer words than n, all of them are one; without words there is none."""
+    count = np.diff(w.first)
     many = np.maximum(count - n + 1, 0)
     doc = np.repeat(np.arange(len(count)), many)
     at = np.arange(len(doc)) - (np.cumsum(many) - many)[doc] + w.first[doc]
-    hashes = gram_hashes(h, n)[at] if len(at) else np.zeros(0, np.uint64)
-    docs, all_hashes = [doc], [hashes]
-    for m in range(1, n):
-        few = np.flatnonzero(count == m)
-        if len(few):
-            docs.append(few)
-            all_hashes.append(gram_hashes(h, m)[w.first[few]] ^ np.uint64(m))
-    doc, hashes = np.concatenate(docs), np.concatenate(all_hashes)
-    order = np.lexsort((hashes, doc))
-    doc, hashes = doc[order], hashes[order]
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1]))) if len(doc) else np.zeros(0, bool)
-    return doc[new], hashes[new]
+    docs = [doc, *(np.flatnonzero(count == m) for m in range(1, n))]
+
+    def hashed(h: np.ndarray) -> np.ndarray:
+        found = [gram_hashes(h, n)[at] if len(at) else np.zeros(0, np.uint64)]
+        found += [gram_hashes(h, m)[w.first[few]] ^ np.uint64(m) if len(few) else np.zeros(0, np.uint64) for m, few in enumerate(docs[1:], 1)]
+        return np.concatenate(found)
+
+    doc, h = np.concatenate(docs), hashed(w.hashes())
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))) if len(doc) else np.zeros(0, bool)
+    return (doc[new], h[new], hashed(w.hashes(1))[order][new]) if second else (doc[new], h[new])
 
 
 def _signatures(n: int, size: int):
@@ -75,7 +77,7 @@ def _signatures(n: int, size: int):
         times, plus = seeds[:size] | np.uint64(1), seeds[size:]
         for b in batches:
             for w in words(b.column(3), fold=True):
-                doc, h = shingles(w, n)
+                doc, h, other = shingles(w, n, True)
                 count = np.bincount(doc, minlength=len(w.rows))
                 has = np.flatnonzero(count)
                 first = (np.cumsum(count) - count)[has]
@@ -83,7 +85,7 @@ def _signatures(n: int, size: int):
                 sig = np.zeros((len(has), size), np.uint32)
                 if len(has):
                     s[0, has] = np.add.reduceat(mix64(h), first)
-                    s[1, has] = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), first)
+                    s[1, has] = np.add.reduceat(mix64(other), first)
                     for i in range(size):
                         sig[:, i] = np.minimum.reduceat(h * times[i] + plus[i], first) >> np.uint64(32)
                 ends = np.concatenate(([0], np.cumsum((count > 0) * size))).astype(np.int32)
@@ -94,61 +96,113 @@ def _signatures(n: int, size: int):
     return of
 
 
-def _confirm(n: int, percent: int):
-    """Batches of (a, b, text of a, text of b) to those (a, b) whose sets are similar enough. Nodes come as (did, t) in columns of their own."""
+def exact_shingles(columns: list[pa.Array], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text column: document and shingle of its distinct shingles. Shingles are numbered by their words themselves, alike in all columns."""
+    ids, counts = [], []
+    for column in columns:
+        for w in words(column, fold=True):
+            size = w.ends - w.starts
+            ends = np.concatenate(([0], np.cumsum(size)))
+            data = w.data[np.arange(ends[-1]) + np.repeat(w.starts - ends[:-1], size)]
+            ids.append(pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]))
+            counts.append(np.diff(w.first))
+    if not ids:
+        return [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in columns]
+    word, count = pa.concat_arrays(ids).dictionary_encode().indices.to_numpy().astype(np.int64), np.concatenate(counts)
+    # documents of fewer words are filled up with a word that is none
+    size = np.where(count > 0, np.maximum(count, n), 0)
+    doc = np.repeat(np.arange(len(count)), size)
+    at = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+    padded = np.full(len(doc), -1)
+    padded[at < count[doc]] = word
+    gram = padded
+    for i in range(1, n):
+        gram = pa.array(gram[: len(padded) - i] * (len(word) + 2) + padded[i:] + 1).dictionary_encode().indices.to_numpy().astype(np.int64)
+    whole = np.flatnonzero(at <= size[doc] - n)
+    keys = np.unique(doc[whole] * (len(padded) + 1) + gram[whole])
+    doc, gram = np.divmod(keys, len(padded) + 1)
+    firsts = np.cumsum([0, *(len(c) for c in columns)])
+    cuts = np.searchsorted(doc, firsts)
+    return [(doc[lo:hi] - first, gram[lo:hi]) for lo, hi, first in zip(cuts[:-1], cuts[1:], firsts[:-1], strict=True)]
+
 
-    def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = [(doc + w.rows.start, h) for w in words(column, fold=True) for doc, h in [shingles(w, n)]]
-        return (np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+def _confirm(n: int, percent: int):
+    """Batches of (a, b, text of a, text of b) to those (a, b) whose sets of shingles, by their words, are similar enough. Nodes come as (did, t) in columns of their own."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), 256):
                 part = b.slice(lo, 256)
-                (da, ha), (db, hb) = sets(part.column(4)), sets(part.column(5))
-                doc, h = np.concatenate((da, db)), np.concatenate((ha, hb))
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                both = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (h[1:] == h[:-1])], minlength=len(part)) if len(doc) else np.zeros(len(part), int)
+                (da, ga), (db, gb) = exact_shingles(part.columns[4:6], n)
+                doc, g = np.concatenate((da, db)), np.concatenate((ga, gb))
+                order = np.lexsort((g, doc))
+                doc, g = doc[order], g[order]
+                both = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (g[1:] == g[:-1])], minlength=len(part)) if len(doc) else np.zeros(len(part), int)
                 union = np.bincount(da, minlength=len(part)) + np.bincount(db, minlength=len(part)) - both
                 yield part.filter(pa.array((100 * both >= percent * union) & (both > 0))).select(["a_did", "a_t", "b_did", "b_t"])
 
     return of
 
 
-def _sketches(n: int):
-    """Batches of (did, t, text) to those of (did, t, hashes, sketch): the shingles, and the low bytes of SKETCH more coordinates."""
+def _sets(n: int):
+    """Batches of (did, t, text) to those of (did, t, hashes): the shingles."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = mix64(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-        times, plus = seeds[:SKETCH] | np.uint64(1), seeds[SKETCH:]
         for b in batches:
             for w in words(b.column(2), fold=True):
                 doc, h = shingles(w, n)
                 ends = np.searchsorted(doc, np.arange(len(w.rows) + 1)).astype(np.int32)
-                has = np.flatnonzero(np.diff(ends))
-                sketch = np.zeros((len(w.rows), SKETCH), np.uint8)
-                for i in range(SKETCH if len(has) else 0):
-                    sketch[has, i] = np.minimum.reduceat(h * times[i] + plus[i], ends[has]) >> np.uint64(40)
                 own = [c.slice(w.rows.start, len(w.rows)) for c in b.columns[:2]]
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*own, lists, pa.array([x.tobytes() for x in sketch], pa.binary())], ["did", "t", "hashes", "sketch"])
+                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["did", "t", "hashes"])
 
     return of
 
 
-def _blocks(least: int):
-    """Batches of (key, i, j, side, did, t, comp_did, comp_t, sketch), sorted by the first three, to pairs (a, b) of nodes of two components whose sketches agree in ``least`` bytes. A block has few nodes."""
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each set of a has in common with each of b. Numbers that one side lacks are left out; the others are columns of two matrices, some at a time."""
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float32)
+    places = [[np.searchsorted(both, x[np.isin(x, both, assume_unique=True)]) for x in side] for side in (a, b)]
+    for lo in range(0, len(both), COLUMNS):
+        sides = []
+        for side in places:
+            m = np.zeros((len(side), COLUMNS), np.float32)
+            for i, p in enumerate(side):
+                m[i, p[np.searchsorted(p, lo) : np.searchsorted(p, lo + COLUMNS)] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def joining_links(a: list[tuple], b: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """(place in a, place in b) of links between different components, until those that are linked are one. Rows: (component, sorted array of shingles)."""
+    common = common_counts([x[1] for x in a], [x[1] for x in b])
+    sizes = [np.array([len(x[1]) for x in side]) for side in (a, b)]
+    linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+    number = {c: i for i, c in enumerate(dict.fromkeys(x[0] for x in [*a, *b]))}
+    now = np.arange(len(number))  # of each component, the one that it has been joined to
+    of_a, of_b = (np.array([number[x[0]] for x in side]) for side in (a, b))
+    for i in range(len(a)):
+        found = np.flatnonzero(linked[i])
+        _, at = np.unique(now[of_b[found]], return_index=True)
+        for j in found[at].tolist():
+            own, other = now[of_a[i]], now[of_b[j]]
+            if own != other:
+                now[now == other] = own
+                yield i, j
+
+
+def _blocks(percent: int):
+    """Batches of (key, i, j, side, did, t, comp_did, comp_t, hashes), sorted by the first three, to links (a, b) of nodes of two components. A block's sets are few: they hold some BLOCK shingles a side. Without side 1, side 0 meets itself."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[tuple]) -> Iterator[tuple]:
-            own, other = [r for r in rows if r[3] == 0], [r for r in rows if r[3] == 1] or [r for r in rows if r[3] == 0]
-            theirs = np.stack([np.frombuffer(r[8], np.uint8) for r in other])
-            for r in own:
-                for k in np.flatnonzero((theirs == np.frombuffer(r[8], np.uint8)).sum(1) >= least).tolist():
-                    o = other[k]
-                    if r[6:8] != o[6:8] and (r[1] != r[2] or r[4:6] < o[4:6]):
-                        yield (*r[4:6], *o[4:6])
+        def links(rows: list[tuple]) -> Iterator[tuple]:
+            sides = [[r for r in rows if r[0] == x] for x in (0, 1)]
+            if rows[0][6] and not (sides[0] and sides[1]):  # one side of two has no node
+                return
+            a, b = sides[0], sides[1] or sides[0]
+            for i, j in joining_links([(r[3:5], r[5]) for r in a], [(r[3:5], r[5]) for r in b], percent):
+                yield (*a[i][1:3], *b[j][1:3])
 
         def out(found: list[tuple]) -> pa.RecordBatch:
             cols = zip(*found, strict=True) if found else [[]] * 4
@@ -156,14 +210,16 @@ def _blocks(least: int):
 
         now, group, found = None, [], []
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            ends, values = b.column(8).offsets.to_numpy(), b.column(8).values.to_numpy().view(np.uint64)
+            plain = zip(*(c.to_pylist() for c in b.columns[:8]), strict=True)
+            for k, r in enumerate(plain):
                 if r[:3] != now:
-                    found += pairs(group) if group else []
+                    found += links(group) if group else []
                     now, group = r[:3], []
-                group.append(r)
+                group.append((*r[3:], values[ends[k] : ends[k + 1]], r[1] != r[2]))
             yield out(found)
             found = []
-        yield out(list(pairs(group)) if group else [])
+        yield out(list(links(group)) if group else [])
 
     return of
 
@@ -251,9 +307,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             labels = relabelled(f"round-{k}")
         active = open_lists(f"open-{k + 1}")
     if not done and active.limit(1).count():
-        left = signs.join(active.select("node").distinct(), "node", "left_semi").select("node", "n_shingles").join(labels, "node")
-        left = scratch.save(left, "left")
-        sets = texts.join(left.select("node"), "node", "left_semi").select("node.did", "node.t", "text").mapInArrow(_sketches(shingle), "did long, t long, hashes array<long>, sketch binary")
+        left = scratch.save(signs.join(active.select("node").distinct(), "node", "left_semi").select("node", "n_shingles").join(labels, "node"), "left")
+        sets = texts.join(left.select("node"), "node", "left_semi").select("node.did", "node.t", "text").mapInArrow(_sets(shingle), "did long, t long, hashes array<long>")
         sets = scratch.save(sets, "sets")
         single = sets.select("did", "t", F.explode("hashes").alias("hash"))
         often = single.groupBy("hash").agg(F.count("*").alias("often")).where("often > 1")
@@ -261,14 +316,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         own = own.select(_node("did", "t").alias("node"), "keys").join(left, "node")
         # the prefix of a set of n is n less the least number in common plus 1; shingles that no other node has come first in it
         need = F.size("keys") - F.expr(f"cast(ceil(n_shingles * {percent} / 100.0) as int)") + 1
-        prefix = own.where(need > 0).select("node", "label", F.explode(F.slice("keys", 1, need)).alias("x")).select("node", "label", F.col("x.hash").alias("key"))
+        prefix = own.where(need > 0).select("node", "label", "n_shingles", F.explode(F.slice("keys", 1, need)).alias("x")).select("node", "label", "n_shingles", F.col("x.hash").alias("key"))
         prefix = scratch.save(prefix, "prefix")
-        several = prefix.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("c")).where("l <> m").select("key", "c")
-        n = F.ceil(F.col("c") / F.lit(float(block))).cast("int")
-        mine = prefix.join(several, "key").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-        dealt = mine.join(sets.select(_node("did", "t").alias("node"), "sketch"), "node").select("key", "own", "node", "label", "sketch", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
-        dealt = dealt.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node.did", "node.t", F.col("label.did").alias("comp_did"), F.col("label.t").alias("comp_t"), "sketch")
-        met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(SKETCH * max(percent - 10, 0) // 100), _PAIR)
+        # lists led by the same node, that of fewest shingles, are one: texts around a passage are together once and not once for each of its shingles
+        led = prefix.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min(F.struct("n_shingles", "node")).alias("lead")).where("l <> m")
+        led = scratch.save(led.select("key", F.xxhash64("lead.node").alias("lead")), "led")
+        prefix = scratch.save(prefix.join(led, "key").select(F.col("lead").alias("key"), "node", "label", "n_shingles").distinct(), "led-lists")
+        # of each list: its largest component, and how many blocks that and the rest make; block numbers of the rest come first
+        by_label = prefix.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum(F.greatest("n_shingles", F.lit(LIGHT))).alias("s"))
+        lists = by_label.groupBy("key").agg(F.max(F.struct("c", "label", "s")).alias("x"), F.sum("s").alias("s"))
+        blocks = lambda s: F.ceil(s / F.lit(float(block))).cast("int")
+        lists = scratch.save(lists.select("key", F.col("x.label").alias("most"), blocks(F.col("s") - F.col("x.s")).alias("rest"), blocks(F.col("x.s")).alias("main")), "block-lists")
+        mine = prefix.join(lists, "key").withColumn("is_main", F.col("label") == F.col("most"))
+        mine = mine.withColumn("own", F.when(F.col("is_main"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("main"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int"))
+        meets = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("rest")).otherwise(F.col("rest") + F.col("main")) - 1)
+        dealt = mine.select("key", "own", "node", "label", F.explode(meets).alias("o"))
+        dealt = dealt.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", "label")
+        dealt = dealt.join(sets.select(_node("did", "t").alias("node"), "hashes"), "node").select("key", "i", "j", "side", "node.did", "node.t", F.col("label.did").alias("comp_did"), F.col("label.t").alias("comp_t"), "hashes")
+        met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent), _PAIR)
         found = confirmed(met.select(_node("a_did", "a_t").alias("a"), _node("b_did", "b_t").alias("b")), "links-blocks")
         if found.limit(1).count():
             links.append(found)
@@ -289,11 +354,11 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 
 def keep_leaders(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df that lead their components, with their columns: of each component one, that with the least id. Wordless texts stay, each (id, text) once."""
+    """The rows of df that lead their components, with their columns, whatever their names: of each component one, that with the least id. Wordless texts stay, each (id, text) once. An empty table gives an empty table."""
     found = near_duplicates(df, id_col, text_col, **options).members()
-    lead = found.where(F.col("leader").isNull() | (F.col("leader") == _node("did", "t"))).select(F.col("did").alias("_did"), F.col("t").alias("_t")).distinct()
-    keyed = df.withColumns({"_did": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_t": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return keyed.join(lead, ["_did", "_t"], "left_semi").dropDuplicates(["_did", "_t"]).select(*df.columns)
+    lead = found.where(F.col("leader").isNull() | (F.col("leader") == _node("did", "t"))).select("did", "t").distinct()
+    keyed = boxed(df, did=F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), t=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return keyed.join(lead, ["did", "t"], "left_semi").dropDuplicates(["did", "t"]).select("row.*")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
