@@ -41,7 +41,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, lim
     return per.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
 
 
-def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def thresholds(sizes: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
     """(source, source_size, target, whole, below): every document of the source is taken ``whole`` times, and once more where its bucket is under ``below``.
 
     The budgets of the first, second and later copies are nested; only one of them takes a part of the source. A histogram of sizes by
@@ -67,7 +67,8 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         else:
             nearer = (F.col("left") - F.col("end.before")) * 2 > F.col("end.words")
             state = state.withColumn("below", F.when(F.col("end").isNull(), F.col("below")).otherwise(F.col("end.slot") + nearer.cast("long")))
-        state = state.drop("end")
+        # a row for each source, kept as a table: the next level doesn't work it out anew
+        state = scratch.save(state.drop("end"), f"level-{level}")
     return state.drop("left")
 
 
@@ -83,7 +84,7 @@ def mix(df: DataFrame, weights: Sequence[float], share: float = 1.5, limit: floa
     text = F.coalesce(F.col(text_col), F.lit(""))
     sizes = scratch.save(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), hash_bucket(F.col(id_col), F.md5(text)).alias("bucket")), "sizes")
     targets = scratch.save(source_targets(sizes, weights, share, limit), "targets")
-    found = scratch.save(thresholds(sizes, targets), "thresholds").withColumnRenamed("source", "s")
+    found = thresholds(sizes, targets, scratch).withColumnRenamed("source", "s")
     taken = F.col("size") * (F.col("whole") + F.when(F.col("bucket") < F.col("below"), 1).otherwise(0))
     return sizes.join(found, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
