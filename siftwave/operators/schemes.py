@@ -1,15 +1,19 @@
 """Schemes: which position each window of a sequence samples.
 
-A window is w consecutive k-mers. Sampling is a narrow pipeline without a shuffle: sequences are cut into chunks of CHUNK windows that overlap by
-what a window needs, a chunk's keys are an array, and the least key of each window is found by doubling: the least of 2, 4, 8, ...
-neighbours. A long sequence is many chunks, so neither memory nor time of a task follow it.
+A window is w consecutive k-mers. Sequences are cut into chunks of CHUNK windows that overlap by what a window needs, and chunks are dealt
+evenly, which is the only shuffle. A chunk's keys are an array, and the least key of each window is found by doubling: the least of 2, 4, 8, ...
+neighbours, for all chunks of an Arrow batch at once. A long sequence is many chunks, so neither memory nor time of a task follow it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +22,11 @@ from ..functions.keys import SPARK, Dialect
 from . import orders as O
 from .orders import Order, Shape
 
-CHUNK = 1024
+# executors need no copy of this module: its functions travel with the tasks
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Windows in a chunk; an Arrow batch holds up to 10,000 chunks' keys.
+CHUNK = 256
 
 #: Digits of a position in a key.
 PLACE = 12
@@ -127,36 +135,96 @@ def chunks(seqs: DataFrame, w: int, k: int, chunk: int = CHUNK, keep: tuple[str,
     return rows.select("seq_id", *keep, "n", "start", "count", "lead", F.substring("bytes", F.col("start") - F.col("lead") + 1, F.col("count") + F.col("lead") + (l - 1)).alias("data"))
 
 
-def sample(seqs: DataFrame, scheme: Scheme, w: int, k: int, sigma: int = 256, chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(seq_id, win, pos, prev) for each window of each sequence (seq_id, bytes): the position it samples, from 0, and the one the window before it samples (null for the first). keep: more columns of seqs to carry along. No shuffle."""
+def least_keys(words: np.ndarray, w: int, rightmost: bool = False) -> np.ndarray:
+    """The place of the least of each w consecutive keys, the first of equals or the last. words: a column of 64-bit numbers for each 8 bytes of the keys."""
+
+    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where key b is less than key a, or as little if the last is wanted."""
+        out = np.full(len(a), rightmost)
+        for x in words[::-1]:
+            x, y = x[a], x[b]
+            out = (y < x) | ((y == x) & out)
+        return out
+
+    best, have = np.arange(words.shape[1] if len(words) else 0), 1
+    while have < w:
+        step = min(have, w - have)
+        a, b = best[:-step], best[step:]
+        best, have = np.where(better(a, b), b, a), have + step
+    return best
+
+
+def _key_words(keys: pa.ListArray) -> np.ndarray:
+    """The keys of all lists, strings of one length, as big-endian numbers: a row for each 8 bytes."""
+    flat = keys.flatten()
+    n = len(flat)
+    size = (len(flat[0].as_py().encode()) if n else 0) or 1
+    data = np.zeros((n, -(-size // 8) * 8), np.uint8)
+    if n and flat[0].as_py():
+        offsets = np.frombuffer(flat.buffers()[1], np.int64 if pa.types.is_large_string(flat.type) else np.int32)
+        data[:, :size] = np.frombuffer(flat.buffers()[2], np.uint8)[offsets[flat.offset] : offsets[flat.offset + n]].reshape(n, size)
+    return data.view(">u8").T.astype(np.uint64)
+
+
+def _picked(scheme: Scheme, w: int, keyed: int, width: int, kept: list[str]):
+    """Batches of (seq_id, kept, start, count, lead, data, keys) to those of (seq_id, kept, win, pos, prev, letters): a row for each window. keyed: k-mers in a window whose keys there are; letters: from the window before on, width in all."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part.slice(lo, 1024) for part in batches for lo in range(0, len(part), 1024)):
+            start, count, lead = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("start", "count", "lead"))
+            keys = b.column(b.schema.get_field_index("keys"))
+            many = np.diff(keys.offsets.to_numpy())
+            first = np.cumsum(many) - many
+            best = least_keys(_key_words(keys), keyed, scheme.rightmost) if keyed else keys.flatten().to_numpy() + np.repeat(first, many)
+            row = np.repeat(np.arange(len(start)), count)
+            i = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+            shift = (start - lead)[row]
+
+            def place(j: np.ndarray) -> np.ndarray:
+                """What window j of each row's chunk samples."""
+                at = best[np.maximum(first[row] + j, 0)] - first[row]
+                return shift + (j + (at - j) % w if scheme.mod else at)
+
+            j = i + lead[row]
+            out = [b.column(n).take(pa.array(row)) for n in range(len(kept))]
+            out += [pa.array(start[row] + i), pa.array(place(j)), pa.array(place(j - 1), mask=j == 0)]
+            if width:
+                data = b.column(b.schema.get_field_index("data"))
+                offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data)].astype(np.int64)
+                letters = np.frombuffer(data.buffers()[2], np.uint8)
+                at = (offsets[row] + j - 1)[:, None] + np.arange(width)
+                # the first window of a sequence has none before it
+                pieces = np.where((at < offsets[row][:, None]), np.uint8(0), letters[np.maximum(at, 0)])
+                out.append(pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(np.arange(0, len(row) * width + 1, width, dtype=np.int64)), pa.py_buffer(pieces.tobytes())]).cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, [*kept, "win", "pos", "prev", *(["letters"] if width else [])])
+
+    return of
+
+
+def sample(seqs: DataFrame, scheme: Scheme, w: int, k: int, sigma: int = 256, chunk: int = CHUNK, keep: tuple[str, ...] = (), letters: bool = False) -> DataFrame:
+    """(seq_id, win, pos, prev) for each window of each sequence (seq_id, bytes): the position it samples, from 0, and the one the window before it samples (null for the first).
+
+    keep: more columns of seqs to carry along, small ones. letters: the w + k bytes of the window and the one before it too, from place win - 1 on.
+    """
     rows = chunks(seqs, w, k, chunk, keep)
-    spread = seqs.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < spread // 2:  # a small input in few files
-        rows = rows.repartition(spread)
+    # keys cost a hundred times what moving a chunk's letters does, so chunks are dealt evenly whatever the files and however long a sequence
+    rows = rows.repartition("seq_id", "start")
     many = "count + lead"
     if scheme.kind == "minimizer":
-        iw, ik = scheme.inner(w, k)
-        place = "{0}" if not scheme.rightmost else "(cast(1e11 as bigint) - {0})"
-        key = SPARK.let("hex(substring(data, i + 1, {0}))".format(ik), lambda x: scheme.order(SPARK, x, Shape(iw, ik, sigma)), "x")
-        rows = rows.withColumn("best", F.expr(f"transform(sequence(0, {many} + {iw} - 2), i -> {key} || lpad(cast({place.format('i')} as string), {PLACE}, '0'))"))
-        have = 1
-        while have < iw:
-            step = min(have, iw - have)
-            rows = rows.withColumn("best", F.expr(f"transform(best, (x, i) -> least(x, get(best, i + {step})))"))
-            have += step
-        at = f"cast(right(x, {PLACE}) as bigint)"
-        rows = rows.withColumn("best", F.expr(f"transform(slice(best, 1, {many}), x -> {place.format(at)})"))
-        if scheme.mod:
-            rows = rows.withColumn("best", F.expr(f"transform(best, (x, i) -> i + (x - i) % {w})"))
-    else:
-        key = window_key(SPARK, scheme, w, k, sigma, "m", "j")
-        least = f"array_min(transform(sequence(0, {w - 1 if scheme.kind == 'anchor' else w + k - 2}), j -> {key} || lpad(cast(j as string), {PLACE}, '0')))"
+        keyed, ik = scheme.inner(w, k)
+        kmer, of = f"hex(substring(data, i + 1, {ik}))", lambda x: scheme.order(SPARK, x, Shape(keyed, ik, sigma))
+        # naming a k-mer costs more than cutting it out twice
+        key = of(kmer) if of("@").count("@") <= 2 else SPARK.let(kmer, of, "x")
+        rows = rows.withColumn("keys", F.expr(f"transform(sequence(0, {many} + {keyed} - 2), i -> {key})"))
+    else:  # what each window samples, worked out from its letters
+        keyed, n = 0, w if scheme.kind == "anchor" else w + k - 1
+        least = f"array_min(transform(sequence(0, {n - 1}), j -> {window_key(SPARK, scheme, w, k, sigma, 'm', 'j')} || lpad(cast(j as string), {PLACE}, '0')))"
         body = SPARK.let(f"hex(substring(data, i + 1, {w + k - 1}))", lambda m: least, "m")
-        rows = rows.withColumn("best", F.expr(f"transform(sequence(0, {many} - 1), i -> i + cast(right({body}, {PLACE}) as bigint))"))
-    shifted = rows.withColumn("best", F.expr("transform(best, x -> x + start - lead)"))
-    out = shifted.withColumn("pairs", F.expr("transform(sequence(0, count - 1), i -> struct(start + i as win, best[i + lead] as pos, get(best, i + lead - 1) as prev))"))
-    # no chunk is empty; an inner explode would infer a filter on the whole chain of arrays and work it out twice
-    return out.select("seq_id", *keep, F.explode_outer("pairs").alias("x")).select("seq_id", *keep, F.col("x.win").cast("long").alias("win"), "x.pos", "x.prev")
+        rows = rows.withColumn("keys", F.expr(f"transform(sequence(0, {many} - 1), i -> i + cast(right({body}, {PLACE}) as bigint))"))
+    rows = rows.select("seq_id", *keep, "start", "count", "lead", "data", "keys")
+    kept = ["seq_id", *keep]
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), "win long, pos long, prev long", *(["letters binary"] if letters else [])])
+    return rows.mapInArrow(_picked(scheme, w, keyed, w + k if letters else 0, kept), schema)
 
 
 def kmer_at(seq_bytes: Column, pos: Column, k: int) -> Column:

@@ -50,21 +50,21 @@ def transfer_power(matrix: DataFrame, doublings: int = 3) -> DataFrame:
 
 
 def sampled_kmers(samples: DataFrame, k: int) -> DataFrame:
-    """(kmer, n): changes by the number that the lowest bits of the k-mer there make. samples carry bytes."""
-    kmer = F.expr(f"hex(substring(bytes, cast(pos + 1 as int), {k}))")
+    """(kmer, n): changes by the number that the lowest bits of the k-mer there make. samples carry letters."""
+    kmer = F.expr(f"hex(substring(letters, cast(pos - win + 2 as int), {k}))")
     return samples.where(changed()).select(kmer.alias("x")).groupBy(F.expr(K.low_bits("x", k)).alias("kmer")).agg(F.count("*").alias("n"))
 
 
 def kmer_places(samples: DataFrame, k: int) -> DataFrame:
     """(kmer, place, n): windows by sampled k-mer, as in sampled_kmers(), and place."""
-    kmer = F.expr(f"hex(substring(bytes, cast(pos + 1 as int), {k}))")
+    kmer = F.expr(f"hex(substring(letters, cast(pos - win + 2 as int), {k}))")
     named = samples.select(kmer.alias("x"), (F.col("pos") - F.col("win")).alias("place"))
     return named.groupBy(F.expr(K.low_bits("x", k)).alias("kmer"), "place").agg(F.count("*").alias("n"))
 
 
 def kmer_jumps(samples: DataFrame, k: int) -> DataFrame:
     """(kmer, jump, n_to, n_from): changes forward by the k-mer they go to and by the one they leave."""
-    at = lambda c: F.expr(K.low_bits(f"hex(substring(bytes, cast({c} + 1 as int), {k}))", k))
+    at = lambda c: F.expr(K.low_bits(f"hex(substring(letters, cast({c} - win + 2 as int), {k}))", k))
     ahead = samples.where("prev IS NOT NULL AND pos > prev").select((F.col("pos") - F.col("prev")).alias("jump"), F.explode(F.array(F.struct(at("pos").alias("kmer"), F.lit(1).alias("to")), F.struct(at("prev").alias("kmer"), F.lit(0).alias("to")))).alias("x"))
     return ahead.groupBy("x.kmer", "jump").agg(F.sum("x.to").alias("n_to"), F.sum(1 - F.col("x.to")).alias("n_from"))
 
@@ -138,10 +138,9 @@ def covered(samples: DataFrame, k: int) -> DataFrame:
     return merge_intervals(changes.distinct())
 
 
-def contexts(samples: DataFrame, w: int, k: int) -> DataFrame:
-    """(context): distinct pairs of neighbouring windows' letters of which the second samples another place than the first. samples carry bytes."""
-    l = w + k
-    return samples.where("prev IS NOT NULL AND pos <> prev").select(F.expr(f"hex(substring(bytes, cast(win as int), {l}))").alias("context")).distinct()
+def contexts(samples: DataFrame) -> DataFrame:
+    """(context): distinct pairs of neighbouring windows' letters of which the second samples another place than the first. samples carry letters."""
+    return samples.where("prev IS NOT NULL AND pos <> prev").select(F.hex("letters").alias("context")).distinct()
 
 
 def only_in(left: DataFrame, right: DataFrame) -> DataFrame:

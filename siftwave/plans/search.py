@@ -160,7 +160,7 @@ def equivalents(choice: dict[Window, int]) -> list[dict[Window, int]]:
 
 
 def window_ratio(samples: DataFrame, pattern: str, k: int, w: int) -> DataFrame:
-    """(windows, chosen): windows that have a k-mer that fits the pattern (hex digits, ``.`` for any), and those whose sampled k-mer does. samples carry bytes."""
-    kmer = f"hex(substring(bytes, cast(pos + 1 as int), {k}))"
-    has = f"exists(sequence(0, {w - 1}), j -> hex(substring(bytes, cast(win + j + 1 as int), {k})) RLIKE '^{pattern}$')"
+    """(windows, chosen): windows that have a k-mer that fits the pattern (hex digits, ``.`` for any), and those whose sampled k-mer does. samples carry letters."""
+    kmer = f"hex(substring(letters, cast(pos - win + 2 as int), {k}))"
+    has = f"exists(sequence(0, {w - 1}), j -> hex(substring(letters, cast(j + 2 as int), {k})) RLIKE '^{pattern}$')"
     return samples.where(has).agg(F.count("*").alias("windows"), F.sum(F.expr(f"cast({kmer} RLIKE '^{pattern}$' as long)")).alias("chosen"))

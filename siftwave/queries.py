@@ -112,9 +112,9 @@ _SMALL = grid("benchmark", "AntiLex", 8, 4)
 _BACK = grid("benchmark", "BdAnchor", 8, 2, r=1)
 
 
-def _samples_with_bytes(g: Grid, spark: SparkSession, d: str) -> DataFrame:
-    """The few letters around a sample are cut from its sequence, which travels beside it only up to the projection."""
-    return g.samples(spark, d, keep=("bytes",))
+def _samples_with_letters(g: Grid, spark: SparkSession, d: str) -> DataFrame:
+    """Samples with the letters of their windows."""
+    return g.samples(spark, d, letters=True)
 
 
 #: (scheme, w, k, sigma, parameters, forward): exact densities; a scheme that isn't forward needs a longer circle.
@@ -174,22 +174,22 @@ def queries() -> dict[str, Query]:
         "hist_positions": lambda s, d: stats.positions(_BASE.samples(s, d)),
         "hist_distances": lambda s, d: stats.distances(_BACK.samples(s, d)),
         "transfer_matrix": lambda s, d: stats.transfer(_BASE.samples(s, d)),
-        "kmer_counts": lambda s, d: stats.sampled_kmers(_samples_with_bytes(_SMALL, s, d), 4),
-        "kmer_pos_hist": lambda s, d: stats.kmer_places(_samples_with_bytes(_SMALL, s, d), 4),
-        "kmer_jumps": lambda s, d: stats.kmer_jumps(_samples_with_bytes(_SMALL, s, d), 4),
+        "kmer_counts": lambda s, d: stats.sampled_kmers(_samples_with_letters(_SMALL, s, d), 4),
+        "kmer_pos_hist": lambda s, d: stats.kmer_places(_samples_with_letters(_SMALL, s, d), 4),
+        "kmer_jumps": lambda s, d: stats.kmer_jumps(_samples_with_letters(_SMALL, s, d), 4),
         "range_check": lambda s, d: stats.out_of_range(_BASE.samples(s, d), 8).select("seq_id", "win", "pos"),
         "is_forward": lambda s, d: stats.is_forward(_BACK.samples(s, d)),
         "interval_merge": lambda s, d: stats.covered(_SMALL.samples(s, d), 4),
-        "context_diff": lambda s, d: stats.only_in(stats.contexts(_samples_with_bytes(_SMALL, s, d), 8, 4), stats.contexts(_samples_with_bytes(_SMALL._replace(scheme="Lex"), s, d), 8, 4)),
+        "context_diff": lambda s, d: stats.only_in(stats.contexts(_samples_with_letters(_SMALL, s, d)), stats.contexts(_samples_with_letters(_SMALL._replace(scheme="Lex"), s, d))),
         "samples_all": lambda s, d: _SMALL.samples(s, d).select("seq_id", "win", "pos"),
         "scheme_report": lambda s, d: stats.scheme_report(_BACK.samples(s, d)),
         "rank_listing": lambda s, d: search.rank_listing(s.createDataFrame([(i, r % 40) for i, r in enumerate(_RANKS)], "code long, rank long")),
-        "mean_jumps": lambda s, d: stats.mean_jumps(stats.kmer_jumps(_samples_with_bytes(_SMALL, s, d), 4)),
+        "mean_jumps": lambda s, d: stats.mean_jumps(stats.kmer_jumps(_samples_with_letters(_SMALL, s, d), 4)),
         "transfer_power": lambda s, d: stats.transfer_power(stats.transfer(_SMALL.samples(s, d))).select("place_from", "place_to", F.round("p", 6).alias("p")),
         "cycle_stats": lambda s, d: stats.cycle_stats(stats.cycle_samples(_CYCLES.sequences(s, d), _CYCLE, get_scheme("AntiLex"), 4, 2, 4)),
         "bad_cycles": lambda s, d: stats.bad_cycles(_CYCLES.sequences(s, d), _CYCLE, get_scheme("AntiLex"), 4, 2, 4),
         "explicit_scheme": lambda s, d: explicit_local(_CYCLES.sequences(s, d), s.createDataFrame(_choices(4, 5, 4), "code long, choice int"), 4, 2, 4),
-        "window_ratio": lambda s, d: search.window_ratio(_samples_with_bytes(_SMALL, s, d), "(6561|20..)", 2, 8),
+        "window_ratio": lambda s, d: search.window_ratio(_samples_with_letters(_SMALL, s, d), "(6561|20..)", 2, 8),
         "rolling_min_density": rolling,
         "debruijn_words": lambda s, d: debruijn.lyndon_words(s, 2, 8),
         "debruijn_sequence": lambda s, d: debruijn.de_bruijn(s, 2, 3).unionByName(debruijn.de_bruijn(s, 3, 2)),
