@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -10,7 +10,7 @@ from .common import table
 #: How a turn begins and ends.
 ASSISTANT, CONTEXT, USER, END = "<|assistant|>\n", "<|system|>\n", "<|user:{}|>\n", "<|end|>\n"
 
-#: Turn numbers in a part. A longer dialogue is several rows, so no row or task has to hold it whole.
+#: Turn numbers in a part. A longer dialogue is several rows, so no row or task has to hold it whole; each later one begins with the context in force.
 PART = 256
 
 
@@ -25,19 +25,25 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
 
     text is the part of the dialogue as the speaker sees it; spans, an array of (start, end) in code points, are what the model learns: the
     speaker's own turns with their end marks. Roles in ``context`` give context and have no view of their own. Turns are ordered
-    by number, then role and text; part p has the numbers from p * PART on. Rows that are equal count once. Null ids are one
+    by number, then role and text; part p has the numbers from p * PART on, and begins with the last context turn of earlier parts, which isn't
+    counted in n_turns. Equal turns all stay. Null ids are one
     conversation, null numbers come first, in part 0, null roles are ``unknown``, null texts empty. Without participants there is no
     row. An empty table gives an empty table; other columns are not read.
     """
     turn = F.col(turn_col)
     rows = df.select(F.col(conv_col).alias("conv_id"), turn.alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / part), F.lit(0)).cast("long"))
-    speakers = rows.groupBy(F.col("conv_id").alias("c")).agg(F.collect_set(F.when(~F.col("role").isin(*context), F.col("role"))).alias("speakers"))
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    views = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "part", "turns", F.explode("speakers").alias("speaker"))
+    one = F.struct("turn", "role", "text")
+    speakers = rows.where(~F.col("role").isin(*context)).select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
+    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(one)).alias("turns"), F.max(F.when(F.col("role").isin(*context), one)).alias("context"))
+    # a row for each part: of the longest dialogue a 256th of its turns
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("carried", F.last("context", True).over(earlier)).drop("context")
+    views = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     piece = lambda t: F.concat(_header(t["role"], F.col("speaker"), context), t["text"], F.lit(END))
+    views = views.withColumn("head", F.coalesce(piece(F.col("carried")), F.lit("")))
     views = views.withColumn("pieces", F.transform("turns", lambda t: F.struct((t["role"] == F.col("speaker")).alias("own"), piece(t).alias("text"))))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
+    none = F.struct(F.length("head").alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
 
     def step(a: Column, p: Column) -> Column:
         end = a["at"] + F.length(p["text"])
@@ -46,7 +52,8 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
 
     views = views.withColumn("spans", F.aggregate("pieces", none, step)["spans"])
     masked = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return views.select("conv_id", "speaker", "part", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("text"), "spans", masked.alias("mask_chars"))
+    text = F.concat("head", F.array_join(F.transform("pieces", lambda p: p["text"]), ""))
+    return views.select("conv_id", "speaker", "part", F.size("turns").cast("long").alias("n_turns"), text.alias("text"), "spans", masked.alias("mask_chars"))
 
 
 def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +62,15 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, coalesce(floor(turn / 256), 0)::BIGINT AS part FROM conversations),
+WITH t AS (SELECT row_number() OVER () AS n, conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, coalesce(floor(turn / 256), 0)::BIGINT AS part FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
-r AS (SELECT t.*, speaker, CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user:' || role || '|>' END || chr(10) || text || '<|end|>' || chr(10) AS piece
-      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text)::BIGINT AS stop FROM r)
-SELECT conv_id, speaker, part, count(*) AS n_turns, sha256(string_agg(piece, '' ORDER BY turn NULLS FIRST, role, text)) AS text_sha256,
-       coalesce(string_agg(CASE WHEN role = speaker THEN (stop - length(piece) + 14) || '-' || stop END, ',' ORDER BY turn NULLS FIRST, role, text), '') AS mask_spans,
+c AS (SELECT conv_id, part, last('<|system|>' || chr(10) || text || '<|end|>' || chr(10) ORDER BY turn NULLS FIRST, text) FILTER (role = 'system') AS own FROM t GROUP BY conv_id, part),
+h AS (SELECT conv_id, part, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS head FROM c),
+r AS (SELECT t.*, speaker, head, CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user:' || role || '|>' END || chr(10) || text || '<|end|>' || chr(10) AS piece
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id JOIN h ON t.conv_id IS NOT DISTINCT FROM h.conv_id AND t.part = h.part),
+o AS (SELECT *, (length(head) + sum(length(piece)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text, n ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM r)
+SELECT conv_id, speaker, part, count(*) AS n_turns, sha256(any_value(head) || string_agg(piece, '' ORDER BY turn NULLS FIRST, role, text, n)) AS text_sha256,
+       coalesce(string_agg(CASE WHEN role = speaker THEN (stop - length(piece) + 14) || '-' || stop END, ',' ORDER BY turn NULLS FIRST, role, text, n), '') AS mask_spans,
        coalesce(sum(CASE WHEN role = speaker THEN length(piece) - 14 END), 0)::BIGINT AS mask_chars
 FROM o GROUP BY conv_id, speaker, part
 """

@@ -22,7 +22,8 @@ def test_rotation(spark):
         assert sum(e - s for s, e in r.spans) == r.mask_chars
         assert all(r.text[s - len(chat.ASSISTANT) : s] == chat.ASSISTANT and r.text[s:e].endswith(chat.END) for s, e in r.spans)
     got = {(r.conv_id, r.speaker, r.part): r.text for r in out.collect()}
-    assert got[1, "bob", 0] == "<|system|>\nbe kind<|end|>\n<|user:ann|>\nhi é<|end|>\n<|assistant|>\nyo\n<|end|>\n<|user:ann|>\n<|end|>\n"
+    assert got[1, "bob", 0] == "<|system|>\nbe kind<|end|>\n<|user:ann|>\nhi é<|end|>\n<|assistant|>\nyo\n<|end|>\n<|user:ann|>\n<|end|>\n<|user:ann|>\n<|end|>\n"
+    assert got[1, "bob", 2] == "<|system|>\nbe kind<|end|>\n<|assistant|>\nlate<|end|>\n"  # the context is carried over
     assert (2, "system", 0) not in got and (1, "ann", 2) in got and (None, "unknown", 0) in got
     con = duckdb.connect()
     con.register("conversations", pd.DataFrame(TURNS, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
