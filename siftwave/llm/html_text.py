@@ -4,9 +4,9 @@ The pages of a host are merged: a style node is a path of tags and classes, and
 sequence of child elements) and contents (the words below it) are counted. A node that looks and reads the same on most pages of its host
 has low importance, one that differs from page to page has high importance: entropies to the base of the number of pages say which.
 A branch's importance is combined from its own presentation and its children's, its leaves' from their contents. Branches of low
-importance are removed from each page. What HTML itself declares to be menu, footer, advert, form, comment and so on by its
-tag, role or class is of no importance whatever its words, as such parts may change with every page; and what it declares to be the
-article is important, as articles may be copied all over a host.
+importance are removed from each page, in the article too, of which at least half stays, as articles may be copied all over a host. What HTML itself
+declares to be menu, footer, advert, form, comment and so on by its tag or role is of no importance whatever its words, as such parts may
+change with every page; a class or id that says so counts unless the branch holds a large share of the page's words.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,16 +34,19 @@ WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "spon
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 
-#: Importance under which a branch goes; pages that a host needs for a style tree; share of them that a style node must stand on.
+#: Importance under which a branch goes; pages of a host that a style node must stand on to be judged; importance from which a node needs no row in the tree.
 LOW = 0.2
 PAGES = 8
-SHARE = 0.2
+HIGH = 0.9
 DECAY = 0.9
 
-#: Elements inside one another; what is nested more deeply counts as standing beside its parent.
-DEPTH = 512
+#: Share of a page's words from which a branch is no menu or advert, whatever its class; and elements that a class alone can't make one.
+LARGE = 0.3
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+#: Quoted values are taken whole and never looked at again, so a page takes time in proportion to its length.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
+_UNQUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PART = re.compile(r"[a-z0-9]+")
 
@@ -50,59 +54,70 @@ _PART = re.compile(r"[a-z0-9]+")
 class Node:
     """An element, or text if tag is empty."""
 
-    __slots__ = ("tag", "name", "noise", "main", "children", "text", "holds_main")
+    __slots__ = ("tag", "name", "noise", "named", "main", "children", "text", "holds_main", "words")
 
-    def __init__(self, tag: str, name: str = "", noise: bool = False, main: bool = False, text: str = ""):
-        self.tag, self.name, self.noise, self.main, self.text = tag, name, noise, main, text
+    def __init__(self, tag: str, name: str = "", noise: bool = False, main: bool = False, text: str = "", named: bool = False):
+        self.tag, self.name, self.noise, self.named, self.main, self.text = tag, name, noise, named, main, text
+        self.words = len(text.split())
         self.children: list[Node] = []
         self.holds_main = False
 
 
 def _element(tag: str, source: str, in_main: bool) -> Node:
-    name, noise, main = tag, tag in NOISE or (tag == "header" and not in_main), tag in ("article", "main")
+    name, noise, main, named = tag, tag in NOISE or (tag == "header" and not in_main), tag in ("article", "main"), False
     if source and source != "/":
         found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(source)}
-        own = f"{found.get('class', '')} {found.get('id', '')}"
         if found.get("class"):
             name = f"{tag}.{'.'.join(sorted(found['class'].split()))}"
         role = found.get("role", "")
         main = main or role in ("main", "article")
         noise = noise or role in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        if tag not in ("html", "body", "main"):
-            noise = noise or not WORDS.isdisjoint(_PART.findall(own))
-    return Node(tag, name, noise, main and not noise)
+        if tag not in INLINE and tag not in HEADINGS and tag not in ("html", "body", "main"):
+            named = found.get("id") in WORDS or not WORDS.isdisjoint(_PART.findall(found.get("class", "")))
+    return Node(tag, name, noise, main and not noise and not named, named=named)
 
 
 def parse(source: str) -> Node:
     """The tree of a page, however broken: open elements end with their parents, paragraphs with the next block."""
     root = Node("", "")
-    stack, at, n = [root], 0, len(source)
-    while at < n:
-        m = _TOKEN.search(source, at)
-        end = m.start() if m else n
-        if end > at:
-            stack[-1].children.append(Node("", text=html.unescape(source[at:end])))
-        if not m:
+    stack, at, n, mains = [root], 0, len(source), 0
+    held: Counter[str] = Counter()  # of each tag, how many elements are open
+
+    def cut(i: int) -> None:
+        nonlocal mains
+        for x in stack[i:]:
+            held[x.tag] -= 1
+            mains -= x.main
+        del stack[i:]
+
+    text_from, last = 0, source.rfind(">")
+    while True:
+        start = source.find("<", at)
+        if start < 0 or start > last:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        m = _TOKEN.match(source, start) or _UNQUOTED.match(source, start)
+        if not m:
+            at = start + 1
+            continue
+        if start > text_from:
+            stack[-1].children.append(Node("", text=html.unescape(source[text_from:start])))
+        at = text_from = m.end()
+        tag = (m[2] or "").lower() if m.re.groups and m.lastindex else ""
         if not tag:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if held[tag]:
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         ends = CLOSES.get(tag)
-        if ends or tag not in INLINE:
+        if (ends or tag not in INLINE) and (held["p"] or any(held[t] for t in ends or ())):
             for i in range(len(stack) - 1, 0, -1):
                 t = stack[i].tag
                 if t == "p" or (ends and t in ends):
-                    del stack[i:]
+                    cut(i)
                 elif (ends and t in HOLDS[tag]) or (not ends and t not in INLINE):
                     break
-        node = _element(tag, m[3], any(x.main for x in stack))
+        node = _element(tag, m[3], mains > 0)
         stack[-1].children.append(node)
         if node.main:
             for x in reversed(stack):
@@ -113,13 +128,28 @@ def parse(source: str) -> Node:
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
-            at = close.start() if close else n
+            at = text_from = close.start() if close else n
             continue
-        if len(stack) < DEPTH:
-            stack.append(node)
+        held[tag] += 1
+        mains += node.main
+        stack.append(node)
+    if text_from < n:
+        stack[-1].children.append(Node("", text=html.unescape(source[text_from:])))
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Counts the words of each element, scripts and menus left out, and lets an element that its class alone makes noise be so unless it holds a large share of the page's."""
+    order = [root]
+    for x in order:
+        order += [c for c in x.children if c.tag]
+    for x in reversed(order):
+        x.words = 0 if x.noise and not x.holds_main else sum(c.words for c in x.children)
+    for x in order:
+        x.noise = x.noise or (x.named and x.words < LARGE * root.words)
+
+
 def _blocks(node: Node, dropped: set[int], only_main: bool, inside: bool, out: list[list[str]]) -> None:
     """Appends the pieces of text of each block to out; a block begins and ends with elements that aren't inline."""
     work: list[tuple[Node | None, bool]] = [(node, inside)]
@@ -161,15 +191,15 @@ def _hash(x: str) -> int:
 
 
 def _style_nodes(root: Node) -> Iterator[tuple[Node, int, int, int]]:
-    """(element, path, presentation, content) as hashes, children before parents; what is noise or the article itself is left out."""
-    work: list[tuple[Node, str, bool]] = [(root, "", False)]
+    """(element, path, presentation, content) as hashes, children before parents."""
+    work: list[tuple[Node, int, bool]] = [(root, 0, False)]
     words: dict[int, int] = {}
     while work:
         x, path, seen = work.pop()
-        inner = [c for c in x.children if c.tag and not (c.noise and not c.holds_main) and not c.main]
+        inner = [c for c in x.children if c.tag]
         if not seen:
             work.append((x, path, True))
-            work += [(c, f"{path}/{c.name}", False) for c in inner]
+            work += [(c, _hash(f"{path}/{c.name}"), False) for c in inner]
             continue
         words[id(x)] = _hash(" ".join(str(words.pop(id(c), "")) if c.tag else " ".join(c.text.split()) for c in x.children))
         if x.tag:
@@ -177,7 +207,7 @@ def _style_nodes(root: Node) -> Iterator[tuple[Node, int, int, int]]:
             for c in x.children:  # a run of like children looks like one
                 if c.tag and look[-1:] != [c.name]:
                     look.append(c.name)
-            yield x, _hash(path), _hash(">".join(look)), words[id(x)]
+            yield x, path, _hash(">".join(look)), words[id(x)]
 
 
 def _unimportant(root: Node, stats: dict[int, tuple[float, float]]) -> set[int]:
@@ -192,9 +222,35 @@ def _unimportant(root: Node, stats: dict[int, tuple[float, float]]) -> set[int]:
             of[id(x)] = (1 - keep) * node + keep * max(sum(kids) / len(kids), content)
         else:
             of[id(x)] = content
-        if of[id(x)] < LOW and not x.holds_main:
+        if of[id(x)] < LOW and not x.holds_main and not x.main:
             low.add(id(x))
-    return low
+    return low if _words_left(root, low) else {i for i in low if i not in _inside_main(root)}
+
+
+def _inside_main(root: Node) -> set[int]:
+    """The elements below those that HTML declares to be the article."""
+    work, out = [(root, False)], set()
+    while work:
+        x, inside = work.pop()
+        if inside:
+            out.add(id(x))
+        work += [(c, inside or x.main) for c in x.children if c.tag]
+    return out
+
+
+def _words_left(root: Node, low: set[int]) -> bool:
+    """Whether the article, if there is one, keeps more than half of its words: one that is copied all over a host has low importance, but is the article."""
+    work, all_words, left = [(root, False, False)], 0, 0
+    while work:
+        x, inside, gone = work.pop()
+        if x.tag and x.noise and not x.holds_main:
+            continue
+        gone = gone or id(x) in low
+        if inside and not x.tag:
+            all_words += x.words
+            left += 0 if gone else x.words
+        work += [(c, inside or x.main, gone) for c in x.children]
+    return 2 * left > all_words or not all_words
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,16 +282,16 @@ def host_of(url: Column) -> Column:
 
 
 def style_trees(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, stats) from (host, html), for hosts with PAGES pages or more: stats has path, look and content, two importances from 0 to 1, for each style node on SHARE of the host's pages, so there are at most 1 / SHARE times as many as a page has."""
+    """(host, stats) from (host, html): stats has path, look and content, two importances from 0 to 1, for each style node on PAGES of the host's pages or more. What is different on nearly every page, as articles are, isn't listed."""
     counts = pages.mapInArrow(_merge, "host string, path long, kind int, value long").groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
     c = F.col("c").cast("double")
     nodes = counts.groupBy("host", "path", "kind").agg(F.sum(c).alias("n"), F.sum(c * F.log(c)).alias("s"))
     entropy = F.greatest(F.lit(0.0), F.log("n") - F.col("s") / F.col("n")) / F.log("n")
     # presentation: the more ways to look, the more important; content: the same words on all pages, and the entropy of the pages given the words is 1
     importance = F.when(F.col("n") <= 1, 1.0).otherwise(entropy)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
-    nodes = nodes.join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages"))
+    nodes = nodes.where(F.col("n") >= PAGES)
     both = nodes.groupBy("host", "path").agg(F.max(F.when(F.col("kind") == 0, importance)).alias("look"), F.max(F.when(F.col("kind") == 1, importance)).alias("content"))
+    both = both.where(F.least("look", "content") < HIGH)
     return scratch.save(both.groupBy("host").agg(F.collect_list(F.struct("path", "look", "content")).alias("stats")), "trees")
 
 

@@ -1,6 +1,7 @@
 """Language-model scores and page texts."""
 
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -76,6 +77,27 @@ def test_page():
     assert H.text_of("<div>" * 5000 + "deep") == "deep" and H.text_of("<p") == "<p" and H.text_of("a < b") == "a < b"
 
 
+def test_page_names_and_odd_markup():
+    assert H.text_of('<p>The <span class="notice">special word</span> stays.</p>') == "The special word stays."
+    assert H.text_of('<article><div class="social-science"><p>a b c d e</p></div><h2 class="share">f</h2></article>') == "a b c d e\nf"
+    assert H.text_of("<div>" * 3000 + '<nav>MENU</nav><div class="ad">ADVERT</div><p>a b c d e f g</p>') == "a b c d e f g"
+    for bad in ('<a "' * 250_000, "<" * 500_000 + ">", '<a "' * 250_001 + ">", "<div>" * 100_000, "<b>" * 50_000 + "<div></div>" * 1000):
+        began = time.time()
+        H.text_of(bad)
+        assert time.time() - began < 5
+
+
+def test_tree_judges_articles(spark):
+    """Boilerplate without a name inside the article goes by the tree alone; an article that is the same on all pages stays."""
+    box = "<div class=b7><p>Join our weekly list today</p></div>"
+    rows = [(i, f"http://a.example/{i}", f"<body><p>Top</p><article><h1>T {i}</h1><p>story {i} is told in many words here</p>{box}</article></body>") for i in range(30)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<body><article><p>the same article on every page</p>{box}</article></body>") for i in range(30)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    alone = {r[0]: H.text_of(r[2]) for r in rows}
+    assert got[3] == "T 3\nstory 3 is told in many words here" and sum(got[i] != alone[i] for i in got) == 30
+    assert got[107].startswith("the same article")
+
+
 def test_style_tree(spark):
     """Without an article element, what all pages of a host share goes, what differs stays."""
     html = "<html><body><div class=top>Welcome to our site</div><div class=x><p>story {0} is told</p></div><div class=low><p>All rights</p></div></body></html>"
