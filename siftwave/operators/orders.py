@@ -255,15 +255,44 @@ def explicit(ranks: tuple[int, ...]) -> Order:
     return of
 
 
-def templates(patterns: tuple[str, ...]) -> Order:
-    """Ordered patterns of letters, ``_`` standing for any one: the first that a k-mer begins with decides; without one it comes last."""
+def greedy(ranks: tuple[int, ...]) -> Order:
+    """The rank, modulo 2^16, that a table has for the number that the lowest bits of the letters make; ties by their next two bits, as numbers to the base 4."""
 
     def of(d: Dialect, x: str, s: Shape) -> str:
-        def fits(p: str) -> str:
-            own = [f"{K.part(x, i, 1)} = '0{c}'" for i, c in enumerate(p) if c != "_"]
-            return " AND ".join(own) or "TRUE"
+        if len(ranks) != 2**s.k:
+            raise ValueError("a rank for each word of lowest bits is needed")
+        listed = ", ".join(str(r % 65536) for r in ranks)
+        low = d.integer(K.low_bits(x, s.k))
+        rank = f"array({listed})[{low}]" if d.name == "spark" else f"[{listed}][{low} + 1]"
+        # twice the number that the next bits make, so that nothing is divided
+        rest = " + ".join(f"CAST({K.byte(x, i)} % 8 - {K.byte(x, i)} % 2 AS BIGINT) * {4 ** (s.k - 1 - i)}" for i in range(s.k))
+        return d.number(f"(CAST({rank} AS BIGINT) * {2 * 4**s.k} + {rest})", 18)
+
+    return of
+
+
+#: A pattern's first sign, and where it is looked for, in this order; without a sign, at the end and then at the start.
+ENDS_OF = {"_": ("start", "end"), "<": ("start",), ">": ("end",)}
 
-        cases = " ".join(f"WHEN {fits(p)} THEN '{i:04d}'" for i, p in enumerate(patterns))
-        return f"CASE {cases} ELSE '1000' END"
+
+def templates(patterns: tuple[str, ...]) -> Order:
+    """Patterns of digits, with a sign from ENDS_OF before them or none. The first that a k-mer begins or ends with decides, the first place looked at before
+    the second; then how far its next copy is: at the start 100 less the places between, at the end the place of the last copy that stops two letters before
+    it, counted from 1; without a copy 1000. k-mers without a pattern come last."""
+
+    def of(d: Dialect, x: str, s: Shape) -> str:
+        cases = []
+        for i, p in enumerate(patterns):
+            sides = ENDS_OF.get(p[0], ("end", "start"))
+            digits = p[1:] if p[0] in ENDS_OF else p
+            word, m = "".join(f"0{c}" for c in digits), len(digits)
+            here = lambda at, word=word, m=m: f"{K.part(x, at, m)} = '{word}'"
+            for rank, side in enumerate(sides):
+                if m > s.k:
+                    continue
+                copies = [(1 + j, 100 - j) for j in range(s.k - m)] if side == "start" else [(j, j + 1) for j in reversed(range(s.k - 2 - m + 1))]
+                far = " ".join(f"WHEN {here(at)} THEN '{n:04d}'" for at, n in copies)
+                cases.append(f"WHEN {here(0 if side == 'start' else s.k - m)} THEN '{i:04d}{rank}' || {f'CASE {far} ELSE {chr(39)}1000{chr(39)} END' if far else repr('1000')}")
+        return f"CASE {' '.join(cases)} ELSE '100000000' END"
 
     return of

@@ -89,7 +89,7 @@ def get_scheme(name: str, **p: Any) -> Scheme:
         "T2": lambda: Scheme(O.pair(O.two_under(p["thr"]), O.anti_lex)),
         "Thresholds": lambda: Scheme(O.pair(t(), t(2), t(3), O.anti_lex)),
         "AntiLex": lambda: Scheme(O.anti_lex),
-        "Greedy": lambda: Scheme(O.explicit(tuple(p["ranks"]))),
+        "Greedy": lambda: Scheme(O.greedy(tuple(p["ranks"]))),
         "RcAntiLex": lambda: Scheme(O.rc_anti_lex(letters=flag("letters"))),
         "RcAntiLexMax": lambda: Scheme(O.rc_anti_lex(True, letters=flag("letters"))),
         "Decycling": lambda: _tied(O.decycling()),
@@ -107,7 +107,7 @@ def get_scheme(name: str, **p: Any) -> Scheme:
         "OpenClosed": lambda: _tied(O.open_closed(O.Syncmer(p["r"], *[flag(x) for x in ("open", "closed", "open_tmer", "closed_tmer", "other_tmer")], p.get("offset"), flag("modulo"), flag("anti_tmer")), O.anti_lex if flag("anti_lex") else O.random)),
         "Miniception": lambda: _tied(O.open_closed(O.Syncmer(p["r"], closed=True, miniception_r=True))),
         "Threshold": lambda: Scheme(O.threshold(p["t"], p["h"], flag("loose"), flag("open"))),
-        "Templates": lambda: _tied(O.templates(tuple(p["patterns"]))),
+        "Templates": lambda: Scheme(O.templates(tuple(p["patterns"]))),
     }
     if name not in made:
         raise ValueError(f"Invalid minimizer type: {name}")

@@ -86,8 +86,8 @@ DENSITIES = {
     "density_threshold_loose": grid("benchmark", "Threshold", 8, 5, t=100, h=2, loose=1),
     "density_threshold_open": grid("benchmark", "Threshold", 8, 5, t=100, h=1, open=1),
     "density_explicit_order": grid("benchmark", "Bruteforce", 4, 3, 4, ranks=_RANKS),
-    "density_greedy_order": grid("benchmark", "Greedy", 5, 3, 4, ranks=tuple(reversed(_RANKS))),
-    "density_templates": grid("benchmark", "Templates", 6, 4, 2, patterns=("011", "01_1", "10", "0")),
+    "density_greedy_order": grid("benchmark", "Greedy", 5, 3, 4, ranks=(5, 2, 7, 0, 3, 6, 1, 4)),
+    "density_templates": grid("benchmark", "Templates", 6, 4, 2, patterns=("_011", "<10", ">01", "0")),
     "sus_lex": grid("benchmark", "SusLex", 8, 2),
     "sus_alternating": grid("benchmark", "SusAlternating", 8, 2),
     "sus_abb": grid("benchmark", "SusABB", 8, 2, 4),

@@ -51,7 +51,7 @@ def collected(df, n):
 
 @pytest.mark.parametrize("name", PLAIN)
 @pytest.mark.parametrize("w,k,chunk", [(8, 4, 1024), (1, 3, 7), (5, 1, 16), (13, 6, 50)])
-def test_minimizers(texts, seqs, name, w, k, chunk):
+def test_least_kmers(texts, seqs, name, w, k, chunk):
     got = collected(sample(seqs, get_scheme(name), w, k, chunk=chunk), len(texts))
     key = PLAIN[name]
     assert got == [[min(range(i, i + w), key=lambda p: (key(t[p : p + k]), p)) for i in range(len(t) - w - k + 2)] for t in texts]
@@ -204,3 +204,40 @@ def test_explicit_local(spark, seqs):
     table = spark.createDataFrame([(c, c % 3) for c in range(4**4)], "code long, choice int")
     got = explicit_local(seqs.where("seq_id < 8"), table, 3, 2, 4)
     assert got.where("pos < win or pos > win + 2").count() == 0 and got.count() == sum(max(n - 3, 0) for n in (0, 1, 5, 11, 12, 300, 2500, 40))
+
+
+RANKS = (5, 2, 7, 0, 3, 6, 1, 4)
+PATTERNS = ("_011", "<10", ">01", "0")
+
+
+def greedy_key(kmer):
+    """Ranks of lowest bits, ties by the next two bits."""
+    low = high = 0
+    for c in kmer:
+        low, high = 2 * low + c % 2, 4 * high + c // 2 % 4
+    return RANKS[low], high
+
+
+def template_key(kmer):
+    """Place in the list, start or end, and the next copy."""
+    for i, p in enumerate(PATTERNS):
+        word = [int(c) for c in p if c.isdigit()]
+        m, k = len(word), len(kmer)
+        at = [j for j in range(k - m + 1) if list(kmer[j : j + m]) == word]
+        start = [100 - (j - 1) for j in at if j > 0][:1] or [1000]
+        end = [j + 1 for j in at if j + m <= k - 2][-1:] or [1000]
+        found = {"start": (0 in at, start[0]), "end": (k - m in at, end[0])}
+        for rank, side in enumerate({"_": ("start", "end"), "<": ("start",), ">": ("end",)}.get(p[0], ("end", "start"))):
+            if found[side][0]:
+                return i, rank, found[side][1]
+    return 1000, 0, 0
+
+
+@pytest.mark.parametrize(("name", "params", "key", "w", "k", "sigma"), [("Greedy", {"ranks": RANKS}, greedy_key, 5, 3, 8), ("Greedy", {"ranks": RANKS}, greedy_key, 1, 3, 4), ("Templates", {"patterns": PATTERNS}, template_key, 6, 4, 2), ("Templates", {"patterns": PATTERNS}, template_key, 4, 7, 2)])
+def test_listed_orders(spark, name, params, key, w, k, sigma):
+    r = random.Random(5)
+    texts = {i: bytes(r.randrange(sigma) for _ in range(r.choice([3, 40, 700]))) for i in range(12)}
+    df = spark.createDataFrame([(i, bytearray(t)) for i, t in texts.items()], "seq_id long, bytes binary")
+    got = {(x.seq_id, x.win): x.pos for x in sample(df, get_scheme(name, **params), w, k, 256).collect()}
+    expected = {(i, j): min(range(j, j + w), key=lambda p: (key(t[p : p + k]), p)) for i, t in texts.items() for j in range(len(t) - w - k + 2)}
+    assert got == expected
