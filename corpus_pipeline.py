@@ -14,8 +14,8 @@ from siftwave.llm.substring_dedup import remove_repeats
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or a robust cutoff go."""
-    return keep_good(docs, robust=True)
+    """Documents that fail the base rules or a cutoff go."""
+    return keep_good(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

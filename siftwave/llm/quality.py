@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, table
+from .common import WORD, Scratch, boxed, table
 
 #: Characters that count as symbols, and white space, which parts words.
 SYMBOLS = "#*$%&|<>"
@@ -19,38 +18,20 @@ WINDOW = 5
 
 
 class Measure(NamedTuple):
-    """A whole number by document; a document fails where it is above max(least, q + spread * (q - median)), q being the ``per_mille`` quantile of its language and source."""
-
-    name: str
-    per_mille: int
-    spread: int
-    least: int
-
-
-#: symbols and repeated lines for each 10,000 words or lines, and 100 times the mean length of a word. Short texts that repeat a line or
-#: two, or tables with a bar between words, are no junk; the least cutoffs keep them where a source has hardly any repeats or symbols.
-MEASURES = (
-    Measure("symbols", 950, 4, 7_500),
-    Measure("dup_lines", 950, 4, 5_000),
-    Measure("length", 950, 4, 2_000),
-)
-
-
-class Robust(NamedTuple):
-    """A document fails where it is above median + TIMES * max(q75 - median, spread) of its language and source, and above ``most`` in any case (none: no limit)."""
+    """A whole number by document, which fails where it is above median + TIMES * max(q75 - median, spread) of its language and source, and above ``most`` in any case (none: no limit)."""
 
     name: str
     spread: int
     most: int | None
 
 
-#: Up to a fourth of a group can be junk without moving its median and its third quartile by more than good documents do. Least spreads are for
+#: Symbols and repeated lines for each 10,000 words or lines, and 100 times the mean length of a word. Up to a fourth of a group can be junk without moving its median and its third quartile by more than good documents do. Least spreads are for
 #: groups where nearly all values are equal; shares of lines can't pass 10,000, so a cutoff near that would be none.
 TIMES = 4
-ROBUST = (
-    Robust("symbols", 1_500, 15_000),
-    Robust("dup_lines", 1_250, 8_000),
-    Robust("length", 250, None),
+MEASURES = (
+    Measure("symbols", 1_500, 15_000),
+    Measure("dup_lines", 1_250, 8_000),
+    Measure("length", 250, None),
 )
 
 #: A language and source with fewer documents takes the cutoffs of its language's merged sketches, and a language with fewer those of all.
@@ -104,8 +85,8 @@ def _measures() -> dict[str, Column]:
     }
 
 
-def cutoffs(measured: DataFrame, robust: bool = False) -> DataFrame:
-    """(lang, source, measure, cutoff) from (lang, source, base_failed, and a column for each measure). robust: by ROBUST instead of MEASURES.
+def cutoffs(measured: DataFrame) -> DataFrame:
+    """(lang, source, cutoffs) from (lang, source, base_failed, and a column for each measure).
 
     A sketch is a histogram: for each language, source and measure the number of documents in each bucket. Sketches merge by adding up
     their counts, which gives those of whole languages and of everything. Quantiles are lower ends of buckets.
@@ -127,21 +108,11 @@ def cutoffs(measured: DataFrame, robust: bool = False) -> DataFrame:
     by = Window.partitionBy("level", "lang", "source", "measure")
     every = every.withColumns({"upto": F.sum("docs").over(by.orderBy("low")), "all": F.sum("docs").over(by)})
     quantile = lambda q: F.min(F.when(F.col("upto") * 1000 >= F.col("all") * q, F.col("low")))
-    if robust:
-        return _fit(groups, _robust(every, quantile))
-    rule = F.create_map(*[x for m in MEASURES for x in (F.lit(m.name), F.struct(F.lit(m.per_mille).alias("q"), F.lit(m.spread).alias("spread"), F.lit(m.least).alias("least")))])[F.col("measure")]
-    found = every.withColumn("rule", rule).groupBy("level", "lang", "source", "measure", "rule").agg(quantile(F.col("rule.q")).alias("high"), quantile(F.lit(500)).alias("mid"))
-    found = found.select("level", "lang", "source", "measure", F.greatest(F.col("rule.least"), F.col("high") + F.col("rule.spread") * (F.col("high") - F.col("mid"))).alias("cutoff"))
-    return _fit(groups, found)
-
-
-def _robust(every: DataFrame, quantile: Callable[[Column], Column]) -> DataFrame:
-    """(level, lang, source, measure, cutoff) by ROBUST, from sketches with running counts."""
-    by_name = lambda x: F.create_map(*[c for m in ROBUST for c in (F.lit(m.name), x(m))])[F.col("measure")]
+    by_name = lambda x: F.create_map(*[c for m in MEASURES for c in (F.lit(m.name), x(m))])[F.col("measure")]
     found = every.groupBy("level", "lang", "source", "measure").agg(quantile(F.lit(750)).alias("high"), quantile(F.lit(500)).alias("mid"))
     free = F.col("mid") + TIMES * F.greatest(F.col("high") - F.col("mid"), by_name(lambda m: F.lit(m.spread)))
     # least() passes over nulls
-    return found.select("level", "lang", "source", "measure", F.least(free, by_name(lambda m: F.lit(m.most).cast("long"))).alias("cutoff"))
+    return _fit(groups, found.select("level", "lang", "source", "measure", F.least(free, by_name(lambda m: F.lit(m.most).cast("long"))).alias("cutoff")))
 
 
 def _fit(groups: DataFrame, found: DataFrame) -> DataFrame:
@@ -152,20 +123,20 @@ def _fit(groups: DataFrame, found: DataFrame) -> DataFrame:
     return groups.join(found, fits).groupBy("l", "s").pivot("measure", [m.name for m in MEASURES]).agg(F.first("cutoff")).select(F.col("l").alias("lang"), F.col("s").alias("source"), *[F.col(m.name).alias(f"{m.name}_cutoff") for m in MEASURES])
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = (), robust: bool = False) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row of df: id, the metrics, base_failed, one failed_<measure> for each measure, kept, and the columns in ``keep``.
 
     base_failed: fewer than 10 words, or over 20% of the words in repeated windows. Documents that don't fail it make the sketches;
     a document is kept if it isn't base_failed and is above none of its group's cutoffs. Null languages and sources are groups of their
     own; null ids stay; null text counts as empty and fails the base. An empty table gives an empty table; repeated rows are judged
-    alike. robust: cutoffs that junk can't move. The texts are read once; sketches and verdicts work on a table of numbers.
+    alike. The texts are read once; sketches and verdicts work on a table of numbers.
     """
     scratch = Scratch(df.sparkSession, "quality")
     columns = [F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *[F.col(c) for c in keep]]
     found = metrics(df.select(*columns, F.col(text_col).alias("_text")), "_text").drop("_text")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     found = scratch.save(found.withColumn("base_failed", failed).withColumns(_measures()), "metrics")
-    limits = scratch.save(cutoffs(found, robust), "cutoffs").withColumnsRenamed({"lang": "l", "source": "s"})
+    limits = scratch.save(cutoffs(found), "cutoffs").withColumnsRenamed({"lang": "l", "source": "s"})
     joined = found.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     over = {f"failed_{m.name}": F.coalesce(F.col(m.name) > F.col(f"{m.name}_cutoff"), F.lit(False)) for m in MEASURES}
     kept = ~F.col("base_failed")
@@ -179,26 +150,27 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def op8_quality_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), robust=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+#: The name under which these cutoffs were first registered.
+op8_quality_robust = op8_quality_rules
 
 
-def keep_good(df: DataFrame, robust: bool = False) -> DataFrame:
-    """The rows of documents that judge() keeps, with their columns. Verdicts are joined by id and a hash of the text, so repeated and null ids do no harm; rejected texts alone cross the join."""
-    digest = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
-    keyed = df.withColumn("_digest", digest)
-    bad = judge(keyed, keep=("_digest",), robust=robust).where("not kept").select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d")).distinct()
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left_anti").drop("_digest")
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of documents that judge() keeps, with their columns, whatever their names. Verdicts are joined by id and a hash of the text, language and source, so repeated and null ids do no harm; rejected texts alone cross the join. An empty table gives an empty table."""
+    digest = F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in (text_col, lang_col, source_col)])
+    keyed = boxed(df, doc_id=F.col(id_col), digest=digest)
+    plain = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), digest.alias("digest"))
+    bad = judge(plain, keep=("digest",)).where("not kept").select(F.col("doc_id").alias("id"), F.col("digest").alias("d")).distinct()
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left_anti").select("row.*")
 
 
 def _sql() -> str:
     """DuckDB SQL of the query: quantiles from sorted values of buckets' lower ends, which is what the histograms give."""
     fixed = {"symbols": "n_symbols * 10000 // greatest(n_words, 1)", "dup_lines": "n_dup_lines * 10000 // greatest(n_lines, 1)", "length": "word_chars * 100 // greatest(n_words, 1)"}
-    values = " UNION ALL ".join(f"SELECT r, lang, source, base_failed, '{m.name}' AS k, {fixed[m.name]} AS v, {m.per_mille} AS q, {m.spread} AS spread, {m.least} AS floor_ FROM m" for m in MEASURES)
+    values = " UNION ALL ".join(f"SELECT r, lang, source, base_failed, '{m.name}' AS k, {fixed[m.name]} AS v, {m.spread} AS spread, {'NULL' if m.most is None else m.most}::BIGINT AS most FROM m" for m in MEASURES)
 
     def cut(by: str) -> str:
         at = lambda q: f"list(low ORDER BY low)[CAST((count(*) * {q} + 999) // 1000 AS INT)]"
-        return f"SELECT {by} k, greatest(any_value(floor_), {at('any_value(q)')} + any_value(spread) * ({at('any_value(q)')} - {at('500')})) AS cutoff FROM g GROUP BY {by} k"
+        return f"SELECT {by} k, least({at('500')} + {TIMES} * greatest({at('750')} - {at('500')}, any_value(spread)), any_value(most)) AS cutoff FROM g GROUP BY {by} k"
 
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,

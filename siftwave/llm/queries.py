@@ -36,5 +36,6 @@ SQL = {
     "op4_license_scan": OP4_SQL,
     "op7_url_filter": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op8_quality_robust": OP8_SQL,
     "op10_decontaminate": OP10_SQL,
 }

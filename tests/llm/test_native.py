@@ -94,7 +94,7 @@ def verdicts(rows):
         for m in quality.MEASURES:
             values = sorted(low(x[3][m.name]) for x in own)
             at = lambda q, values=values: values[-(-len(values) * q // 1000) - 1]
-            if values and v[m.name] > max(m.least, at(m.per_mille) + m.spread * (at(m.per_mille) - at(500))):
+            if values and v[m.name] > min(at(500) + quality.TIMES * max(at(750) - at(500), m.spread), m.most or 10**9):
                 kept = False
         out.append(kept)
     return out
@@ -113,6 +113,9 @@ def test_keep_good(docs, corpus, empty):
     got = quality.keep_good(docs)
     assert got.columns == docs.columns
     assert got.count() == sum(verdicts(corpus))
+    names = {"n_chars": "digest", "words": "row", "label": "_digest"}
+    other = quality.keep_good(docs.withColumnsRenamed(names))
+    assert other.columns == [names.get(c, c) for c in docs.columns] and other.count() == got.count()
     assert quality.judge(empty).collect() == [] and quality.keep_good(empty).collect() == []
 
 
