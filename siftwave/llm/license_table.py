@@ -1,4 +1,4 @@
-"""The table of known sentences and rules for op4_license_texts: headers, grants and SPDX lines of common licences."""
+"""The table of known sentences and rules for op4_license_scan: headers, grants and SPDX lines of common licences."""
 
 from __future__ import annotations
 
@@ -48,7 +48,7 @@ RESERVED = Rule("LicenseRef-All-Rights-Reserved", ("all-rights-reserved",))
 
 
 def _table() -> tuple[dict[str, str], tuple[Rule, ...]]:
-    """Sentences and rules: those of op4_license_scan first, then headers, grants and SPDX lines, and RESERVED at the end."""
+    """Sentences and rules: those of licenses.SENTENCES first, then headers, grants and SPDX lines, and RESERVED at the end."""
     more = [(i, licence, s) for i, (licence, s) in HEADERS.items()]
     more += [(f"grant-{licence.lower()}-{i}-{j}", licence, g.format(n)) for licence, names in NAMES.items() for i, n in enumerate(names) for j, g in enumerate(GRANTS)]
     more += [(f"spdx-line-{x.lower()}", licence, f"SPDX-License-Identifier: {x}") for licence, xs in SPDX.items() for x in xs]

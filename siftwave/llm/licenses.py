@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower
 
 #: Sentences of public licences and notices, by identifier.
 SENTENCES = {
@@ -99,10 +99,6 @@ def scan(df: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple[Rule
     return out.withColumn("licences", licences).withColumn("licence", F.get("licences", F.lit(0)))
 
 
-def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).select("doc_id", F.array_join("line_ids", ",").alias("line_ids"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"), "licence")
-
-
 def _sql() -> str:
     text = lambda x: "'" + x.replace("'", "''") + "'"
     normal_sql = lambda x: f"trim(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
@@ -124,4 +120,5 @@ FROM d LEFT JOIN o USING (n) LEFT JOIN (FROM s WHERE view = 0) a USING (n) LEFT
 """
 
 
-OP4_SQL = _sql()
+#: DuckDB SQL of scan() over the view ``documents``, with the columns as in op4_license_scan.
+SCAN_SQL = _sql()

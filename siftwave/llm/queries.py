@@ -5,8 +5,7 @@ from __future__ import annotations
 from .chat import OP2_SQL, op2_chat_rotation
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .html_text import op6_html_text
-from .license_texts import op4_license_texts
-from .licenses import OP4_SQL, op4_license_scan
+from .license_texts import OP4_SQL, op4_license_scan, op4_license_texts
 from .lm_score import op5_lm_score
 from .minhash import op9_minhash_near_dedup
 from .mixing import OP3_SQL, op3_mix_sources
@@ -34,6 +33,7 @@ SQL = {
     "op2_chat_rotation": OP2_SQL,
     "op3_mix_sources": OP3_SQL,
     "op4_license_scan": OP4_SQL,
+    "op4_license_texts": OP4_SQL,
     "op7_url_filter": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
     "op8_quality_robust": OP8_SQL,

@@ -51,7 +51,7 @@ def test_licences(spark):
     assert {r[0]: r[4] for r in got if r[0] not in (None, 2)} == {0: None, 1: None, 3: "CC-BY-NC-4.0", 4: "MIT", 5: None, 6: None, 7: "BSD-3-Clause", 8: "GPL-3.0", 9: "Apache-2.0", 10: "Apache-2.0"}
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "licence"]).astype({"doc_id": "Int64"}))
-    expected = con.execute(licenses.OP4_SQL).fetchall()
+    expected = con.execute(licenses.SCAN_SQL).fetchall()
     flat = [(i, ",".join(a), ",".join(b), ",".join(c), d) for i, a, b, c, d in got]
     assert sorted(flat, key=key) == sorted(expected, key=key)
     assert licenses.scan(df.limit(0)).collect() == [] and not any(r.licence for r in licenses.scan(df, rules=()).collect())
