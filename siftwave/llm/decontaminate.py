@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, table
+from .common import Scratch, ascii_lower, boxed, table
 
 #: A word is a run of these, after A-Z is lower-cased; what stands between words.
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -98,28 +98,32 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return out.select("doc_id", "n_words", n.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n > 0) & (20 * n >= F.col("n_words"))).alias("contaminated"))
 
 
+def _beside_hits(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, digest, text, and hits' columns) for each row of docs, whatever its columns' names; null beside rows without a hit."""
+    keyed = boxed(docs, id=F.col(id_col), digest=digest_of(F.col(text_col)), text=F.col(text_col))
+    hits = hits.withColumnsRenamed({"digest": "hit_digest"})
+    return keyed.join(hits, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("hit_digest")), "left")
+
+
 def remove_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that are not contaminated, with their columns."""
-    keyed = docs.withColumn("_digest", digest_of(F.col(text_col)))
-    hits = find_hits(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"), _covered(F.col("hits")).cast("long").alias("_hit"))
-    some = keyed.join(hits, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left")
-    bad = F.col("_hit").isNotNull() & (20 * F.col("_hit") >= F.regexp_count(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(ITEM_WORD)))
-    return some.where(~bad).select(*[docs[c] for c in docs.columns])
+    """The rows of docs that are not contaminated, with their columns. Null texts stay; without items all rows do. An empty table gives an empty table."""
+    hits = find_hits(docs, items, id_col, text_col, **options).select("doc_id", "digest", _covered(F.col("hits")).cast("long").alias("hit"))
+    bad = F.col("hit").isNotNull() & (20 * F.col("hit") >= F.regexp_count(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(ITEM_WORD)))
+    return _beside_hits(docs, hits, id_col, text_col).where(~bad).select("row.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """All rows of docs; from their texts every word that is hit is cut, with what stands between it and the next word. Texts without a hit stay as they are, null too."""
-    keyed = docs.withColumn("_digest", digest_of(F.col(text_col)))
-    hits = find_hits(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"), "hits")
-    some = keyed.join(hits, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left")
+    """All rows of docs; from their texts every word that is hit is cut, with what stands between it and the next word. Texts without a hit stay as they are, null too. An empty table gives an empty table."""
+    hits = find_hits(docs, items, id_col, text_col, **options).select("doc_id", "digest", "hits")
     inside = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    some = some.withColumn("_gone", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))))
-    some = some.withColumn("_pieces", F.regexp_extract_all(F.col(text_col), F.lit(inside + BETWEEN + "*"), F.lit(0)))
+    some = _beside_hits(docs, hits, id_col, text_col)
+    some = some.withColumn("gone", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))))
+    some = some.withColumn("pieces", F.regexp_extract_all("text", F.lit(inside + BETWEEN + "*"), F.lit(0)))
     # positions that stay: all but those that are gone
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), F.col("_gone"))
-    cut = F.concat(F.regexp_extract(F.col(text_col), f"^{BETWEEN}*", 0), F.array_join(F.transform(stay, lambda i: F.get("_pieces", i)), ""))
-    out = F.when(F.col("hits").isNull(), F.col(text_col)).otherwise(cut)
-    return some.select(*[out.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    stay = F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), F.col("gone"))
+    cut = F.concat(F.regexp_extract("text", f"^{BETWEEN}*", 0), F.array_join(F.transform(stay, lambda i: F.get("pieces", i)), ""))
+    out = F.when(F.col("hits").isNull(), F.col("text")).otherwise(cut)
+    return some.select(*[(out if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,3 +168,12 @@ def test_remove_contaminated(spark, docs, corpus, items, empty):
     assert {r.doc_id: len(fold(r.text)) for r in cut.collect() if r.doc_id not in (2, None)} == left
     assert D.report(empty, bench).collect() == [] and D.remove_documents(empty, bench).collect() == []
     assert not any(r.n_hit for r in D.report(docs, bench.limit(0)).collect())
+
+
+def test_clashing_names(spark, docs):
+    items = spark.createDataFrame([(i, r.text) for i, r in enumerate(docs.where("n_chars between 100 and 900").limit(3).collect())], "item_id long, text string")
+    names = {"n_chars": "digest", "words": "row", "label": "hits", "lang": "id"}
+    for f in (D.remove_documents, D.remove_spans):
+        got, plain = f(docs.withColumnsRenamed(names), items), f(docs, items)
+        assert got.columns == [names.get(c, c) for c in docs.columns]
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
