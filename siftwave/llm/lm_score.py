@@ -5,8 +5,9 @@ P(class | history) is a softmax over sums of weights, one row of weights for eac
 words, and the word before the last alone (a skip), each hashed into ROWS rows. P(word | class) is the softmax of the
 words' own weights, which training by counts solves outright: (count + 1) / (class total + class size + 1), the one more being for unknown words.
 
-Steps: count all training words; train the weights, each shard by gradient steps over all its tokens and then the mean of all
-shards; score every text in numpy batches. Up to HEAD of the most frequent words are known to every task, which bounds what is broadcast; the
+Steps: count all training words; train the weights in ROUNDS rounds, each over its own part of the texts, whose shards take gradient
+steps from the last round's weights and end in their mean, where a shard counts for a row as often as it met the row; score every text in
+numpy batches. Up to HEAD of the most frequent words are known to every task, which bounds what is broadcast; the
 others travel to their counts, and by being rare they don't make a key hot.
 """
 
@@ -26,11 +27,15 @@ CLASSES = 64
 ROWS = 1 << 13
 TABLES = 3
 HEAD = 1 << 16
+BLOCK = 64
 BATCH = 4096
 RATE = 0.25
 
-#: Training tokens a shard has at least, where there are as many; a shard sends one set of weights.
-SHARD = 4_000_000
+#: Rounds of training; a text is in one of them, by a hash.
+ROUNDS = 4
+
+#: Training tokens that a shard of a round has at least, where there are as many; a shard sends one set of weights.
+SHARD = 1_000_000
 
 _START = np.uint64(0x2545F4914F6CDD1D)
 
@@ -69,8 +74,8 @@ def _logits(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
     return z
 
 
-def gradient_steps(weights: np.ndarray, bias: np.ndarray, moved: np.ndarray, kind: np.ndarray, f: np.ndarray) -> None:
-    """Steps over batches of tokens, in place. moved: for each row the sum of squared gradients, which slows its steps."""
+def gradient_steps(weights: np.ndarray, bias: np.ndarray, moved: np.ndarray, met: np.ndarray, kind: np.ndarray, f: np.ndarray) -> None:
+    """Steps over batches of tokens, in place. For each row, moved: the sum of squared gradients, which slows its steps; met: its tokens."""
     for lo in range(0, len(kind), BATCH):
         y, own = kind[lo : lo + BATCH], f[:, lo : lo + BATCH]
         p = _logits(weights, bias, own)
@@ -81,7 +86,8 @@ def gradient_steps(weights: np.ndarray, bias: np.ndarray, moved: np.ndarray, kin
             order = np.argsort(own[t], kind="stable")
             row = own[t][order]
             first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            g, row = np.add.reduceat(p[order], first, axis=0), row[first]
+            g, n, row = np.add.reduceat(p[order], first, axis=0), np.diff(np.append(first, len(row))), row[first]
+            met[t][row] += n
             moved[t][row] += (g * g).sum(1)
             weights[t][row] -= (RATE / np.sqrt(moved[t][row] + 1e-6))[:, None] * g
 
@@ -95,32 +101,53 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(kind[at].astype(np.int32)), pa.array(c)], ["h", "kind", "c"])
 
 
-def _train(bias: np.ndarray):
-    """Batches of (text), a shard, to those of (block, weights, seen): float32 rows of its weights."""
+def _train(model):
+    """Batches of (text), a shard, to those of (block, weights, moved, met): rows of its weights and what its steps are slowed by, in float32, and how often it met them."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, moved, seen = np.zeros((TABLES, ROWS, CLASSES), np.float32), np.zeros((TABLES, ROWS), np.float32), 0
+        weights, moved, bias = model.value[0].copy(), model.value[1].copy(), model.value[2]
+        met = np.zeros((TABLES, ROWS))
         for b in batches:
             for w in words(b.column(0), fold=True):
                 _, _, kind, f = tokens_of(w)
-                gradient_steps(weights, bias, moved, kind, f)
-                seen += len(kind)
-        if seen:
-            rows = weights.reshape(-1, 64 * CLASSES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([seen] * len(rows), pa.int64())], ["block", "weights", "seen"])
+                gradient_steps(weights, bias, moved, met, kind, f)
+        if met.any():
+            parts = [x.reshape(-1, BLOCK * n) for x, n in ((weights, CLASSES), (moved, 1), (met, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts[0]), dtype=np.int32)), *[pa.array([r.tobytes() for r in x], pa.binary()) for x in parts]], ["block", "weights", "moved", "met"])
 
     return of
 
 
 def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (block, weights, seen) to (block, weights): means over shards, which count by their tokens. Holds one sum a block."""
-    sums: dict[int, np.ndarray] = {}
-    seen: dict[int, int] = {}
+    """Batches of (block, weights, moved, met) to (block, weights, moved): means over shards. A shard counts by how often it met a row, so that shards without it don't shrink its weights. Holds one sum a block."""
+    sums: dict[int, tuple] = {}
     for b in batches:
-        for block, raw, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            sums[block] = sums.get(block, 0) + np.frombuffer(raw, np.float32).astype(np.float64) * n
-            seen[block] = seen.get(block, 0) + n
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(sums[k] / seen[k]).astype(np.float32).tobytes() for k in sums], pa.binary())], ["block", "weights"])
+        for block, weights, moved, met in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            n = np.frombuffer(met)[:, None] + 1e-9  # rows that no shard met keep what they had
+            x = np.frombuffer(weights, np.float32).reshape(-1, CLASSES) * n, np.frombuffer(moved, np.float32)[:, None] * n, n
+            sums[block] = tuple(p + q for p, q in zip(sums[block], x, strict=True)) if block in sums else x
+    raw = lambda i: pa.array([(x[i] / x[2]).astype(np.float32).tobytes() for x in sums.values()], pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), raw(0), raw(1)], ["block", "weights", "moved"])
+
+
+def fit(train: DataFrame, bias: np.ndarray, n: int) -> np.ndarray:
+    """Weights (table, row, class) trained on the texts of train, which have n tokens. Only one set of weights, of fixed size, comes to the driver after each round."""
+    context = train.sparkSession.sparkContext
+    weights, moved = np.zeros((TABLES, ROWS, CLASSES), np.float32), np.zeros((TABLES, ROWS), np.float32)
+    blocks = TABLES * ROWS // BLOCK
+    shards = max(1, n // (ROUNDS * SHARD))
+    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(ROUNDS))
+    for i in range(ROUNDS):
+        model = context.broadcast((weights, moved, bias))
+        # partitions are put together, not dealt anew
+        trained = train.where(part == i).coalesce(shards).mapInArrow(_train(model), "block int, weights binary, moved binary, met binary")
+        means = trained.repartition(min(shards, blocks), "block").mapInArrow(_mean, "block int, weights binary, moved binary").collect()
+        weights, moved = weights.copy(), moved.copy()
+        for r in means:
+            weights.reshape(blocks, -1)[r.block] = np.frombuffer(r.weights, np.float32)
+            moved.reshape(blocks, -1)[r.block] = np.frombuffer(r.moved, np.float32)
+        model.unpersist()
+    return weights
 
 
 def _score(model):
@@ -177,13 +204,7 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
     share = np.array([totals.get(k, (0, 0))[0] for k in range(CLASSES)], np.float64) + 1
     bias = np.log(share / share.sum()).astype(np.float32)
 
-    # partitions are put together, not dealt anew
-    shards = max(1, n // SHARD)
-    trained = train.coalesce(shards).mapInArrow(_train(bias), "block int, weights binary, seen long")
-    means = trained.repartition(min(shards, TABLES * ROWS // 64), "block").mapInArrow(_mean, "block int, weights binary")
-    weights = np.zeros((TABLES * ROWS // 64, 64 * CLASSES), np.float32)
-    for r in means.collect():  # one set of weights, whatever the input
-        weights[r.block] = np.frombuffer(r.weights, np.float32)
+    weights = fit(train, bias, n)
     # whole levels of counts, from the top, that have HEAD words at most; so no task sends more than its share of them
     level = F.floor(F.log2(F.col("c").cast("double")) * 8)
     least, known = None, 0
@@ -193,7 +214,7 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
             break
         least = r.level
     head = sorted((r.h % (1 << 64), r.c) for r in counts.where(level >= least).select("h", "c").collect()) if least is not None else []
-    model = {"weights": weights.reshape(TABLES, ROWS, CLASSES), "bias": bias, "size": size, "head": np.array([x[0] for x in head], np.uint64), "count": np.array([x[1] for x in head], np.float64)}
+    model = {"weights": weights, "bias": bias, "size": size, "head": np.array([x[0] for x in head], np.uint64), "count": np.array([x[1] for x in head], np.float64)}
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, counts double, score double, rare array<struct<h: long, n: int>>"
     scored = scratch.save(docs.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
 

@@ -37,21 +37,70 @@ def test_base(docs, corpus, head, monkeypatch):
     assert all(r.score < 0 for r in got)
 
 
-def test_model_learns(spark):
+def taking_turns(spark):
     """Two languages whose words take turns: what comes next follows from the last word."""
     import random
 
     r = random.Random(1)
     rows = [(i, " ".join(r.choice([f"a{j}x", f"b{j}y"]) if j % 2 else f"c{r.randint(0, 9)}z" for j in range(60))) for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    held = [x for x in L.score(df, F.col("doc_id") % 5 == 0).collect() if x.held_out]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("shard", [L.SHARD, 500])
+def test_model_learns(spark, shard, monkeypatch):
+    """In one shard a round, and in as many as there are partitions."""
+    monkeypatch.setattr(L, "SHARD", shard)
+    held = [x for x in L.score(taking_turns(spark).repartition(4), F.col("doc_id") % 5 == 0).collect() if x.held_out]
     # what follows is half known: the model needs at most nine tenths of the base's digits
     assert sum(x.score for x in held) > 0.9 * sum(x.base_score for x in held)
 
 
-def test_probabilities_sum_to_one():
+def test_mean_counts_shards_by_their_visits():
+    """A row that one of three shards met keeps that shard's weights; one that none met keeps what it had."""
+    rows = []
+    for weight, met in ((2.0, 5.0), (7.0, 0.0), (7.0, 0.0)):
+        w, m = np.full((L.BLOCK, L.CLASSES), weight, np.float32), np.full(L.BLOCK, met)
+        w[1], m[1] = 3.0, 0.0
+        rows.append((0, w.tobytes(), np.ones(L.BLOCK, np.float32).tobytes(), m.tobytes()))
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["block", "weights", "moved", "met"])
+    (out,) = L._mean(iter([batch]))
+    got = np.frombuffer(out["weights"][0].as_py(), np.float32).reshape(L.BLOCK, L.CLASSES)
+    assert np.allclose(got[0], 2.0) and np.allclose(got[1], 3.0)
+
+
+def test_score_is_that_of_the_weights(spark, monkeypatch):
+    """Against plain loops over tokens, with weights made up: softmax of classes times the share of the word in its class."""
     rng = np.random.default_rng(0)
-    weights, bias = rng.normal(size=(L.TABLES, L.ROWS, L.CLASSES)).astype(np.float32), rng.normal(size=L.CLASSES).astype(np.float32)
+    weights = rng.normal(size=(L.TABLES, L.ROWS, L.CLASSES)).astype(np.float32)
+    monkeypatch.setattr(L, "fit", lambda *_: weights)
+    rows = [(1, "a b a"), (2, "b c \u00e9t\u00e9 a"), (3, "a zz B"), (4, ""), (5, None)]
+    got = {r.doc_id: r.score for r in L.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 3).collect()}
+    counts, kinds = Counter(), {}
+    seen = {}
+    for i, t in rows:
+        (w,) = token_words(pa.array([t], pa.string()), fold=True)
+        _, h, kind, f = L.tokens_of(w)
+        seen[i] = list(zip(h.tolist(), kind.tolist(), f.T.tolist(), strict=True))
+        if i != 3:
+            counts.update(h.tolist())
+            kinds |= dict(zip(h.tolist(), kind.tolist(), strict=True))
+    of_class = Counter()
+    for h, c in counts.items():
+        of_class[kinds[h]] += c
+    size = [of_class[k] + sum(x == k for x in kinds.values()) + 1 for k in range(L.CLASSES)]
+    share = [of_class[k] + 1 for k in range(L.CLASSES)]
+    for i, tokens in seen.items():
+        want = 0.0
+        for h, k, f in tokens:
+            z = [math.log(share[c] / sum(share)) + sum(float(weights[t][f[t]][c]) for t in range(L.TABLES)) for c in range(L.CLASSES)]
+            want += math.log10(math.exp(z[k]) / sum(map(math.exp, z))) + math.log10((counts[h] + 1) / size[k])
+        assert abs(got[i] - want) < 1e-4
+    # in each class, the shares of its words and of one unknown word make one
+    for k in range(L.CLASSES):
+        assert sum(counts[h] + 1 for h in kinds if kinds[h] == k) + 1 == size[k]
+
+
+def test_tokens_and_classes():
     (w,) = token_words(pa.array(["a b c", "", None, "a"]), fold=True)
     doc, h, kind, f = L.tokens_of(w)
     assert doc.tolist() == [0, 0, 0, 0, 1, 2, 3, 3] and (h == 0).tolist() == [False] * 3 + [True] * 3 + [False, True]
