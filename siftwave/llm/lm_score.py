@@ -37,6 +37,7 @@ ROUNDS = 4
 #: Training tokens that a shard of a round has at least, where there are as many; a shard sends one set of weights.
 SHARD = 1_000_000
 
+_ONES = np.ones(CLASSES, np.float32)
 _START = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -66,9 +67,9 @@ def tokens_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[0][f[0]]
+    z = weights[0].take(f[0], 0)
     for t in range(1, TABLES):
-        z += weights[t][f[t]]
+        z += weights[t].take(f[t], 0)
     z += bias
     z -= z.max(1, keepdims=True)
     return z
@@ -80,15 +81,15 @@ def gradient_steps(weights: np.ndarray, bias: np.ndarray, moved: np.ndarray, met
         y, own = kind[lo : lo + BATCH], f[:, lo : lo + BATCH]
         p = _logits(weights, bias, own)
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
+        p /= (p @ _ONES)[:, None]
         p[np.arange(len(y)), y] -= 1
         for t in range(TABLES):
             order = np.argsort(own[t], kind="stable")
             row = own[t][order]
             first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            g, n, row = np.add.reduceat(p[order], first, axis=0), np.diff(np.append(first, len(row))), row[first]
+            g, n, row = np.add.reduceat(p.take(order, 0), first, axis=0), np.diff(np.append(first, len(row))), row[first]
             met[t][row] += n
-            moved[t][row] += (g * g).sum(1)
+            moved[t][row] += np.einsum("ij,ij->i", g, g)
             weights[t][row] -= (RATE / np.sqrt(moved[t][row] + 1e-6))[:, None] * g
 
 
@@ -164,7 +165,7 @@ def _score(model):
                 for lo in range(0, len(doc), BATCH):
                     z = _logits(weights, bias, f[:, lo : lo + BATCH])
                     own = z[np.arange(len(z)), kind[lo : lo + BATCH]].astype(np.float64)
-                    p[lo : lo + BATCH] = own - np.log(np.exp(z).sum(1, dtype=np.float64))
+                    p[lo : lo + BATCH] = own - np.log((np.exp(z, out=z) @ _ONES).astype(np.float64))
                 p = p / np.log(10) - np.log10(size)[kind]
                 at = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0))
                 known = head[at] == h if len(head) else np.zeros(len(h), bool)
