@@ -71,7 +71,8 @@ def _logits(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
     for t in range(1, TABLES):
         z += weights[t].take(f[t], 0)
     z += bias
-    z -= z.max(1, keepdims=True)
+    if max(z.max(initial=0), -z.min(initial=0)) > 80:  # beyond that, sums of powers could leave float32
+        z -= z.max(1, keepdims=True)
     return z
 
 
@@ -87,10 +88,14 @@ def gradient_steps(weights: np.ndarray, bias: np.ndarray, moved: np.ndarray, met
             order = np.argsort(own[t], kind="stable")
             row = own[t][order]
             first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            g, n, row = np.add.reduceat(p.take(order, 0), first, axis=0), np.diff(np.append(first, len(row))), row[first]
+            g, n, row = p.take(order[first], 0), np.diff(np.append(first, len(row))), row[first]
+            many = n > 1  # most rows are met once in a batch; only the others need sums
+            if many.any():
+                g[many] = np.add.reduceat(p.take(order[np.repeat(many, n)], 0), np.cumsum(n[many]) - n[many], axis=0)
             met[t][row] += n
             moved[t][row] += np.einsum("ij,ij->i", g, g)
-            weights[t][row] -= (RATE / np.sqrt(moved[t][row] + 1e-6))[:, None] * g
+            g *= (RATE / np.sqrt(moved[t][row] + 1e-6))[:, None]
+            weights[t][row] -= g
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
