@@ -85,3 +85,14 @@ def against_optima(bounds: DataFrame, optima: DataFrame) -> DataFrame:
     """(w, k, sigma, tight): whether a known optimum (w, k, sigma, num, den) equals its bound. Fractions are compared by cross-multiplying."""
     b = bounds.select("w", "k", "sigma", F.col("num").alias("b_num"), F.col("den").alias("b_den"))
     return optima.join(b, ["w", "k", "sigma"]).select("w", "k", "sigma", (F.col("num") * F.col("b_den") == F.col("b_num") * F.col("den")).alias("tight"))
+
+
+def distances(df: DataFrame) -> DataFrame:
+    """Adds to (w, k, sigma, num, den) with a density: factor, its multiple of 1 / (w + 1), and how far it is above the bound num / den and above the simple one of the next length."""
+    w, k = F.col("w"), F.col("k")
+    longer = F.ceil((k - 1) / w) * w + 1
+    return df.withColumns({
+        "factor": F.col("density") * (w + 1),
+        "above_bound": F.col("density") - F.col("num") / F.col("den"),
+        "above_simple": F.col("density") - F.greatest(simple(w, k), simple(w, longer)),
+    })

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.schemes import get_scheme, sample
 from .debruijn import all_words, de_bruijn_text
 
 Window = tuple[int, ...]
@@ -164,3 +166,22 @@ def window_ratio(samples: DataFrame, pattern: str, k: int, w: int) -> DataFrame:
     kmer = f"hex(substring(letters, cast(pos - win + 2 as int), {k}))"
     has = f"exists(sequence(0, {w - 1}), j -> hex(substring(letters, cast(j + 2 as int), {k})) RLIKE '^{pattern}$')"
     return samples.where(has).agg(F.count("*").alias("windows"), F.sum(F.expr(f"cast({kmer} RLIKE '^{pattern}$' as long)")).alias("chosen"))
+
+
+def compare_seeds(first: DataFrame, second: DataFrame, seeds: list[int], w: int, k: int, sigma: int) -> DataFrame:
+    """(seed, n_first, n_second, n_windows): for each seed of the random prefix order, the places its anchors sample in two tables of sequences (seq_id, bytes). The best is that with the fewest in the first, then the second, then the least seed. A seed is a plan of its own, so seeds are some dozens."""
+
+    def counted(seed: int, seqs: DataFrame) -> DataFrame:
+        found = sample(seqs, get_scheme("SusRandomLex", seed=seed), w, k, sigma)
+        new = F.col("prev").isNull() | (F.col("pos") != F.col("prev"))
+        return found.agg(F.coalesce(F.sum(new.cast("long")), F.lit(0)).alias("n"), F.count("*").alias("windows"))
+
+    sides = [(seed, side, counted(seed, seqs)) for seed in seeds for side, seqs in enumerate((first, second))]
+    every = reduce(DataFrame.unionByName, [c.select(F.lit(seed).cast("long").alias("seed"), F.lit(side).alias("side"), "n", "windows") for seed, side, c in sides])
+    of = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
+    return every.groupBy("seed").agg(of("n", 0).alias("n_first"), of("n", 1).alias("n_second"), of("windows", 0).alias("n_windows"))
+
+
+def best_seed(counts: DataFrame) -> DataFrame:
+    """The row of compare_seeds() that is best."""
+    return counts.agg(F.min(F.struct("n_first", "n_second", "seed", "n_windows")).alias("x")).select("x.seed", "x.n_first", "x.n_second", "x.n_windows")

@@ -235,6 +235,19 @@ def _exact_sql(case: tuple) -> str:
     return f"SELECT * FROM ({body} SELECT '{name}{''.join(map(str, p.values()))}' AS scheme, {w} AS w, {k} AS k, {s} AS sigma, {size}::BIGINT AS n_text, count(DISTINCT pos % {size}) AS n_sampled FROM smp)"
 
 
+def optimum_sql(optima: list[tuple[int, int, int, int, int]]) -> str:
+    """Whether optima (w, k, sigma, num, den) equal their bounds, which come from the least periods of all circles of digits, numbers to the base sigma."""
+    return f"""WITH o(w, k, sigma, num, den) AS (VALUES {", ".join(map(str, optima))}),
+    l AS (SELECT DISTINCT w, k, sigma, unnest([w + k, w + ((k - 2 + w) // w) * w + 1])::INT AS n FROM o),
+    d AS (SELECT *, unnest(list_filter(range(1, n + 1), lambda d: n % d = 0)) AS d FROM l),
+    s AS (SELECT *, pow(sigma, d)::BIGINT AS head, pow(sigma, n - d)::BIGINT AS tail, unnest(range(0, pow(sigma, n)::BIGINT)) AS x FROM d),
+    t AS (SELECT w, k, sigma, n, x, min(d) AS p FROM s WHERE x % tail * head + x // tail = x GROUP BY w, k, sigma, n, x),
+    c AS (SELECT w, k, sigma, n, p, count(*) AS words FROM t GROUP BY w, k, sigma, n, p),
+    b AS (SELECT w, k, sigma, pow(sigma, n)::BIGINT AS b_den, sum(words // p * ((p + w - 1) // w))::BIGINT AS b_num FROM c GROUP BY w, k, sigma, n)
+    SELECT w::INT AS w, k::INT AS k, sigma::INT AS sigma, bool_or(b_num * den = num * b_den) AND bool_and(b_num * den <= num * b_den) AS tight
+    FROM o JOIN b USING (w, k, sigma) GROUP BY w, k, sigma"""
+
+
 def sql() -> dict[str, str]:
     out = {name: oracle.density_sql(g.sql()) for name, g in DENSITIES.items()}
     low = lambda at: "(" + " + ".join(f"(instr('0123456789ABCDEF', substring(h, 2 * {at} + {2 * i + 2}, 1)) - 1) % 2 * {2 ** (3 - i)}" for i in range(4)) + ")::BIGINT"
@@ -282,7 +295,7 @@ def sql() -> dict[str, str]:
             round(ceil((w + k) / w) / (w + k), 9) AS lower, round(greatest(ceil((w + k) / w) / (w + k), ceil((w + j) / w) / (w + j)), 9) AS lower_next,
             round((w + k + (w - 1)) / w / (w + k), 9) AS lower_smooth FROM n""",
         "bounds_counted": "SELECT sum(ceil(length(word) / 4))::BIGINT AS num, 6561::BIGINT AS den FROM (" + " UNION ALL ".join(_lyndon_sql(3, n) for n in (1, 2, 4, 8)) + ")",
-        "optimum_vs_bound": "SELECT w::INT AS w, k::INT AS k, sigma::INT AS sigma, tight FROM (VALUES " + ", ".join(f"({w}, {k}, {s}, {str(bounds.forward_bound(w, k, s) * d == n)})" for w, k, s, n, d in OPTIMA) + ") t(w, k, sigma, tight)",
+        "optimum_vs_bound": optimum_sql(OPTIMA),
         "suffix_minimal_words": f"SELECT word FROM ({_words_sql(2, 8)}) WHERE len(list_filter(range(2, 9), lambda i: substring(word, i) < word)) = 0",
     }
     return out

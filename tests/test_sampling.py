@@ -241,3 +241,40 @@ def test_listed_orders(spark, name, params, key, w, k, sigma):
     got = {(x.seq_id, x.win): x.pos for x in sample(df, get_scheme(name, **params), w, k, 256).collect()}
     expected = {(i, j): min(range(j, j + w), key=lambda p: (key(t[p : p + k]), p)) for i, t in texts.items() for j in range(len(t) - w - k + 2)}
     assert got == expected
+
+
+def test_seeds(spark, texts, seqs):
+    """Against plain loops over windows and seeds."""
+    w, k, seeds = 5, 2, [7, 303023692]
+
+    def sampled(seed, text):
+        rank = lambda x: "".join(hashlib.md5((str(seed) + x[: i + 1].hex().upper()).encode()).hexdigest()[:2] for i in range(min(len(x), 16))).ljust(32, "f")
+        windows = [text[i : i + w + k - 1] for i in range(len(text) - w - k + 2)]
+        return [i + min(range(w), key=lambda j: (rank(x[j:]), j)) for i, x in enumerate(windows)]
+
+    some = seqs.where("length(bytes) < 300")
+    sides = [[t for t in texts if len(t) < 300], [t for t in texts if len(t) == 300]]
+    expected = []
+    for seed in seeds:
+        n = [sum(sum(a != b for a, b in zip([None, *p], p)) for p in (sampled(seed, t) for t in side)) for side in sides]
+        expected.append((seed, *n, sum(len(sampled(seed, t)) for t in sides[0])))
+    counts = search.compare_seeds(some, seqs.where("length(bytes) = 300"), seeds, w, k, 256)
+    assert sorted(map(tuple, counts.collect())) == sorted(expected)
+    best = min(expected, key=lambda x: (x[1], x[2], x[0]))
+    assert tuple(search.best_seed(counts).first()) == best
+
+
+def test_optimum_sql():
+    """The SQL's own bounds against exact fractions, in half the cases a little above."""
+    import duckdb
+
+    from siftwave.queries import optimum_sql
+
+    grid = [(w, k, s, bounds.forward_bound(w, k, s), (w + k + s) % 2) for w in range(2, 6) for k in range(1, 5) for s in (2, 3)]
+    got = duckdb.sql(optimum_sql([(w, k, s, b.numerator + more, b.denominator) for w, k, s, b, more in grid])).fetchall()
+    assert sorted(got) == sorted((w, k, s, not more) for w, k, s, _, more in grid)
+
+
+def test_distances(spark):
+    (r,) = bounds.distances(spark.createDataFrame([(5, 1, 2, 11, 30, 0.4)], "w int, k int, sigma int, num int, den int, density double")).collect()
+    assert (r.factor, r.above_bound, r.above_simple) == pytest.approx((2.4, 0.4 - 11 / 30, 0.4 - 2 / 6))
