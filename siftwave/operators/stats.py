@@ -146,3 +146,11 @@ def contexts(samples: DataFrame) -> DataFrame:
 def only_in(left: DataFrame, right: DataFrame) -> DataFrame:
     """Contexts of left that right doesn't have."""
     return left.join(right, "context", "left_anti")
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many letters two columns of bytes begin with alike; null if one is null."""
+    n = F.least(F.length(a), F.length(b))
+    differ = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    either = a.isNull() | b.isNull()
+    return F.when(~either, F.when(n > 0, F.coalesce(F.array_min(differ) - 1, n)).otherwise(F.lit(0)))

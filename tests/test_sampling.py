@@ -278,3 +278,9 @@ def test_optimum_sql():
 def test_distances(spark):
     (r,) = bounds.distances(spark.createDataFrame([(5, 1, 2, 11, 30, 0.4)], "w int, k int, sigma int, num int, den int, density double")).collect()
     assert (r.factor, r.above_bound, r.above_simple) == pytest.approx((2.4, 0.4 - 11 / 30, 0.4 - 2 / 6))
+
+
+def test_common_prefix(spark):
+    rows = [(b"", b"", 0), (b"", b"a", 0), (b"abc", b"abd", 2), (b"ab", b"abc", 2), (b"\xff\x00", b"\xff\x00", 2), (b"x", b"y", 0), (None, b"a", None), (b"a", None, None)]
+    got = spark.createDataFrame(rows, "a binary, b binary, n int").select("n", stats.common_prefix(F.col("a"), F.col("b"))).collect()
+    assert all(n == m for n, m in got)
