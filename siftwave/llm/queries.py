@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op12_bpe
 from .chat import OP2_SQL, op2_chat_rotation
 from .decontaminate import OP10_SQL, op10_decontaminate
+from .fill_middle import OP11_SQL, op11_fill_in_middle
 from .html_text import op6_html_text
+from .importance import OP13_SQL, op13_resample
 from .license_texts import OP4_SQL, op4_license_scan, op4_license_texts
 from .lm_score import op5_lm_score
 from .minhash import op9_minhash_near_dedup
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_quality_robust": op8_quality_robust,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_bpe": op12_bpe,
+    "op13_resample": op13_resample,
 }
 
 SQL = {
@@ -38,4 +44,6 @@ SQL = {
     "op8_quality_rules": OP8_SQL,
     "op8_quality_robust": OP8_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op13_resample": OP13_SQL,
 }
