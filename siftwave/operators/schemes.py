@@ -2,7 +2,7 @@
 
 A window is w consecutive k-mers. Sequences are cut into chunks of CHUNK windows that overlap by what a window needs, and chunks are dealt
 evenly, which is the only shuffle. A chunk's keys are an array, and the least key of each window is found by doubling: the least of 2, 4, 8, ...
-neighbours, for all chunks of an Arrow batch at once. A long sequence is many chunks, so neither memory nor time of a task follow it.
+neighbours, for all chunks of an Arrow batch at once. Anchors and rotations are found from the letters themselves. A long sequence is many chunks, so neither memory nor time of a task follow it.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions.keys import SPARK, Dialect
 from . import orders as O
+from . import suffixes as S
 from .orders import Order, Shape
 
 # executors need no copy of this module: its functions travel with the tasks
@@ -36,7 +37,8 @@ class Scheme(NamedTuple):
     """How windows of w k-mers are sampled.
 
     order: of k-mers, or of what an anchor prefers. kind: ``minimizer`` (least k-mer), ``anchor`` (least suffix of the window that starts at a k-mer)
-    or ``rotation`` (least rotation of the window). mod: inner k-mer length from (w, k); the sampled place counts modulo w.
+    or ``rotation`` (least rotation of the window). mod: inner k-mer length from (w, k); the sampled place counts modulo w. places: of anchors and
+    rotations, the place that each window of a row of letters samples, from (letters, w, k); without it, ``order`` gives a string for each place of each window.
     """
 
     order: Order
@@ -44,6 +46,7 @@ class Scheme(NamedTuple):
     rightmost: bool = False
     r: int = 0
     mod: Callable[[int, int], int] | None = None
+    places: Callable[[np.ndarray, int, int], np.ndarray] | None = None
 
     def inner(self, w: int, k: int) -> tuple[int, int]:
         """Window and k-mer length that the order sees; they cover as many letters."""
@@ -62,8 +65,16 @@ def mod_sampling(scheme: Scheme, r: int = 1, lr: bool = False, t: int = 0) -> Sc
     return scheme._replace(mod=lambda w, k: t or (k if k < r else (k - r) % w + r))
 
 
-def _anchor(order: Order) -> Scheme:
-    return Scheme(order, "anchor")
+def _anchor(order: Order, keys: S.Keys) -> Scheme:
+    return Scheme(order, "anchor", places=lambda letters, w, k: S.least_suffixes(keys(letters, w), w, k, least_keys))
+
+
+def _anchor_under(order: Order, limit: int) -> Scheme:
+    return Scheme(order, "anchor", places=lambda letters, w, k: S.least_under(letters < min(limit, 255) if limit <= 255 else letters >= 0, w, k))
+
+
+def _rotation(r: int) -> Scheme:
+    return Scheme(O.lex, "rotation", r=r, places=lambda letters, w, k: S.least_rotations(letters, w + k - 1, w + k - 1 - max(r, k - 1), least_keys))
 
 
 def _tied(order: Order) -> Scheme:
@@ -94,15 +105,16 @@ def get_scheme(name: str, **p: Any) -> Scheme:
         "RcAntiLexMax": lambda: Scheme(O.rc_anti_lex(True, letters=flag("letters"))),
         "Decycling": lambda: _tied(O.decycling()),
         "DoubleDecycling": lambda: _tied(O.decycling(True)),
-        "BdAnchor": lambda: Scheme(O.lex, "rotation", r=p["r"]),
-        "SusLex": lambda: _anchor(O.lex),
-        "SusAlternating": lambda: _anchor(O.alternating),
-        "SusABB": lambda: _anchor(O.abb),
-        "SusABB2": lambda: _anchor(O.pair(O.abb, O.lex)),
-        "SusThresholdABB": lambda: _anchor(t()),
-        "SusThresholdABB2": lambda: _anchor(O.pair(t(), O.lex)),
-        "SusAntiLex": lambda: _anchor(O.anti_lex),
-        "SusRandomLex": lambda: _anchor(O.random_lex(p.get("seed", 8797977))),
+        "BdAnchor": lambda: _rotation(p["r"]),
+        "SusLex": lambda: _anchor(O.lex, S.lex),
+        "SusAlternating": lambda: _anchor(O.alternating, S.alternating),
+        "SusABB": lambda: _anchor(O.abb, S.abb),
+        "SusABB2": lambda: _anchor(O.pair(O.abb, O.lex), S.pair(S.abb, S.lex)),
+        "SusThresholdABB": lambda: _anchor_under(t(), p["thr"] % 256),
+        # two suffixes never have the same such number
+        "SusThresholdABB2": lambda: _anchor_under(O.pair(t(), O.lex), p["thr"] % 256),
+        "SusAntiLex": lambda: _anchor(O.anti_lex, S.anti_lex),
+        "SusRandomLex": lambda: _anchor(O.random_lex(p.get("seed", 8797977)), S.random_lex(p.get("seed", 8797977))),
         "FracMin": lambda: _tied(O.frac_min(p["f"], flag("coded"))),
         "OpenClosed": lambda: _tied(O.open_closed(O.Syncmer(p["r"], *[flag(x) for x in ("open", "closed", "open_tmer", "closed_tmer", "other_tmer")], p.get("offset"), flag("modulo"), flag("anti_tmer")), O.anti_lex if flag("anti_lex") else O.random)),
         "Miniception": lambda: _tied(O.open_closed(O.Syncmer(p["r"], closed=True, miniception_r=True))),
@@ -166,50 +178,84 @@ def _key_words(keys: pa.ListArray) -> np.ndarray:
     return data.view(">u8").T.astype(np.uint64)
 
 
-def _picked(scheme: Scheme, w: int, keyed: int, width: int, kept: list[str]):
-    """Batches of (seq_id, kept, start, count, lead, data, keys) to those of (seq_id, kept, win, pos, prev, letters): a row for each window. keyed: k-mers in a window whose keys there are; letters: from the window before on, width in all."""
+class Windows(NamedTuple):
+    """The windows of some chunks of a batch: of each its chunk (its row in the batch), the window's number, the position it samples and the one that the window before it does, a sequence's first windows, for which prev is nothing, and, if wanted, w + k bytes from win - 1 on."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part.slice(lo, 1024) for part in batches for lo in range(0, len(part), 1024)):
-            start, count, lead = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("start", "count", "lead"))
+    batch: pa.RecordBatch
+    row: np.ndarray
+    win: np.ndarray
+    pos: np.ndarray
+    prev: np.ndarray
+    first: np.ndarray
+    letters: np.ndarray | None
+
+
+def binary_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(letters, offsets) of a column of bytes without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def sampled(batches: Iterator[pa.RecordBatch], scheme: Scheme, w: int, k: int, keyed: int, width: int) -> Iterator[Windows]:
+    """What each window of batches of chunks (start, count, lead, data, and keys if keyed) samples. keyed: k-mers in a window whose keys there are; width: letters to give with each window."""
+    for b in (part.slice(lo, 1024) for part in batches for lo in range(0, len(part), 1024)):
+        start, count, lead = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("start", "count", "lead"))
+        if scheme.places or width:
+            letters, offsets = binary_rows(b.column(b.schema.get_field_index("data")))
+        if keyed or not scheme.places:
             keys = b.column(b.schema.get_field_index("keys"))
             many = np.diff(keys.offsets.to_numpy())
-            first = np.cumsum(many) - many
-            best = least_keys(_key_words(keys), keyed, scheme.rightmost) if keyed else keys.flatten().to_numpy() + np.repeat(first, many)
-            row = np.repeat(np.arange(len(start)), count)
-            i = np.arange(len(row)) - (np.cumsum(count) - count)[row]
-            shift = (start - lead)[row]
-
-            def place(j: np.ndarray) -> np.ndarray:
-                """What window j of each row's chunk samples."""
-                at = best[np.maximum(first[row] + j, 0)] - first[row]
-                return shift + (j + (at - j) % w if scheme.mod else at)
-
-            j = i + lead[row]
-            out = [b.column(n).take(pa.array(row)) for n in range(len(kept))]
-            out += [pa.array(start[row] + i), pa.array(place(j)), pa.array(place(j - 1), mask=j == 0)]
+        else:
+            many = count + lead
+        first = np.cumsum(many) - many
+        if keyed:
+            best = least_keys(_key_words(keys), keyed, scheme.rightmost)
+        elif scheme.places:  # all places of the letters at once, chunks' ends too, where no window is
+            at = np.arange(int(many.sum())) - np.repeat(first, many)
+            best = scheme.places(letters, w, k)[np.repeat(offsets[:-1], many) + at] + at + np.repeat(first, many)
+        else:
+            best = keys.flatten().to_numpy() + np.repeat(first, many)
+        row = np.repeat(np.arange(len(start)), count)
+        i = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+        shift = (start - lead)[row]
+
+        def place(j: np.ndarray) -> np.ndarray:
+            """What window j of each row's chunk samples."""
+            at = best[np.maximum(first[row] + j, 0)] - first[row]
+            return shift + (j + (at - j) % w if scheme.mod else at)
+
+        j = i + lead[row]
+        pieces = None
+        if width:
+            at = (offsets[row] + j - 1)[:, None] + np.arange(width)
+            # the first window of a sequence has none before it
+            pieces = np.where((at < offsets[row][:, None]), np.uint8(0), letters[np.maximum(at, 0)])
+        yield Windows(b, row, start[row] + i, place(j), place(j - 1), j == 0, pieces)
+
+
+def _picked(scheme: Scheme, w: int, k: int, keyed: int, width: int, kept: list[str]):
+    """Batches of (seq_id, kept, start, count, lead, data, keys) to those of (seq_id, kept, win, pos, prev, letters): a row for each window."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in sampled(batches, scheme, w, k, keyed, width):
+            out = [x.batch.column(n).take(pa.array(x.row)) for n in range(len(kept))]
+            out += [pa.array(x.win), pa.array(x.pos), pa.array(x.prev, mask=x.first)]
             if width:
-                data = b.column(b.schema.get_field_index("data"))
-                offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data)].astype(np.int64)
-                letters = np.frombuffer(data.buffers()[2], np.uint8)
-                at = (offsets[row] + j - 1)[:, None] + np.arange(width)
-                # the first window of a sequence has none before it
-                pieces = np.where((at < offsets[row][:, None]), np.uint8(0), letters[np.maximum(at, 0)])
-                out.append(pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(np.arange(0, len(row) * width + 1, width, dtype=np.int64)), pa.py_buffer(pieces.tobytes())]).cast(pa.binary()))
+                out.append(pa.Array.from_buffers(pa.large_binary(), len(x.row), [None, pa.py_buffer(np.arange(0, len(x.row) * width + 1, width, dtype=np.int64)), pa.py_buffer(x.letters.tobytes())]).cast(pa.binary()))
             yield pa.RecordBatch.from_arrays(out, [*kept, "win", "pos", "prev", *(["letters"] if width else [])])
 
     return of
 
 
-def sample(seqs: DataFrame, scheme: Scheme, w: int, k: int, sigma: int = 256, chunk: int = CHUNK, keep: tuple[str, ...] = (), letters: bool = False) -> DataFrame:
-    """(seq_id, win, pos, prev) for each window of each sequence (seq_id, bytes): the position it samples, from 0, and the one the window before it samples (null for the first).
-
-    keep: more columns of seqs to carry along, small ones. letters: the w + k bytes of the window and the one before it too, from place win - 1 on.
-    """
+def keyed_chunks(seqs: DataFrame, scheme: Scheme, w: int, k: int, sigma: int, chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(chunks with all that sampled() needs, keyed)."""
     rows = chunks(seqs, w, k, chunk, keep)
     # keys cost a hundred times what moving a chunk's letters does, so chunks are dealt evenly whatever the files and however long a sequence
     rows = rows.repartition("seq_id", "start")
-    many = "count + lead"
+    many, columns = "count + lead", ["seq_id", *keep, "start", "count", "lead", "data"]
+    if scheme.places:
+        return rows.select(*columns), 0
     if scheme.kind == "minimizer":
         keyed, ik = scheme.inner(w, k)
         kmer, of = f"hex(substring(data, i + 1, {ik}))", lambda x: scheme.order(SPARK, x, Shape(keyed, ik, sigma))
@@ -221,10 +267,18 @@ def sample(seqs: DataFrame, scheme: Scheme, w: int, k: int, sigma: int = 256, ch
         least = f"array_min(transform(sequence(0, {n - 1}), j -> {window_key(SPARK, scheme, w, k, sigma, 'm', 'j')} || lpad(cast(j as string), {PLACE}, '0')))"
         body = SPARK.let(f"hex(substring(data, i + 1, {w + k - 1}))", lambda m: least, "m")
         rows = rows.withColumn("keys", F.expr(f"transform(sequence(0, {many} - 1), i -> i + cast(right({body}, {PLACE}) as bigint))"))
-    rows = rows.select("seq_id", *keep, "start", "count", "lead", "data", "keys")
+    return rows.select(*columns, "keys"), keyed
+
+
+def sample(seqs: DataFrame, scheme: Scheme, w: int, k: int, sigma: int = 256, chunk: int = CHUNK, keep: tuple[str, ...] = (), letters: bool = False) -> DataFrame:
+    """(seq_id, win, pos, prev) for each window of each sequence (seq_id, bytes): the position it samples, from 0, and the one the window before it samples (null for the first).
+
+    keep: more columns of seqs to carry along, small ones. letters: the w + k bytes of the window and the one before it too, from place win - 1 on.
+    """
+    rows, keyed = keyed_chunks(seqs, scheme, w, k, sigma, chunk, keep)
     kept = ["seq_id", *keep]
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), "win long, pos long, prev long", *(["letters binary"] if letters else [])])
-    return rows.mapInArrow(_picked(scheme, w, keyed, w + k if letters else 0, kept), schema)
+    return rows.mapInArrow(_picked(scheme, w, k, keyed, w + k if letters else 0, kept), schema)
 
 
 def kmer_at(seq_bytes: Column, pos: Column, k: int) -> Column:

@@ -45,3 +45,21 @@ CHANGED = "pos <> coalesce(prev, 0)"
 def density_sql(samples: str, by: str = "seq_id") -> str:
     first = f"{by}, " if by else ""
     return samples + f"SELECT {first}count(*) AS n_windows, sum(CASE WHEN {CHANGED} THEN 1 ELSE 0 END)::BIGINT AS n_changes, sum(pos)::BIGINT AS pos_sum FROM smp" + (f" GROUP BY {by}" if by else "")
+
+
+def grid_sql(seqs: str, schemes: list[tuple[str, Scheme]], ws: tuple[int, ...], ks: tuple[int, ...]) -> str:
+    """Densities of all schemes by w and k: the keys of each scheme and k once, with a frame for each w."""
+    parts, ctes = [], [f"seqs AS ({seqs})", "s AS (SELECT seq_id, h, length(h) // 2 AS n FROM seqs)"]
+    for i, (name, scheme) in enumerate(schemes):
+        for k in ks:
+            t = f"{i}_{k}"
+            frames = ", ".join(f"min(key) OVER (PARTITION BY seq_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS b{w}" for w in ws)
+            ctes.append(f"km_{t} AS (SELECT seq_id, n, h, unnest(range(0, n - {k} + 1)) AS p FROM s WHERE n >= {k})")
+            ctes.append(f"kx_{t} AS (SELECT seq_id, n, p, substring(h, 2 * p + 1, {2 * k}) AS x FROM km_{t})")
+            ctes.append(f"kk_{t} AS (SELECT seq_id, n, p, {scheme.order(DUCKDB, 'x', Shape(0, k, 256))} || lpad(CAST(p AS VARCHAR), {PLACE}, '0') AS key FROM kx_{t})")
+            ctes.append(f"mm_{t} AS MATERIALIZED (SELECT seq_id, n, p, {frames} FROM kk_{t})")
+            for w in ws:
+                pos = f"CAST(right(b{w}, {PLACE}) AS BIGINT)"
+                rows = f"SELECT {pos} AS pos, lag({pos}) OVER (PARTITION BY seq_id ORDER BY p) AS prev FROM mm_{t} WHERE p <= n - {w + k - 1}"
+                parts.append(f"SELECT '{name}' AS scheme, {w} AS w, {k} AS k, count(*) AS n_windows, count(*) FILTER ({CHANGED}) AS n_changes, coalesce(sum(pos), 0)::BIGINT AS pos_sum FROM ({rows})")
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(parts)}"

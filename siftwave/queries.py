@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import stats
+from .operators.grids import Cell, grid_density, run_stats
 from .operators.schemes import explicit_local, get_scheme, sample
 from .plans import bounds, debruijn, explore, oracle, search
 from .sources.text import sequences
@@ -100,8 +101,15 @@ DENSITIES = {
     "bd_anchor_r1": grid("benchmark", "BdAnchor", 8, 2, r=1),
     "bd_anchor_r2": grid("benchmark", "BdAnchor", 8, 2, r=2),
     "bd_anchor_r3": grid("benchmark", "BdAnchor", 8, 2, r=3),
+    "sus_abb2_w64": grid("benchmark", "SusABB2", 64, 4),
+    "sus_antilex_w256": grid("documents", "SusAntiLex", 256, 2),
+    "bd_anchor_w64": grid("benchmark", "BdAnchor", 64, 4, r=8),
+    "bd_anchor_w256": grid("documents", "BdAnchor", 256, 2, r=3),
 }
 
+#: Those whose windows are too wide for DuckDB on whole tables; tests hold them against plain loops.
+WIDE = ("sus_antilex_w256", "bd_anchor_w256")
+
 
 def _density(g: Grid) -> Query:
     return lambda spark, d: stats.density(g.samples(spark, d), "seq_id")
@@ -155,18 +163,26 @@ def selections(spark: SparkSession, _: str) -> DataFrame:
     return out
 
 
+#: The grid: schemes by w and k, over documents.
+GRID_SCHEMES, GRID_W, GRID_K = ("Random", "Lex", "AntiLex", "Alternating"), (4, 8, 12, 24), (2, 4, 6, 10)
+
+
+def grid_cells() -> list[Cell]:
+    return [Cell(name, get_scheme(name), w, k) for name in GRID_SCHEMES for w in GRID_W for k in GRID_K]
+
+
 def rolling(spark: SparkSession, d: str) -> DataFrame:
-    """The least density up to each k."""
-    out = None
-    for k in range(1, 7):
-        row = stats.density(_SMALL._replace(k=k).samples(spark, d)).select(F.lit("AntiLex").alias("scheme"), F.lit(k).alias("k"), (F.col("n_changes") / F.col("n_windows")).alias("density"))
-        out = row if out is None else out.unionByName(row)
+    """The least density up to each k, all k from one reading."""
+    cells = [Cell("AntiLex", get_scheme("AntiLex"), _SMALL.w, k) for k in range(1, 7)]
+    out = grid_density(_SMALL.sequences(spark, d), cells).select("scheme", "k", (F.col("n_changes") / F.col("n_windows")).alias("density"))
     return stats.rolling_min(out, "scheme", "k", "density").select("scheme", "k", F.round("density", 9).alias("density"), F.round("least_so_far", 9).alias("least_so_far"))
 
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _density(g) for name, g in DENSITIES.items()}
     out |= {
+        "all_stats": lambda s, d: run_stats(_BASE.sequences(s, d), get_scheme("Random"), 8, 4),
+        "grid_density": lambda s, d: grid_density(_BASE.sequences(s, d), grid_cells()),
         "density_total": lambda s, d: stats.density(_BASE.samples(s, d)),
         "density_rightmost": lambda s, d: stats.density(sample(_SMALL.sequences(s, d), get_scheme("ThresholdABB", thr=100)._replace(rightmost=True), 8, 4), "seq_id"),
         "distinct_positions": lambda s, d: stats.distinct_positions(_BASE.samples(s, d)),
@@ -249,12 +265,26 @@ def optimum_sql(optima: list[tuple[int, int, int, int, int]]) -> str:
 
 
 def sql() -> dict[str, str]:
-    out = {name: oracle.density_sql(g.sql()) for name, g in DENSITIES.items()}
+    out = {name: oracle.density_sql(g.sql()) for name, g in DENSITIES.items() if name not in WIDE}
     low = lambda at: "(" + " + ".join(f"(instr('0123456789ABCDEF', substring(h, 2 * {at} + {2 * i + 2}, 1)) - 1) % 2 * {2 ** (3 - i)}" for i in range(4)) + ")::BIGINT"
     jump = "pos - coalesce(prev, 0)"
     right = oracle.sample_sql(oracle.sequence_sql("benchmark", "item_id", "text", 256), get_scheme("ThresholdABB", thr=100)._replace(rightmost=True), 8, 4, 256)
     ctx = "SELECT DISTINCT substring(h, 2 * win - 1, 24) AS context FROM smp WHERE prev IS NOT NULL AND pos <> prev"
     out |= {
+        "all_stats": _BASE.sql() + f""", x AS MATERIALIZED (SELECT win, pos, prev, {low('pos')} AS code, {low('prev')} AS code_before FROM smp)
+            SELECT 'windows' AS stat, 0::BIGINT AS a, 0::BIGINT AS b, count(*) AS n FROM x
+            UNION ALL SELECT 'changes', 0, 0, count(*) FROM x WHERE {oracle.CHANGED}
+            UNION ALL SELECT 'pos_sum', 0, 0, sum(pos)::BIGINT FROM x
+            UNION ALL SELECT 'back', 0, 0, count(*) FROM x WHERE pos < prev
+            UNION ALL SELECT 'outside', 0, 0, count(*) FROM x WHERE pos < win OR pos >= win + 8
+            UNION ALL SELECT 'place', pos - win, 0, count(*) FROM x GROUP BY pos - win
+            UNION ALL SELECT 'jump', {jump}, 0, count(*) FROM x WHERE {oracle.CHANGED} GROUP BY {jump}
+            UNION ALL SELECT 'transfer', prev - win + 1, pos - win, count(*) FROM x WHERE prev IS NOT NULL GROUP BY prev - win + 1, pos - win
+            UNION ALL SELECT 'kmer', code, 0, count(*) FROM x WHERE {oracle.CHANGED} GROUP BY 2
+            UNION ALL SELECT 'kmer_place', code, pos - win, count(*) FROM x GROUP BY 2, 3
+            UNION ALL SELECT 'jump_to', code, pos - prev, count(*) FROM x WHERE pos > prev GROUP BY 2, 3
+            UNION ALL SELECT 'jump_from', code_before, pos - prev, count(*) FROM x WHERE pos > prev GROUP BY 2, 3""",
+        "grid_density": oracle.grid_sql(oracle.sequence_sql("documents", "doc_id", "text", 256), [(n, get_scheme(n)) for n in GRID_SCHEMES], GRID_W, GRID_K),
         "density_total": oracle.density_sql(_BASE.sql(), ""),
         "density_rightmost": oracle.density_sql(right),
         "distinct_positions": _BASE.sql() + "SELECT seq_id, count(DISTINCT pos) AS n_sampled FROM smp GROUP BY seq_id",
