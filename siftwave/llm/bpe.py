@@ -141,19 +141,17 @@ def merge(v: Vocabulary, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
 
 
 @cache
-def _doubtful() -> re.Pattern:
-    """Characters that tables of another Unicode version may read otherwise: those without a meaning in Python's, and later ones than 3.2 that marks or compositions are made of. Texts that have some are rare, and read by the public library's own rules."""
-    old = unicodedata.ucd_3_2_0
-    new = [chr(c) for c in range(0x110000) if old.category(chr(c)) == "Cn"]
-    parts = {chr(int(x, 16)) for c in new if (d := unicodedata.decomposition(c)) and d[0] != "<" for x in d.split()}
-    found = sorted(ord(c) for c in new if unicodedata.category(c) == "Cn" or unicodedata.combining(c) or unicodedata.decomposition(c) or c in parts)
-    spans: list[list[int]] = []
-    for c in found:
-        if spans and spans[-1][1] == c - 1:
-            spans[-1][1] = c
-        else:
-            spans.append([c, c])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
+def _new_parts() -> set[str]:
+    """Characters later than Unicode 3.2 that others are composed of."""
+    new = [chr(c) for c in range(0x110000) if unicodedata.ucd_3_2_0.category(chr(c)) == "Cn"]
+    return {p for c in new if (d := unicodedata.decomposition(c)) and d[0] != "<" for x in d.split() if unicodedata.ucd_3_2_0.category(p := chr(int(x, 16))) == "Cn"}
+
+
+def doubtful(c: str) -> bool:
+    """Whether tables of another Unicode version may read a character otherwise: one without a meaning in Python's, or a later one than 3.2 that is a mark or part of a composition."""
+    if unicodedata.category(c) == "Cn":
+        return True
+    return unicodedata.ucd_3_2_0.category(c) == "Cn" and (unicodedata.combining(c) != 0 or unicodedata.decomposition(c) != "" or c in _new_parts())
 
 
 @cache
@@ -163,12 +161,14 @@ def _library(pattern: str) -> tuple[Any, Any]:
     return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]), pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text, normalised, white space left out."""
+def words_of(text: str, sure: set[str]) -> list[str]:
+    """The words of a text, normalised, white space left out. sure: characters known not to be doubtful, which it adds to; texts with a doubtful one are rare, and read by the public library's own rules."""
     if not text.isascii():
-        if _doubtful().search(text):
-            normal, split = _library(WORD_PATTERN)
-            return [w for w, _ in split.pre_tokenize_str(normal.normalize_str(text))]
+        for c in set(text) - sure:
+            if doubtful(c):
+                normal, split = _library(WORD_PATTERN)
+                return [w for w, _ in split.pre_tokenize_str(normal.normalize_str(text))]
+            sure.add(c)
         # letters one by one: a sigma at a word's end is no other letter here
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
     return _WORDS.findall(text.lower())
@@ -187,7 +187,7 @@ class Encoder(dict):
     """Numbers words by their first appearance, and holds the ids of those that it knows."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.fresh, self.chars = v, [], 0
+        self.v, self.fresh, self.chars, self.sure = v, [], 0, set()
         self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
         for t in v.special:
@@ -216,10 +216,10 @@ class Encoder(dict):
     def numbers(self, text: str) -> list[int]:
         """The numbers of a text's words. No word is a special token, as words are of letters or of signs alone."""
         if self.parts is None or "<" not in text:
-            return list(map(self.__getitem__, words_of(text)))
+            return list(map(self.__getitem__, words_of(text, self.sure)))
         out: list[int] = []
         for i, part in enumerate(self.parts.split(text)):
-            out += [self[part]] if i % 2 else map(self.__getitem__, words_of(part))
+            out += [self[part]] if i % 2 else map(self.__getitem__, words_of(part, self.sure))
         return out
 
     def encode(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
