@@ -5,8 +5,9 @@ sequence of child elements) and contents (the words below it) are counted. A nod
 has low importance, one that differs from page to page has high importance: entropies to the base of the number of pages say which.
 A branch's importance is combined from its own presentation and its children's, its leaves' from their contents. Branches of low
 importance are removed from each page, in the article too, of which at least half stays, as articles may be copied all over a host. What HTML itself
-declares to be menu, footer, advert, form, comment and so on by its tag or role is of no importance whatever its words, as such parts may
-change with every page; a class or id that says so counts unless the branch holds a large share of the page's words.
+declares to be menu, footer, advert, form and so on by its tag or role is of no importance whatever its words, as such parts may
+change with every page. So is what a class or id calls comments, advert, sidebar or notice by its whole name. A menu, or a list of related pages, is
+one only if at least half of its words are links; anything else of that name is text, which the trees judge as they judge the rest.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "if
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
 NOISE = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "head", "title", "button", "select", "textarea", "input", "svg", "canvas", "object", "dialog", "menu", "noembed", "noframes", "xmp", "audio", "video"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "banner", "popup", "modal", "newsletter", "subscribe", "comment", "comments", "disqus", "respond", "share", "sharing", "social", "related", "widget", "masthead", "toolbar", "pagination", "pager"}
+NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "sponsor", "sponsored", "promo", "promotion", "promotions", "sidebar", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "banner", "popup", "modal", "newsletter", "subscribe", "subscription", "comment", "comments", "commentlist", "disqus", "respond"}
+OF_LINKS = {"menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "share", "sharing", "social", "related", "widget", "widgets", "toolbar", "pagination", "pager"}
+OUTSIDE = {"header", "masthead", "topbar"}
+BESIDE = {"site", "page", "main", "primary", "secondary", "global", "reader", "readers", "user", "users", "top", "bottom", "left", "right", "box", "block", "area", "list", "section", "container", "wrapper", "wrap", "inner", "bar", "form", "text", "body", "post", "article", "entry", "posts", "links", "link", "message", "google", "js"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 
@@ -40,41 +44,50 @@ PAGES = 8
 HIGH = 0.9
 DECAY = 0.9
 
-#: Share of a page's words from which a branch is no menu or advert, whatever its class; and elements that a class alone can't make one.
-LARGE = 0.3
+#: Elements that a class alone makes nothing else.
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 #: Quoted values are taken whole and never looked at again, so a page takes time in proportion to its length.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
 _UNQUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_PART = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    """An element, or text if tag is empty."""
+    """An element, or text if tag is empty. named: what its class or id says that it is, one of ``NAMES``, ``OF_LINKS`` or ``OUTSIDE``, or nothing."""
 
-    __slots__ = ("tag", "name", "noise", "named", "main", "children", "text", "holds_main", "words")
+    __slots__ = ("tag", "name", "noise", "named", "main", "children", "text", "holds_main", "words", "links")
 
-    def __init__(self, tag: str, name: str = "", noise: bool = False, main: bool = False, text: str = "", named: bool = False):
+    def __init__(self, tag: str, name: str = "", noise: bool = False, main: bool = False, text: str = "", named: set[str] | None = None):
         self.tag, self.name, self.noise, self.named, self.main, self.text = tag, name, noise, named, main, text
-        self.words = len(text.split())
+        self.words, self.links = len(text.split()), 0
         self.children: list[Node] = []
         self.holds_main = False
 
 
+def named(name: str, in_main: bool) -> set[str] | None:
+    """Which list has a class's or id's name: it is made of a word of that list and of words that stand beside such words, and of no others."""
+    parts = [x.lower() for x in _PART.findall(name)] if name.isascii() else []
+    for words in (NAMES, OF_LINKS, OUTSIDE):
+        if not words.isdisjoint(parts) and all(x in words or x in BESIDE or x.isdigit() or x in NAMES or x in OF_LINKS for x in parts):
+            return None if words is OUTSIDE and in_main else words
+    return None
+
+
 def _element(tag: str, source: str, in_main: bool) -> Node:
-    name, noise, main, named = tag, tag in NOISE or (tag == "header" and not in_main), tag in ("article", "main"), False
+    name, noise, main, kind = tag, tag in NOISE or (tag == "header" and not in_main), tag in ("article", "main"), None
     if source and source != "/":
-        found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(source)}
-        if found.get("class"):
-            name = f"{tag}.{'.'.join(sorted(found['class'].split()))}"
-        role = found.get("role", "")
+        found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(source)}
+        classes = found.get("class", "").split()
+        if classes:
+            name = f"{tag}.{'.'.join(sorted(x.lower() for x in classes))}"
+        role = found.get("role", "").lower()
         main = main or role in ("main", "article")
-        noise = noise or role in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        noise = noise or role in ROLES
         if tag not in INLINE and tag not in HEADINGS and tag not in ("html", "body", "main"):
-            named = found.get("id") in WORDS or not WORDS.isdisjoint(_PART.findall(found.get("class", "")))
-    return Node(tag, name, noise, main and not noise and not named, named=named)
+            kind = next(filter(None, (named(x, in_main) for x in [*classes, found.get("id", "")])), None)
+    return Node(tag, name, noise, main and not noise and kind is not NAMES, named=kind)
 
 
 def parse(source: str) -> Node:
@@ -140,26 +153,41 @@ def parse(source: str) -> Node:
 
 
 def _settle(root: Node) -> None:
-    """Counts the words of each element, scripts and menus left out, and lets an element that its class alone makes noise be so unless it holds a large share of the page's."""
+    """Counts the words of each element and those in links, scripts and menus left out, and decides what elements are that have a name."""
     order = [root]
     for x in order:
         order += [c for c in x.children if c.tag]
     for x in reversed(order):
-        x.words = 0 if x.noise and not x.holds_main else sum(c.words for c in x.children)
+        gone = x.noise and not x.holds_main
+        x.words = 0 if gone else sum(c.words for c in x.children)
+        x.links = 0 if gone else x.words if x.tag == "a" else sum(c.links for c in x.children)
     for x in order:
-        x.noise = x.noise or (x.named and x.words < LARGE * root.words)
+        x.noise = x.noise or x.named is NAMES or x.named is OUTSIDE or (x.named is OF_LINKS and 2 * x.links >= x.words)
+
+
+def _has(root: Node, tag: str) -> bool:
+    """Whether such an element stands in the article."""
+    work = [(root, False)]
+    while work:
+        x, inside = work.pop()
+        if inside and x.tag == tag:
+            return True
+        work += [(c, inside or x.main) for c in x.children if c.tag and not (x.noise and not x.holds_main)]
+    return False
 
 
-def _blocks(node: Node, dropped: set[int], only_main: bool, inside: bool, out: list[list[str]]) -> None:
-    """Appends the pieces of text of each block to out; a block begins and ends with elements that aren't inline."""
-    work: list[tuple[Node | None, bool]] = [(node, inside)]
+def _blocks(root: Node, dropped: set[int], out: list[list[str]]) -> None:
+    """Appends the pieces of text of each block to out; a block begins and ends with elements that aren't inline. Where HTML declares an article, text outside it is none of it, but for a page's first heading if the article has none."""
+    only_main = root.holds_main
+    title = only_main and not _has(root, "h1")
+    work: list[tuple[Node | None, bool]] = [(root, not only_main)]
     while work:
         x, inside = work.pop()
         if x is None:
             out.append([])
             continue
         if not x.tag and not x.children:
-            if inside or not only_main:
+            if inside:
                 out[-1].append(x.text)
             continue
         if (x.noise and not x.holds_main) or id(x) in dropped:
@@ -173,7 +201,7 @@ def _blocks(node: Node, dropped: set[int], only_main: bool, inside: bool, out: l
         if block:
             out.append([])
             work.append((None, inside))
-        work += [(c, inside or x.main) for c in reversed(x.children)]
+        work += [(c, inside or x.main or (title and x.tag == "h1")) for c in reversed(x.children)]
 
 
 def text_of(source: str, stats: dict[int, tuple[float, float]] | None = None) -> str:
@@ -181,7 +209,7 @@ def text_of(source: str, stats: dict[int, tuple[float, float]] | None = None) ->
     root = parse(source)
     dropped = _unimportant(root, stats) if stats else set()
     out: list[list[str]] = [[]]
-    _blocks(root, dropped, root.holds_main, False, out)
+    _blocks(root, dropped, out)
     lines = (" ".join("".join(pieces).split()) for pieces in out)
     return "\n".join(x for x in lines if x)
 
@@ -254,18 +282,23 @@ def _words_left(root: Node, low: set[int]) -> bool:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (host, html) to (host, path, kind, value), one row for each style node of a page and kind: 0 presentation, 1 content."""
+    """Batches of (host, hash, size, html) to (host, hash, size, path, kind, value) for each style node of a page: one row with how it looks there (kind 0), and one with each of its contents (kind 1)."""
     for b in batches:
-        out: tuple[list, ...] = ([], [], [], [])
-        for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            seen = set()
+        row, out = [], ([], [], [])
+        for i, source in enumerate(b.column(3).to_pylist()):
+            looks: dict[int, set[int]] = {}
+            contents: dict[int, set[int]] = {}
             for _, path, look, content in _style_nodes(parse(source or "")):
-                for kind, value in ((0, look), (1, content)):
-                    if (path, kind, value) not in seen:
-                        seen.add((path, kind, value))
-                        for o, v in zip(out, (host, path, kind, value), strict=True):
-                            o.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["host", "path", "kind", "value"])
+                looks.setdefault(path, set()).add(look)
+                contents.setdefault(path, set()).add(content)
+            for path, of in looks.items():
+                for kind, value in ((0, next(iter(of)) if len(of) == 1 else _hash(str(sorted(of)))), *((1, c) for c in contents[path])):
+                    row.append(i)
+                    for o, v in zip(out, (path, kind, value), strict=True):
+                        o.append(v)
+        page = pa.array(row, pa.int64())
+        found = [pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int32(), pa.int64()), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(page) for c in range(3)), *found], ["host", "hash", "size", "path", "kind", "value"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,30 +314,44 @@ def host_of(url: Column) -> Column:
     return ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), "://([^/?#]*)", 1))
 
 
-def style_trees(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, stats) from (host, html): stats has path, look and content, two importances from 0 to 1, for each style node on PAGES of the host's pages or more. What is different on nearly every page, as articles are, isn't listed."""
-    counts = pages.mapInArrow(_merge, "host string, path long, kind int, value long").groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
+def style_nodes(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, hash, size, path, kind, value) from (host, hash, size, html), see _merge(); hash and size say which page it is, and equal pages are one."""
+    return scratch.save(pages.select("host", "hash", "size", "html").mapInArrow(_merge, "host string, hash long, size int, path long, kind int, value long"), "nodes")
+
+
+def style_trees(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, path, look, content) of style nodes: two importances from 0 to 1 for each that stands on PAGES of the host's pages or more. What is different on nearly every page, as articles are, isn't listed."""
+    counts = nodes.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
     c = F.col("c").cast("double")
-    nodes = counts.groupBy("host", "path", "kind").agg(F.sum(c).alias("n"), F.sum(c * F.log(c)).alias("s"))
+    kinds = counts.groupBy("host", "path", "kind").agg(F.sum(c).alias("n"), F.sum(c * F.log(c)).alias("s"))
     entropy = F.greatest(F.lit(0.0), F.log("n") - F.col("s") / F.col("n")) / F.log("n")
     # presentation: the more ways to look, the more important; content: the same words on all pages, and the entropy of the pages given the words is 1
     importance = F.when(F.col("n") <= 1, 1.0).otherwise(entropy)
-    nodes = nodes.where(F.col("n") >= PAGES)
-    both = nodes.groupBy("host", "path").agg(F.max(F.when(F.col("kind") == 0, importance)).alias("look"), F.max(F.when(F.col("kind") == 1, importance)).alias("content"))
-    both = both.where(F.least("look", "content") < HIGH)
-    return scratch.save(both.groupBy("host").agg(F.collect_list(F.struct("path", "look", "content")).alias("stats")), "trees")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, importance))
+    # a page has one row of presentation for each node, and one of content at least
+    both = kinds.groupBy("host", "path").agg(F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"), of(0).alias("look"), of(1).alias("content"))
+    both = both.where((F.col("pages") >= PAGES) & (F.least("look", "content") < HIGH))
+    return scratch.save(both.select("host", "path", "look", "content"), "trees")
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row for each row of df: page_id, url, text (empty if none) and n_chars, its code points.
 
     Null html counts as empty, a null url as a host of its own; neither ids nor repeated rows matter. Other columns are not read. An empty
-    table gives an empty table. White space, also that of character references, becomes one space inside a block.
+    table gives an empty table. White space, also that of character references, becomes one space inside a block. Style nodes that stand on
+    fewer than PAGES pages of a host aren't judged. A branch goes if its importance is under LOW; where more than half of an article's words would go, as of an article
+    that is copied all over a host, the article stays whole. A page brings only the importances of its own nodes with it, however large its host's tree.
     """
     scratch = Scratch(df.sparkSession, "html")
-    rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    trees = style_trees(rows.select("host", "html"), scratch)
-    found = rows.join(trees, "host", "left").select("page_id", "url", "html", "stats")
+    source = F.coalesce(html_col, F.lit(""))
+    rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"), F.xxhash64(source).alias("hash"), F.length(source).alias("size"))
+    nodes = style_nodes(rows, scratch)
+    trees = style_trees(nodes, scratch)
+    page = ["host", "hash", "size"]
+    own = nodes.where("kind = 0").select(*page, "path").distinct().join(trees, ["host", "path"])
+    own = scratch.save(own.groupBy(*page).agg(F.collect_list(F.struct("path", "look", "content")).alias("stats")), "pages")
+    scratch.drop("nodes")
+    found = rows.join(own, page, "left").select("page_id", "url", "html", "stats")
     kind = df.schema[id_col].dataType.simpleString()
     return found.mapInArrow(_read, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 

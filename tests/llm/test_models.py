@@ -154,3 +154,70 @@ def test_style_tree(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[7] == ("story 7 is told", 15) and got[None] == ("story z is told", 15) and got[90] == ("", 0) and got[91] == ("alone", 5)
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_names_are_judged_whole():
+    """Comments, sidebars and notices go however long they are; what only sounds like them stays, and menus are known by their links."""
+    article = "<p>" + "word " * 60 + "</p>"
+    for name in ("comments", "sidebar", "cookie-notice", "readerComments", "comment-list", "ad-box", "site-footer", "newsletter"):
+        assert H.text_of(f'<article>{article}<div class="{name}"><p>{"noise " * 90}</p></div></article>') == ("word " * 60).strip(), name
+        assert H.text_of(f'<body><div>{article}</div><div id="{name}"><p>{"noise " * 90}</p></div></body>') == ("word " * 60).strip(), name
+    for name in ("modal-logic", "menu", "related-work", "notice-period", "no-sidebar", "social-contract", "header"):
+        assert H.text_of(f'<article>{article}<section class="{name}"><p>kept text here</p></section></article>').endswith("kept text here"), name
+    links = "<a href=x>one two</a> <a href=y>three</a>"
+    assert H.text_of(f'<article>{article}<div class="related">{links} also</div></article>') == ("word " * 60).strip()
+    assert H.text_of(f'<article>{article}<div class="related">{links} also all of these words</div></article>').endswith("these words")
+    assert H.text_of("<body><h1>Title</h1><main><p>text</p></main><div>other</div></body>") == "Title\ntext"
+    assert H.text_of("<body><header><h1>Site</h1></header><main><h1>Title</h1><p hidden>text</p></main></body>") == "Title\ntext"
+
+
+def _plain_trees(rows):
+    """(host, path) to its importances, with counters in plain loops."""
+    seen = {}
+    for host, html in rows:
+        page = {}
+        for _, path, look, content in H._style_nodes(H.parse(html or "")):
+            looks, contents = page.setdefault(path, (set(), set()))
+            looks.add(look)
+            contents.add(content)
+        for path, (looks, contents) in page.items():
+            a, b = seen.setdefault((host, path), (Counter(), Counter()))
+            a[tuple(sorted(looks))] += 1
+            b.update(contents)
+
+    def importance(c):
+        n = sum(c.values())
+        return 1.0 if n <= 1 else max(0.0, -sum(x / n * math.log(x / n) for x in c.values())) / math.log(n)
+
+    return {k: (importance(a), importance(b)) for k, (a, b) in seen.items() if sum(a.values()) >= H.PAGES and min(importance(a), importance(b)) < H.HIGH}
+
+
+def test_trees_and_texts_against_plain_loops(spark):
+    """A path that repeats within a page has more contents than pages; hosts with few and many pages, equal pages, and null html."""
+    import random
+
+    r = random.Random(5)
+    rows = []
+    for host, n in (("a.example", 5), ("b.example", 9), ("c.example", 40)):
+        for i in range(n):
+            items = "".join(f"<li>{r.choice(['x', 'y', str(i)])}</li>" for _ in range(r.randint(1, 4)))
+            note = "<div class=k>the same note</div>" if i % 3 else "<div class=k><p>the same note</p></div>"
+            rows.append((len(rows), f"http://{host}/{i}", f"<body><ul>{items}</ul>{note}<div class=t><p>story {r.randint(0, 10**6)}</p></div></body>"))
+    rows += [(100, *rows[20][1:]), (100, *rows[20][1:]), (101, "http://c.example/n", None), (None, None, "<p>x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    from siftwave.llm.common import Scratch
+
+    keyed = df.select(H.host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("hash"), F.length("html").alias("size"), "html")
+    trees = H.style_trees(H.style_nodes(keyed, Scratch(spark, "test")), Scratch(spark, "test")).collect()
+    expected = _plain_trees([((u or "").replace("http://", "").split("/")[0], h) for _, u, h in rows])
+    assert {(x.host, x.path) for x in trees} == set(expected)
+    for x in trees:
+        assert abs(x.look - expected[x.host, x.path][0]) < 1e-9 and abs(x.content - expected[x.host, x.path][1]) < 1e-9
+    assert any(host == "b.example" for host, _ in expected) and not any(host == "a.example" for host, _ in expected)
+    want = []
+    for i, u, h in rows:
+        host = (u or "").replace("http://", "").split("/")[0]
+        want.append((i, H.text_of(h or "", {p: v for (q, p), v in expected.items() if q == host})))
+    got = [(x.page_id, x.text) for x in H.extract(df).collect()]
+    assert Counter(got) == Counter(want)
+    assert any("the same note" in t for _, t in got) and any("the same note" not in t and "story" in t for _, t in got)
