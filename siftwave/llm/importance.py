@@ -216,7 +216,8 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     the source alone. Texts are read twice, once for the counts; what a task holds is a group of texts of some megabytes, and long texts are cut between words.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "resample")
-    source, wanted = (bucket_counts(df, c, n, buckets) for df, c in ((docs, text_col), (target, target_text_col)))
+    # as tables, as both are used twice
+    source, wanted = (scratch.save(bucket_counts(df, c, n, buckets), name) for df, c, name in ((docs, text_col, "source"), (target, target_text_col, "target")))
     gains = np.zeros(buckets, np.int64)
     for r in bucket_gains(source, wanted, buckets, spark).collect():  # as many as buckets, a parameter
         gains[r.bucket] = r.gain
