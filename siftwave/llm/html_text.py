@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -218,6 +219,12 @@ def _hash(x: str) -> int:
     return xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
 
+@lru_cache(maxsize=1 << 16)
+def _below(path: int, name: str) -> int:
+    """The path of a child of that name."""
+    return _hash(f"{path}/{name}")
+
+
 def _style_nodes(root: Node) -> Iterator[tuple[Node, int, int, int]]:
     """(element, path, presentation, content) as hashes, children before parents."""
     work: list[tuple[Node, int, bool]] = [(root, 0, False)]
@@ -227,7 +234,7 @@ def _style_nodes(root: Node) -> Iterator[tuple[Node, int, int, int]]:
         inner = [c for c in x.children if c.tag]
         if not seen:
             work.append((x, path, True))
-            work += [(c, _hash(f"{path}/{c.name}"), False) for c in inner]
+            work += [(c, _below(path, c.name), False) for c in inner]
             continue
         words[id(x)] = _hash(" ".join(str(words.pop(id(c), "")) if c.tag else " ".join(c.text.split()) for c in x.children))
         if x.tag:
@@ -242,7 +249,10 @@ def _unimportant(root: Node, stats: dict[int, tuple[float, float]]) -> set[int]:
     """The elements whose branches are of low importance."""
     of: dict[int, float] = {}
     low = set()
-    for x, path, _, _ in _style_nodes(root):
+    order = [(root, 0)]
+    for x, path in order:
+        order += [(c, _below(path, c.name)) for c in x.children if c.tag]
+    for x, path in reversed(order[1:]):  # children before parents
         node, content = stats.get(path, (1.0, 1.0))
         kids = [of[id(c)] for c in x.children if id(c) in of]
         if kids:
@@ -252,7 +262,7 @@ def _unimportant(root: Node, stats: dict[int, tuple[float, float]]) -> set[int]:
             of[id(x)] = content
         if of[id(x)] < LOW and not x.holds_main and not x.main:
             low.add(id(x))
-    return low if _words_left(root, low) else {i for i in low if i not in _inside_main(root)}
+    return low if not low or _words_left(root, low) else {i for i in low if i not in _inside_main(root)}
 
 
 def _inside_main(root: Node) -> set[int]:
