@@ -93,6 +93,7 @@ def fold(win: np.ndarray, pos: np.ndarray, prev: np.ndarray, first: np.ndarray,
     yield _one("windows", len(win))
     yield _one("changes", int(changed.sum()))
     yield _one("pos_sum", int(pos.sum()))
+    yield _one("runs", int((first | (pos != prev)).sum()))
     if not full:
         return
     yield _one("back", int((~first & (pos < prev)).sum()))
@@ -165,7 +166,7 @@ def _folded(cells: list[Cell], keyed: list[list[int]], full: bool, kmers: bool):
 def grid_stats(seqs: DataFrame, cells: Iterable[Cell], sigma: int = 256, full: bool = True, kmers: bool = False, chunk: int = CHUNK) -> DataFrame:
     """(cell, stat, a, b, n) of sequences (seq_id, bytes), read once for all cells; cell is a cell's number.
 
-    stat is windows, changes or pos_sum (sums of positions; a and b are 0), and with ``full`` also back (windows that sample a place before that of the one before), outside
+    stat is windows, changes, pos_sum (sums of positions) or runs (windows that sample another place than the one before, first ones too; a and b are 0), and with ``full`` also back (windows that sample a place before that of the one before), outside
     (windows that sample none of their w places), place (a: place in the window), jump (a: how far a change goes) and transfer (a, b: places of neighbouring
     windows); with ``kmers`` too, kmer (a: number of the lowest bits, of changes), kmer_place (b: place), jump_to and jump_from (b: jump forward). Sequences shorter than a cell's window have none there.
     """

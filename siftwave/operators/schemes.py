@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.keys import SPARK, Dialect
+from ..sources.records import chunks_of_pieces
 from . import orders as O
 from . import suffixes as S
 from .orders import Order, Shape
@@ -248,11 +249,8 @@ def _picked(scheme: Scheme, w: int, k: int, keyed: int, width: int, kept: list[s
     return of
 
 
-def keyed_chunks(seqs: DataFrame, scheme: Scheme, w: int, k: int, sigma: int, chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+def keyed_chunks(rows: DataFrame, scheme: Scheme, w: int, k: int, sigma: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """(chunks with all that sampled() needs, keyed)."""
-    rows = chunks(seqs, w, k, chunk, keep)
-    # keys cost a hundred times what moving a chunk's letters does, so chunks are dealt evenly whatever the files and however long a sequence
-    rows = rows.repartition("seq_id", "start")
     many, columns = "count + lead", ["seq_id", *keep, "start", "count", "lead", "data"]
     if scheme.places:
         return rows.select(*columns), 0
@@ -275,12 +273,23 @@ def sample(seqs: DataFrame, scheme: Scheme, w: int, k: int, sigma: int = 256, ch
 
     keep: more columns of seqs to carry along, small ones. letters: the w + k bytes of the window and the one before it too, from place win - 1 on.
     """
-    rows, keyed = keyed_chunks(seqs, scheme, w, k, sigma, chunk, keep)
+    # keys cost a hundred times what moving a chunk's letters does, so chunks are dealt evenly whatever the files and however long a sequence
+    return sample_chunks(chunks(seqs, w, k, chunk, keep).repartition("seq_id", "start"), scheme, w, k, sigma, keep, letters)
+
+
+def sample_chunks(rows: DataFrame, scheme: Scheme, w: int, k: int, sigma: int = 256, keep: tuple[str, ...] = (), letters: bool = False) -> DataFrame:
+    """As sample(), from chunks as of chunks()."""
+    rows, keyed = keyed_chunks(rows, scheme, w, k, sigma, keep)
     kept = ["seq_id", *keep]
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), "win long, pos long, prev long", *(["letters binary"] if letters else [])])
     return rows.mapInArrow(_picked(scheme, w, k, keyed, w + k if letters else 0, kept), schema)
 
 
+def sample_pieces(pieces: DataFrame, scheme: Scheme, w: int, k: int, sigma: int = 256, chunk: int = CHUNK, letters: bool = False) -> DataFrame:
+    """As sample(), from pieces (seq_id, at, data) of sequences, which may be longer than a row can hold; the letters that a chunk needs of its neighbours come with the one shuffle."""
+    return sample_chunks(chunks_of_pieces(pieces, w, k, chunk), scheme, w, k, sigma, (), letters)
+
+
 def kmer_at(seq_bytes: Column, pos: Column, k: int) -> Column:
     """Hex of the k-mer at a position."""
     return F.hex(F.substring(seq_bytes, pos.cast("int") + 1, F.lit(k)))
@@ -297,10 +306,10 @@ def explicit_local(seqs: DataFrame, scheme_map: DataFrame, w: int, k: int, sigma
     return windows.join(table, "code").select("seq_id", (F.col("start") + F.col("i")).cast("long").alias("win"), (F.col("start") + F.col("i") + F.col("choice")).cast("long").alias("pos"))
 
 
-def cyclic(seqs: DataFrame, scheme: Scheme, w: int, k: int, sigma: int = 256) -> DataFrame:
-    """(seq_id, pos): the distinct positions that the windows of each sequence sample if its end is joined to its beginning."""
+def cyclic(seqs: DataFrame, scheme: Scheme, w: int, k: int, sigma: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(seq_id, size, keep, pos): the distinct positions that the windows of each sequence sample if its end is joined to its beginning."""
     l = w + k - 1
     times = F.ceil(F.lit(l - 1) / F.length("bytes")).cast("int")
-    ring = seqs.where(F.length("bytes") > 0).select("seq_id", F.length("bytes").alias("size"), F.concat("bytes", F.substring(F.unhex(F.repeat(F.hex("bytes"), times + 1)), 1, l - 1)).alias("bytes"))
-    found = sample(ring, scheme, w, k, sigma, keep=("size",))
-    return found.select("seq_id", "size", (F.col("pos") % F.col("size")).alias("pos")).distinct()
+    ring = seqs.where(F.length("bytes") > 0).select("seq_id", F.length("bytes").alias("size"), *keep, F.concat("bytes", F.substring(F.unhex(F.repeat(F.hex("bytes"), times + 1)), 1, l - 1)).alias("bytes"))
+    found = sample(ring, scheme, w, k, sigma, keep=("size", *keep))
+    return found.select("seq_id", "size", *keep, (F.col("pos") % F.col("size")).alias("pos")).distinct()

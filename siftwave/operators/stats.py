@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from .schemes import Scheme, cyclic
+from .suffixes import circle_ranks
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def changed() -> Column:
@@ -109,13 +118,25 @@ def cycle_stats(samples: DataFrame) -> DataFrame:
     return samples.groupBy(F.size("samples").alias("samples")).agg(F.count("*").alias("n"))
 
 
+def _turned(l: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of (circle, samples) to (word, samples): the least rotation in hex, and the samples as text, counted from where it begins."""
+        for b in batches:
+            rows = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(len(b), l)
+            turn = np.argmin(circle_ranks(rows), axis=1) if len(b) else np.zeros(0, np.int64)
+            words = np.take_along_axis(rows, (np.arange(l) + turn[:, None]) % l, axis=1)
+            samples = [",".join(map(str, sorted((x - t) % l for x in xs))) for xs, t in zip(b.column(1).to_pylist(), turn.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes().hex().upper() for w in words], pa.string()), pa.array(samples, pa.string())], ["word", "samples"])
+
+    return of
+
+
 def bad_cycles(seqs: DataFrame, l: int, scheme: Scheme, w: int, k: int, sigma: int = 256) -> DataFrame:
-    """(word, samples): distinct circles with more than l / w samples, rounded up, each turned to its least rotation, in order."""
-    circles = cycles(seqs, l).withColumnRenamed("seq_id", "cycle")
-    many = cycle_samples(seqs, l, scheme, w, k, sigma).where(F.size("samples") > -(-l // w)).join(circles, "cycle")
-    turned = many.withColumn("least", F.expr(f"array_min(transform(sequence(0, {l - 1}), i -> struct(substring(hex(bytes) || hex(bytes), 2 * i + 1, {2 * l}) as word, i as at)))"))
-    samples = F.expr(f"concat_ws(',', transform(array_sort(transform(samples, x -> (x + {l} - least.at) % {l})), x -> cast(x as string)))")
-    return turned.groupBy("least.word").agg(F.min(samples).alias("samples")).orderBy("word")
+    """(word, samples): distinct circles with more than l / w samples, rounded up, each turned to its least rotation, in order. A circle's letters go along with its samples; rotations are ranked by doubling, many circles at a time."""
+    circles = cycles(seqs, l).withColumn("circle", F.col("bytes"))
+    found = cyclic(circles, scheme, w, k, sigma, ("circle",)).groupBy("seq_id").agg(F.first("circle").alias("circle"), F.collect_list("pos").alias("samples"))
+    many = found.where(F.size("samples") > -(-l // w)).select("circle", "samples")
+    return many.mapInArrow(_turned(l), "word string, samples string").groupBy("word").agg(F.min("samples").alias("samples")).orderBy("word")
 
 
 def rolling_min(df: DataFrame, by: str, order: str, value: str) -> DataFrame:

@@ -70,32 +70,63 @@ def pair(*keys: Keys) -> Keys:
     return lambda letters, w: np.concatenate([k(letters, w) for k in keys])
 
 
-def random_lex(seed: int) -> Keys:
-    """A random byte for each prefix, the first of its MD5. Only suffixes that are alike so far, and near enough to meet, are looked at any further, and each different prefix is hashed once."""
+class Prefixes:
+    """The different prefixes of the suffixes of a row of letters, by length, found once for all seeds."""
 
-    def of(letters: np.ndarray, w: int) -> np.ndarray:
-        raw, n = packed(letters), len(letters)
-        out, near = np.zeros((PREFIX, n), np.uint8), np.arange(n)
-        for t in range(1, PREFIX + 1):
-            words = (raw[:, near] & ~beyond(t))[: 1 + (t > 8)]
+    def __init__(self, letters: np.ndarray):
+        self.letters, self.text, self.raw = letters, letters.tobytes(), packed(letters)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(heads, number): where each different prefix first stands, and the number of the prefix at each place."""
+        if length not in self.known:
+            words = (self.raw & ~beyond(length))[: 1 + (length > 8)]
             order = np.lexsort(words[::-1])
-            first = np.ones(len(near), bool)
+            first = np.ones(len(order), bool)
             first[1:] = (words[:, order[1:]] != words[:, order[:-1]]).any(axis=0)
-            heads = near[order[first]]
-            text = letters.tobytes()
-            byte = np.fromiter((hashlib.md5(f"{seed}{text[p : p + t].ljust(t, bytes(1)).hex().upper()}".encode()).digest()[0] for p in heads.tolist()), np.uint8, len(heads))
-            out[t - 1, near[order]] = byte[np.cumsum(first) - 1]
+            number = np.empty(len(order), np.int64)
+            number[order] = np.cumsum(first) - 1
+            self.known[length] = order[first], number
+        return self.known[length]
+
+    def keys(self, seed: int, w: int) -> np.ndarray:
+        """A random byte for each prefix, the first of its MD5, as keys of the suffixes. Only suffixes that are alike so far, and near enough to meet, are looked at any further, and each different prefix is hashed once."""
+        n = len(self.letters)
+        out, near, rank = np.zeros((PREFIX, n), np.uint8), np.arange(n), np.zeros(n, np.int64)
+        for t in range(1, PREFIX + 1):
+            heads, number = self.of(t)
+            some, which = np.unique(number[near], return_inverse=True)
+            hexes = (self.text[p : p + t].ljust(t, bytes(1)).hex().upper() for p in heads[some].tolist())
+            byte = np.fromiter((hashlib.md5(f"{seed}{x}".encode()).digest()[0] for x in hexes), np.uint8, len(some))[which]
+            out[t - 1, near] = byte
             # alike so far, and another such suffix less than w places away
-            keys = np.ascontiguousarray(out[:t, near].T).view([("", np.uint8)] * t).ravel()
-            rank = np.unique(keys, return_inverse=True)[1]
+            rank = np.unique(rank * 256 + byte, return_inverse=True)[1]
             order = np.lexsort((near, rank))
             close = (rank[order][1:] == rank[order][:-1]) & (np.diff(near[order]) < w)
-            near = np.sort(near[order[np.concatenate((close, [False])) | np.concatenate(([False], close))]])
+            keep = np.zeros(len(near), bool)
+            keep[order[np.concatenate((close, [False])) | np.concatenate(([False], close))]] = True
+            near, rank = near[keep], rank[keep]
             if not len(near):
                 break
         return np.ascontiguousarray(out.T).view(">u8").T.astype(np.uint64)
 
-    return of
+
+class Shared:
+    """The prefixes of the letters last asked for, for all seeds that ask for the same."""
+
+    def __init__(self):
+        self.last: Prefixes | None = None
+
+    def of(self, letters: np.ndarray) -> Prefixes:
+        if self.last is None or self.last.letters is not letters:
+            self.last = Prefixes(letters)
+        return self.last
+
+
+def random_lex(seed: int, shared: Shared | None = None) -> Keys:
+    """Letters in a random order that depends on what stands before them. shared: one for many seeds that are sampled side by side."""
+    of = (shared or Shared()).of
+    return lambda letters, w: of(letters).keys(seed, w)
 
 
 def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:

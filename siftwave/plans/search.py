@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.schemes import get_scheme, sample
+from ..operators import suffixes as S
+from ..operators.grids import Cell, grid_stats
+from ..operators.schemes import Scheme, get_scheme, least_keys
 from .debruijn import all_words, de_bruijn_text
 
 Window = tuple[int, ...]
@@ -168,18 +170,38 @@ def window_ratio(samples: DataFrame, pattern: str, k: int, w: int) -> DataFrame:
     return samples.where(has).agg(F.count("*").alias("windows"), F.sum(F.expr(f"cast({kmer} RLIKE '^{pattern}$' as long)")).alias("chosen"))
 
 
+def seed_cells(seeds: list[int], ws: list[int], k: int) -> list[Cell]:
+    """Anchors by the random prefix order of each seed, for each w. All share the prefixes of their letters."""
+    shared = S.Shared()
+    base = get_scheme("SusRandomLex")
+
+    def of(seed: int) -> Scheme:
+        keys = S.random_lex(seed, shared)
+        return base._replace(places=lambda letters, w, k: S.least_suffixes(keys(letters, w), w, k, least_keys))
+
+    return [Cell(str(seed), of(seed), w, k) for seed in seeds for w in ws]
+
+
+def seed_runs(seqs: DataFrame, seeds: list[int], ws: list[int], k: int, sigma: int) -> DataFrame:
+    """(seed, w, n, n_windows): for each seed and w, how many places the anchors sample in sequences (seq_id, bytes), which are read once for all, and the windows."""
+    stats = grid_stats(seqs, seed_cells(seeds, ws, k), sigma, False)
+    of = lambda stat: F.coalesce(F.sum(F.when(F.col("stat") == stat, F.col("n"))), F.lit(0))
+    sums = stats.groupBy("cell").agg(of("runs").alias("n"), of("windows").alias("n_windows"))
+    known = seqs.sparkSession.createDataFrame([(i * len(ws) + j, seed, w) for i, seed in enumerate(seeds) for j, w in enumerate(ws)], "cell int, seed long, w int")
+    return known.join(sums, "cell", "left").na.fill(0, ["n", "n_windows"]).drop("cell")
+
+
 def compare_seeds(first: DataFrame, second: DataFrame, seeds: list[int], w: int, k: int, sigma: int) -> DataFrame:
-    """(seed, n_first, n_second, n_windows): for each seed of the random prefix order, the places its anchors sample in two tables of sequences (seq_id, bytes). The best is that with the fewest in the first, then the second, then the least seed. A seed is a plan of its own, so seeds are some dozens."""
+    """(seed, n_first, n_second, n_windows): for each seed of the random prefix order, the places its anchors sample in two tables of sequences (seq_id, bytes), each read once. The best is that with the fewest in the first, then the second, then the least seed."""
+    one, two = (seed_runs(t, seeds, [w], k, sigma).drop("w") for t in (first, second))
+    return one.withColumnRenamed("n", "n_first").join(two.select("seed", F.col("n").alias("n_second")), "seed").select("seed", "n_first", "n_second", "n_windows")
 
-    def counted(seed: int, seqs: DataFrame) -> DataFrame:
-        found = sample(seqs, get_scheme("SusRandomLex", seed=seed), w, k, sigma)
-        new = F.col("prev").isNull() | (F.col("pos") != F.col("prev"))
-        return found.agg(F.coalesce(F.sum(new.cast("long")), F.lit(0)).alias("n"), F.count("*").alias("windows"))
 
-    sides = [(seed, side, counted(seed, seqs)) for seed in seeds for side, seqs in enumerate((first, second))]
-    every = reduce(DataFrame.unionByName, [c.select(F.lit(seed).cast("long").alias("seed"), F.lit(side).alias("side"), "n", "windows") for seed, side, c in sides])
-    of = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
-    return every.groupBy("seed").agg(of("n", 0).alias("n_first"), of("n", 1).alias("n_second"), of("windows", 0).alias("n_windows"))
+def seed_table(seqs: DataFrame, seeds: list[int], ws: list[int], k: int, sigma: int) -> DataFrame:
+    """(w, seed, n, least, extra): places sampled, the least that any scheme could sample of as many windows, and how many more those are."""
+    least = F.expr(f"n_windows * ((2 * w + {k} - 1) div w) div (w + {k})")
+    runs = seed_runs(seqs, seeds, ws, k, sigma).withColumn("least", least)
+    return runs.select("w", "seed", "n", "least", (F.col("n") - F.col("least")).alias("extra"))
 
 
 def best_seed(counts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import stats
+from .operators import coverage, stats
 from .operators.grids import Cell, grid_density, run_stats
 from .operators.schemes import explicit_local, get_scheme, sample
 from .plans import bounds, debruijn, explore, oracle, search
@@ -134,6 +134,10 @@ OPTIMA = [(2, 2, 2, 11, 16), (3, 2, 2, 16, 32), (2, 3, 2, 20, 32), (4, 2, 2, 25,
 
 BOUNDS = [(w, k, s) for w in range(2, 13) for k in range(1, 9) for s in (2, 3, 4)]
 
+#: Seeds of the random prefix order that are compared.
+SEEDS = list(range(1000))
+_SEEDS = grid("benchmark", "SusRandomLex", 8, 1, 4)
+
 _CYCLES = grid("benchmark", "AntiLex", 4, 2, 4)
 _CYCLE = 10
 
@@ -195,7 +199,11 @@ def queries() -> dict[str, Query]:
         "kmer_jumps": lambda s, d: stats.kmer_jumps(_samples_with_letters(_SMALL, s, d), 4),
         "range_check": lambda s, d: stats.out_of_range(_BASE.samples(s, d), 8).select("seq_id", "win", "pos"),
         "is_forward": lambda s, d: stats.is_forward(_BACK.samples(s, d)),
-        "interval_merge": lambda s, d: stats.covered(_SMALL.samples(s, d), 4),
+        "interval_merge": lambda s, d: coverage.covered(_SMALL.sequences(s, d), get_scheme("AntiLex"), 8, 4),
+        "interval_merge_documents": lambda s, d: coverage.covered(_BASE.sequences(s, d), get_scheme("AntiLex"), 24, 4),
+        "seed_counts": lambda s, d: search.compare_seeds(_SEEDS.sequences(s, d), _SEEDS._replace(sigma=2).sequences(s, d), SEEDS[:10], 8, 1, 4),
+        "best_seed": lambda s, d: search.best_seed(search.compare_seeds(_SEEDS.sequences(s, d), _SEEDS._replace(sigma=2).sequences(s, d), SEEDS, 8, 1, 4)),
+        "seed_table": lambda s, d: search.seed_table(_SEEDS.sequences(s, d), SEEDS[:4], [2, 4, 8, 16], 1, 4),
         "context_diff": lambda s, d: stats.only_in(stats.contexts(_samples_with_letters(_SMALL, s, d)), stats.contexts(_samples_with_letters(_SMALL._replace(scheme="Lex"), s, d))),
         "samples_all": lambda s, d: _SMALL.samples(s, d).select("seq_id", "win", "pos"),
         "scheme_report": lambda s, d: stats.scheme_report(_BACK.samples(s, d)),
@@ -241,6 +249,12 @@ def _cycles_sql() -> str:
     return oracle.sample_sql(f"SELECT seq_id, h || substring(h, 1, {2 * l - 2}) AS h FROM ({parts})", get_scheme(_CYCLES.scheme), _CYCLES.w, _CYCLES.k, _CYCLES.sigma)
 
 
+def _runs_sql(seed: int, w: int, sigma: int) -> str:
+    """Places that anchors by the random prefix order of a seed sample in benchmark, and windows."""
+    g = _SEEDS._replace(w=w, sigma=sigma, params=(("seed", seed),))
+    return g.sql() + "SELECT count(*) FILTER (prev IS NULL OR pos <> prev) AS n, count(*) AS n_windows FROM smp"
+
+
 def _exact_sql(case: tuple) -> str:
     """Over the circle itself, written out, with the window's letters once more at its end."""
     name, w, k, s, p, forward = case
@@ -269,12 +283,17 @@ def sql() -> dict[str, str]:
     low = lambda at: "(" + " + ".join(f"(instr('0123456789ABCDEF', substring(h, 2 * {at} + {2 * i + 2}, 1)) - 1) % 2 * {2 ** (3 - i)}" for i in range(4)) + ")::BIGINT"
     jump = "pos - coalesce(prev, 0)"
     right = oracle.sample_sql(oracle.sequence_sql("benchmark", "item_id", "text", 256), get_scheme("ThresholdABB", thr=100)._replace(rightmost=True), 8, 4, 256)
+    merged = """, iv AS (SELECT DISTINCT seq_id, pos AS first, pos + 4 AS past FROM smp),
+            mk AS (SELECT *, CASE WHEN first <= max(past) OVER (PARTITION BY seq_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM iv),
+            il AS (SELECT *, sum(new) OVER (PARTITION BY seq_id ORDER BY first) AS island FROM mk)
+            SELECT seq_id, min(first) AS first, max(past) AS past FROM il GROUP BY seq_id, island"""
     ctx = "SELECT DISTINCT substring(h, 2 * win - 1, 24) AS context FROM smp WHERE prev IS NOT NULL AND pos <> prev"
     out |= {
         "all_stats": _BASE.sql() + f""", x AS MATERIALIZED (SELECT win, pos, prev, {low('pos')} AS code, {low('prev')} AS code_before FROM smp)
             SELECT 'windows' AS stat, 0::BIGINT AS a, 0::BIGINT AS b, count(*) AS n FROM x
             UNION ALL SELECT 'changes', 0, 0, count(*) FROM x WHERE {oracle.CHANGED}
             UNION ALL SELECT 'pos_sum', 0, 0, sum(pos)::BIGINT FROM x
+            UNION ALL SELECT 'runs', 0, 0, count(*) FROM x WHERE prev IS NULL OR pos <> prev
             UNION ALL SELECT 'back', 0, 0, count(*) FROM x WHERE pos < prev
             UNION ALL SELECT 'outside', 0, 0, count(*) FROM x WHERE pos < win OR pos >= win + 8
             UNION ALL SELECT 'place', pos - win, 0, count(*) FROM x GROUP BY pos - win
@@ -297,10 +316,21 @@ def sql() -> dict[str, str]:
         "kmer_jumps": _SMALL.sql() + f", j AS (SELECT {low('pos')} AS kmer, pos - prev AS jump, 1 AS t FROM smp WHERE pos > prev UNION ALL SELECT {low('prev')}, pos - prev, 0 FROM smp WHERE pos > prev) SELECT kmer, jump, sum(t)::BIGINT AS n_to, sum(1 - t)::BIGINT AS n_from FROM j GROUP BY 1, 2",
         "range_check": _BASE.sql() + "SELECT seq_id, win, pos FROM smp WHERE pos < win OR pos >= win + 8",
         "is_forward": _BACK.sql() + "SELECT seq_id, coalesce(bool_and(pos >= prev), true) AS forward FROM smp GROUP BY seq_id",
-        "interval_merge": _SMALL.sql() + """, iv AS (SELECT DISTINCT seq_id, pos AS first, pos + 4 AS past FROM smp),
-            mk AS (SELECT *, CASE WHEN first <= max(past) OVER (PARTITION BY seq_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM iv),
-            il AS (SELECT *, sum(new) OVER (PARTITION BY seq_id ORDER BY first) AS island FROM mk)
-            SELECT seq_id, min(first) AS first, max(past) AS past FROM il GROUP BY seq_id, island""",
+        "interval_merge": _SMALL.sql() + merged,
+        "interval_merge_documents": _BASE._replace(scheme="AntiLex", w=24).sql() + merged,
+        "seed_counts": " UNION ALL ".join(f"SELECT {seed}::BIGINT AS seed, a.n AS n_first, b.n AS n_second, a.n_windows FROM ({_runs_sql(seed, 8, 4)}) a, ({_runs_sql(seed, 8, 2)}) b" for seed in SEEDS[:10]),
+        "seed_table": " UNION ALL ".join(f"SELECT {w} AS w, {seed}::BIGINT AS seed, n, n_windows * {-(-(w + 1) // w)} // {w + 1} AS least, n - n_windows * {-(-(w + 1) // w)} // {w + 1} AS extra FROM ({_runs_sql(seed, w, 4)})" for w in (2, 4, 8, 16) for seed in SEEDS[:4]),
+        "transfer_power": _SMALL.sql() + """, t AS (SELECT prev - win + 1 AS f, pos - win AS t, count(*) AS n FROM smp WHERE prev IS NOT NULL GROUP BY 1, 2),
+            m1 AS (SELECT f, t, n / sum(n) OVER (PARTITION BY f) AS p FROM t),
+            m2 AS (SELECT a.f, b.t, sum(a.p * b.p) AS p FROM m1 a JOIN m1 b ON a.t = b.f GROUP BY a.f, b.t),
+            m4 AS (SELECT a.f, b.t, sum(a.p * b.p) AS p FROM m2 a JOIN m2 b ON a.t = b.f GROUP BY a.f, b.t),
+            m8 AS (SELECT a.f, b.t, sum(a.p * b.p) AS p FROM m4 a JOIN m4 b ON a.t = b.f GROUP BY a.f, b.t)
+            SELECT f AS place_from, t AS place_to, round(p, 6) AS p FROM m8""",
+        "bad_cycles": f"""SELECT word, min(samples) AS samples FROM (SELECT least[1] AS word,
+            array_to_string(list_sort(list_transform(p, lambda x: (x + {_CYCLE} - CAST(least[2] AS INT)) % {_CYCLE})), ',') AS samples
+            FROM (SELECT p, list_sort(list_transform(range(0, {_CYCLE}), lambda i: [substring(h || h, 2 * i + 1, {2 * _CYCLE}), CAST(i AS VARCHAR)]))[1] AS least
+            FROM (SELECT seq_id, any_value(substring(h, 1, {2 * _CYCLE})) AS h, list(DISTINCT pos % {_CYCLE}) AS p FROM ({_cycles_sql()} SELECT * FROM smp) GROUP BY seq_id HAVING count(DISTINCT pos % {_CYCLE}) > {-(-_CYCLE // _CYCLES.w)})))
+            GROUP BY word""",
         "context_diff": "SELECT context FROM (" + _SMALL.sql() + ctx + ") EXCEPT SELECT context FROM (" + _SMALL._replace(scheme="Lex").sql() + ctx + ")",
         "samples_all": _SMALL.sql() + "SELECT seq_id, win, pos FROM smp",
         "scheme_report": _BACK.sql() + f"SELECT count(*) AS n_windows, sum(CASE WHEN {oracle.CHANGED} THEN 1 ELSE 0 END)::BIGINT AS n_changes, sum(pos)::BIGINT AS pos_sum, bool_and(coalesce(pos >= prev, true)) AS forward FROM smp",
