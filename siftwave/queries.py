@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from .operators import coverage, stats
 from .operators.grids import Cell, grid_density, run_stats
-from .operators.schemes import explicit_local, get_scheme, sample
+from .operators.schemes import explicit_local, get_scheme, sample, sample_pieces
 from .plans import bounds, debruijn, explore, oracle, search
+from .sources import sinks
+from .sources.records import file_pieces
 from .sources.text import sequences
+from .streaming.sampler import STORE, sample_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -167,6 +170,30 @@ def selections(spark: SparkSession, _: str) -> DataFrame:
     return out
 
 
+def fasta_density(spark: SparkSession, d: str) -> DataFrame:
+    """Densities of documents, written as FASTA of four letters and read again in splits as pieces, whatever the lengths."""
+    path = sinks.shared_folder(spark)
+    four = _BASE._replace(sigma=4).sequences(spark, d)
+    acgt = F.expr("translate(regexp_replace(hex(bytes), '0(.)', '$1'), '0123', 'ACGT')")
+    sinks.write_fasta(four.select("seq_id", F.encode(acgt, "UTF-8").alias("bytes")), path)
+    return stats.density(sample_pieces(file_pieces(spark, path, "fasta", 1 << 22), get_scheme("Random"), 8, 4), "seq_id")
+
+
+def stream_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark's samples from a stream: each text arrives in three parts, and the stream is stopped and started again after each."""
+    root = sinks.shared_folder(spark)
+    spark.conf.set(*STORE)
+    texts, n = _SMALL.sequences(spark, d), F.length("bytes")
+    for i in range(3):
+        at = F.floor(n * i / 3).cast("int")
+        part = texts.select("seq_id", at.cast("long").alias("at"), F.substring("bytes", at + 1, F.floor(n * (i + 1) / 3).cast("int") - at).alias("data"))
+        part.write.mode("append").parquet(f"{root}/pieces")
+        pieces = spark.readStream.schema(part.schema).parquet(f"{root}/pieces")
+        out = sample_stream(pieces, get_scheme("AntiLex"), 8, 4).writeStream.format("parquet").option("checkpointLocation", f"{root}/state")
+        out.trigger(availableNow=True).start(f"{root}/samples").awaitTermination()
+    return spark.read.parquet(f"{root}/samples").select("seq_id", "win", "pos")
+
+
 #: The grid: schemes by w and k, over documents.
 GRID_SCHEMES, GRID_W, GRID_K = ("Random", "Lex", "AntiLex", "Alternating"), (4, 8, 12, 24), (2, 4, 6, 10)
 
@@ -185,6 +212,8 @@ def rolling(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _density(g) for name, g in DENSITIES.items()}
     out |= {
+        "fasta_density": fasta_density,
+        "stream_samples": stream_samples,
         "all_stats": lambda s, d: run_stats(_BASE.sequences(s, d), get_scheme("Random"), 8, 4),
         "grid_density": lambda s, d: grid_density(_BASE.sequences(s, d), grid_cells()),
         "density_total": lambda s, d: stats.density(_BASE.samples(s, d)),
@@ -289,6 +318,9 @@ def sql() -> dict[str, str]:
             SELECT seq_id, min(first) AS first, max(past) AS past FROM il GROUP BY seq_id, island"""
     ctx = "SELECT DISTINCT substring(h, 2 * win - 1, 24) AS context FROM smp WHERE prev IS NOT NULL AND pos <> prev"
     out |= {
+        "fasta_density": oracle.density_sql(
+            oracle.sample_sql(f"SELECT seq_id::VARCHAR AS seq_id, hex(encode(translate(regexp_replace(h, '0(.)', '\\1', 'g'), '0123', 'ACGT'))) AS h FROM ({oracle.sequence_sql('documents', 'doc_id', 'text', 4)})", get_scheme("Random"), 8, 4, 256)
+        ),
         "all_stats": _BASE.sql() + f""", x AS MATERIALIZED (SELECT win, pos, prev, {low('pos')} AS code, {low('prev')} AS code_before FROM smp)
             SELECT 'windows' AS stat, 0::BIGINT AS a, 0::BIGINT AS b, count(*) AS n FROM x
             UNION ALL SELECT 'changes', 0, 0, count(*) FROM x WHERE {oracle.CHANGED}
@@ -332,6 +364,7 @@ def sql() -> dict[str, str]:
             FROM (SELECT seq_id, any_value(substring(h, 1, {2 * _CYCLE})) AS h, list(DISTINCT pos % {_CYCLE}) AS p FROM ({_cycles_sql()} SELECT * FROM smp) GROUP BY seq_id HAVING count(DISTINCT pos % {_CYCLE}) > {-(-_CYCLE // _CYCLES.w)})))
             GROUP BY word""",
         "context_diff": "SELECT context FROM (" + _SMALL.sql() + ctx + ") EXCEPT SELECT context FROM (" + _SMALL._replace(scheme="Lex").sql() + ctx + ")",
+        "stream_samples": _SMALL.sql() + "SELECT seq_id, win, pos FROM smp",
         "samples_all": _SMALL.sql() + "SELECT seq_id, win, pos FROM smp",
         "scheme_report": _BACK.sql() + f"SELECT count(*) AS n_windows, sum(CASE WHEN {oracle.CHANGED} THEN 1 ELSE 0 END)::BIGINT AS n_changes, sum(pos)::BIGINT AS pos_sum, bool_and(coalesce(pos >= prev, true)) AS forward FROM smp",
         "rank_listing": "SELECT code, rank FROM (SELECT i::BIGINT AS code, ((i * 37 + 11) % 64 % 40)::BIGINT AS rank FROM range(64) t(i)) WHERE rank < 39",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -36,6 +38,22 @@ def evaluate(seqs: DataFrame, schemes: Iterable[tuple[str, dict[str, Any]]], ws:
     return out
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path below spark.checkpoint.dir, which driver and executors share; on a local master without that setting, below a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file:{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/siftwave/{uuid.uuid4().hex}"
+
+
+def write_fasta(seqs: DataFrame, path: str, width: int = 60) -> None:
+    """Sequences (seq_id, bytes) of printable letters as FASTA, a folder of files; lines of width letters."""
+    lines = F.rtrim(F.regexp_replace(F.decode("bytes", "UTF-8"), f"(.{{{width}}})", "$1\n"))
+    seqs.select(F.concat_ws("\n", F.concat(F.lit(">"), F.col("seq_id").cast("string")), F.when(F.length("bytes") > 0, lines)).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """A record a line, as JSON."""
     df.write.mode("overwrite").json(path)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from siftwave.operators.schemes import get_scheme, sample
 from siftwave.sources import sinks, text
-from siftwave.streaming.sampler import sample_stream
 
 
 def test_random(spark):
@@ -47,19 +46,3 @@ def test_results(spark, tmp_path):
     for _ in range(2):
         df = sinks.remembered(spark, str(tmp_path / "m"), lambda: made.append(1) or spark.range(3))
     assert df.count() == 3 and made == [1]
-
-
-def test_stream(spark, tmp_path):
-    """Pieces of any size, some of them twice, sample what the whole does."""
-    schema = "seq_id long, at long, data binary"
-    whole = [(i, bytes(r.bytes)) for i, r in enumerate(text.random_sequences(spark, 2, 200, 4).collect())]
-    cuts = [0, 3, 50, 51, 130, 200]
-    for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        rows = [(i, max(a - 2, 0), bytearray(t[max(a - 2, 0) : b])) for i, t in whole]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = sample_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in")), 8, 4)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
-    query.awaitTermination()
-    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("seq_id", "win", "pos").collect())
-    seqs = spark.createDataFrame([(i, bytearray(t)) for i, t in whole], "seq_id long, bytes binary")
-    assert got == sorted(tuple(r) for r in sample(seqs, get_scheme("Random"), 8, 4).select("seq_id", "win", "pos").collect())
