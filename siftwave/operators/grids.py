@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import SPARK
 from .orders import Shape
-from .schemes import CHUNK, Scheme, _key_words, binary_rows
+from .schemes import CHUNK, Scheme, _key_words, binary_rows, tie_sides
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,12 +38,12 @@ class Cell(NamedTuple):
 class Minima:
     """The least of any number of neighbouring keys, by a sparse table that grows with what is asked for."""
 
-    def __init__(self, words: np.ndarray, rightmost: bool):
+    def __init__(self, words: np.ndarray, rightmost: bool | np.ndarray):
         self.words, self.rightmost = words, rightmost
         self.levels = [np.arange(words.shape[1] if len(words) else 0)]
 
     def _better(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        later = np.full(len(a), self.rightmost)
+        later = self.rightmost[a] if isinstance(self.rightmost, np.ndarray) else np.full(len(a), self.rightmost)
         for x in self.words[::-1]:
             later = (x[b] < x[a]) | ((x[b] == x[a]) & later)
         return np.where(later, b, a)
@@ -127,7 +127,7 @@ def _folded(cells: list[Cell], keyed: list[list[int]], full: bool, kmers: bool):
                     keys = b.column(5)
                     first_key = keys.offsets.to_numpy()[:-1].astype(np.int64) - keys.offsets[0].as_py()
                     words = _key_words(keys) if which < len(keyed) - 1 else None
-                    minima: dict[bool, Minima] = {}
+                    minima: dict[tuple[bool, bool], Minima] = {}
                     codes: dict[int, np.ndarray] = {}
                     for c in keyed[which]:
                         _, scheme, w, k = cells[c]
@@ -140,8 +140,10 @@ def _folded(cells: list[Cell], keyed: list[list[int]], full: bool, kmers: bool):
                             place = j + scheme.places(letters, w, k)[offsets[row] + j]
                         else:
                             iw, _ = scheme.inner(w, k)
-                            least = minima.setdefault(scheme.rightmost, Minima(words, scheme.rightmost))
-                            at = least.of(iw)[first_key[row] + j] - first_key[row]
+                            kind = (scheme.rightmost, scheme.sided)
+                            if kind not in minima:
+                                minima[kind] = Minima(words, tie_sides(scheme, keys))
+                            at = minima[kind].of(iw)[first_key[row] + j] - first_key[row]
                             place = j + (at - j) % w if scheme.mod else at
                         shift = (start - lead)[row]
                         before = np.where(j == 0, 0, np.concatenate(([0], place[:-1])))

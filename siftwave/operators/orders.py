@@ -255,6 +255,19 @@ def explicit(ranks: tuple[int, ...]) -> Order:
     return of
 
 
+def explicit_directed(ranks: tuple[int, ...], last: tuple[int, ...]) -> Order:
+    """The rank that a table has for the k-mer's number, and which of equal k-mers is preferred: 0 the first, 1 the last. Of k-mers with one rank, those whose first is preferred come first."""
+    rank = explicit(ranks)
+
+    def of(d: Dialect, x: str, s: Shape) -> str:
+        listed = ", ".join(f"'{int(bool(v))}'" for v in last)
+        table = f"array({listed})" if d.name == "spark" else f"[{listed}]"
+        at = K.pack(x, s.k, s.sigma) if d.name == "spark" else f"({K.pack(x, s.k, s.sigma)} + 1)"
+        return K.joined([rank(d, x, s), f"{table}[{d.integer(at)}]"])
+
+    return of
+
+
 def greedy(ranks: tuple[int, ...]) -> Order:
     """The rank, modulo 2^16, that a table has for the number that the lowest bits of the letters make; ties by their next two bits, as numbers to the base 4."""
 

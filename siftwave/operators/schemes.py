@@ -13,6 +13,7 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ class Scheme(NamedTuple):
     order: of k-mers, or of what an anchor prefers. kind: ``minimizer`` (least k-mer), ``anchor`` (least suffix of the window that starts at a k-mer)
     or ``rotation`` (least rotation of the window). mod: inner k-mer length from (w, k); the sampled place counts modulo w. places: of anchors and
     rotations, the place that each window of a row of letters samples, from (letters, w, k); without it, ``order`` gives a string for each place of each window.
+    sided: a key's last character says which of equal keys is preferred, 0 the first, 1 the last.
     """
 
     order: Order
@@ -48,6 +50,7 @@ class Scheme(NamedTuple):
     r: int = 0
     mod: Callable[[int, int], int] | None = None
     places: Callable[[np.ndarray, int, int], np.ndarray] | None = None
+    sided: bool = False
 
     def inner(self, w: int, k: int) -> tuple[int, int]:
         """Window and k-mer length that the order sees; they cover as many letters."""
@@ -83,6 +86,33 @@ def _tied(order: Order) -> Scheme:
     return Scheme(O.pair(order, O.random))
 
 
+def user_scheme(keys: Callable[[np.ndarray], np.ndarray] | None = None, places: Callable[[np.ndarray], np.ndarray] | None = None, rightmost: bool = False) -> Scheme:
+    """A scheme of the caller's own, for all windows of a batch at once.
+
+    keys: from a matrix of letters, a row for each k-mer, to its keys, whole numbers from 0 to 2^64 - 1, or several rows of them of which later ones break ties; the least is sampled.
+    places: from a matrix of letters, a row for each window of w + k - 1, to the place that it samples, from 0 up to w - 1.
+    """
+    if (keys is None) == (places is None):
+        raise ValueError("either keys or places are needed")
+
+    def by_keys(letters: np.ndarray, w: int, k: int) -> np.ndarray:
+        if len(letters) < w + k - 1:
+            return np.zeros(0, np.int64)
+        words = np.atleast_2d(keys(np.lib.stride_tricks.sliding_window_view(letters, k))).astype(np.uint64)
+        best = least_keys(words, w, rightmost)
+        return best - np.arange(len(best))
+
+    def by_places(letters: np.ndarray, w: int, k: int) -> np.ndarray:
+        if len(letters) < w + k - 1:
+            return np.zeros(0, np.int64)
+        found = np.asarray(places(np.lib.stride_tricks.sliding_window_view(letters, w + k - 1)), np.int64)
+        if len(found) and not (0 <= found.min() and found.max() < w):
+            raise ValueError(f"a place isn't from 0 up to {w - 1}")
+        return found
+
+    return Scheme(O.unit, "user", places=by_keys if keys else by_places)
+
+
 def get_scheme(name: str, **p: Any) -> Scheme:
     """The scheme of that name; parameters are numbers. ``mod=1`` with ``r``, ``lr`` and ``sampling`` wraps it in mod-sampling."""
     t = lambda n=1: O.threshold_abb((n * p["thr"]) % 256)
@@ -91,6 +121,7 @@ def get_scheme(name: str, **p: Any) -> Scheme:
         "Rot": lambda: _tied(O.rotational),
         "AltRot": lambda: _tied(O.alt_rotational),
         "Bruteforce": lambda: Scheme(O.explicit(tuple(p["ranks"]))),
+        "Directed": lambda: Scheme(O.explicit_directed(tuple(p["ranks"]), tuple(p["last"])), sided=True),
         "Random": lambda: _tied(O.unit),
         "Lex": lambda: Scheme(O.lex),
         "Alternating": lambda: Scheme(O.alternating),
@@ -148,12 +179,12 @@ def chunks(seqs: DataFrame, w: int, k: int, chunk: int = CHUNK, keep: tuple[str,
     return rows.select("seq_id", *keep, "n", "start", "count", "lead", F.substring("bytes", F.col("start") - F.col("lead") + 1, F.col("count") + F.col("lead") + (l - 1)).alias("data"))
 
 
-def least_keys(words: np.ndarray, w: int, rightmost: bool = False) -> np.ndarray:
-    """The place of the least of each w consecutive keys, the first of equals or the last. words: a column of 64-bit numbers for each 8 bytes of the keys."""
+def least_keys(words: np.ndarray, w: int, rightmost: bool | np.ndarray = False) -> np.ndarray:
+    """The place of the least of each w consecutive keys, the first of equals or the last; rightmost may say it for each key. words: a column of 64-bit numbers for each 8 bytes of the keys."""
 
     def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Where key b is less than key a, or as little if the last is wanted."""
-        out = np.full(len(a), rightmost)
+        out = rightmost[a] if isinstance(rightmost, np.ndarray) else np.full(len(a), rightmost)
         for x in words[::-1]:
             x, y = x[a], x[b]
             out = (y < x) | ((y == x) & out)
@@ -179,6 +210,13 @@ def _key_words(keys: pa.ListArray) -> np.ndarray:
     return data.view(">u8").T.astype(np.uint64)
 
 
+def tie_sides(scheme: Scheme, keys: pa.ListArray) -> bool | np.ndarray:
+    """Which of equal keys is preferred, of all or of each."""
+    if not scheme.sided:
+        return scheme.rightmost
+    return pc.equal(pc.utf8_slice_codeunits(keys.flatten(), -1), "1").to_numpy(zero_copy_only=False)
+
+
 class Windows(NamedTuple):
     """The windows of some chunks of a batch: of each its chunk (its row in the batch), the window's number, the position it samples and the one that the window before it does, a sequence's first windows, for which prev is nothing, and, if wanted, w + k bytes from win - 1 on."""
 
@@ -211,7 +249,7 @@ def sampled(batches: Iterator[pa.RecordBatch], scheme: Scheme, w: int, k: int, k
             many = count + lead
         first = np.cumsum(many) - many
         if keyed:
-            best = least_keys(_key_words(keys), keyed, scheme.rightmost)
+            best = least_keys(_key_words(keys), keyed, tie_sides(scheme, keys))
         elif scheme.places:  # all places of the letters at once, chunks' ends too, where no window is
             at = np.arange(int(many.sum())) - np.repeat(first, many)
             best = scheme.places(letters, w, k)[np.repeat(offsets[:-1], many) + at] + at + np.repeat(first, many)

@@ -18,8 +18,12 @@ def sample_sql(seqs: str, scheme: Scheme, w: int, k: int, sigma: int) -> str:
     if scheme.kind == "minimizer":
         iw, ik = scheme.inner(w, k)
         place = "pos" if not scheme.rightmost else "(100000000000 - pos)"
+        if scheme.sided:  # the key's last character says so
+            place = f"(CASE WHEN right({scheme.order(DUCKDB, 'x', Shape(iw, ik, sigma))}, 1) = '1' THEN 100000000000 - pos ELSE pos END)"
         at = f"CAST(right(best, {PLACE}) AS BIGINT)"
         at = at if not scheme.rightmost else f"(100000000000 - {at})"
+        if scheme.sided:
+            at = f"(CASE WHEN substring(best, length(best) - {PLACE}, 1) = '1' THEN 100000000000 - {at} ELSE {at} END)"
         out = f"win + ({at} - win) % {w}" if scheme.mod else at
         body = f"""
 , km AS (SELECT seq_id, n, h, unnest(range(0, n - {ik} + 1)) AS pos FROM s)

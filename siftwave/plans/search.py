@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import suffixes as S
@@ -170,6 +169,13 @@ def window_ratio(samples: DataFrame, pattern: str, k: int, w: int) -> DataFrame:
     return samples.where(has).agg(F.count("*").alias("windows"), F.sum(F.expr(f"cast({kmer} RLIKE '^{pattern}$' as long)")).alias("chosen"))
 
 
+def winner(found: Row, k: int, sigma: int) -> Scheme:
+    """The scheme of a row (code, direction) of best_order()."""
+    ranks = permutation(found.code, sigma**k)
+    last = [found.direction >> i & 1 for i in range(sigma**k)]
+    return get_scheme("Directed", ranks=ranks, last=last)
+
+
 def seed_cells(seeds: list[int], ws: list[int], k: int) -> list[Cell]:
     """Anchors by the random prefix order of each seed, for each w. All share the prefixes of their letters."""
     shared = S.Shared()

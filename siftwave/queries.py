@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import Any, NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.keys import complement, low_bits, part, strided_sum
 from .operators import coverage, stats
 from .operators.grids import Cell, grid_density, run_stats
-from .operators.schemes import explicit_local, get_scheme, sample, sample_pieces
+from .operators.orders import explicit_directed
+from .operators.schemes import Scheme, explicit_local, get_scheme, sample, sample_pieces, user_scheme
 from .plans import bounds, debruijn, explore, oracle, search
 from .sources import sinks
 from .sources.records import file_pieces
@@ -90,6 +94,7 @@ DENSITIES = {
     "density_threshold_loose": grid("benchmark", "Threshold", 8, 5, t=100, h=2, loose=1),
     "density_threshold_open": grid("benchmark", "Threshold", 8, 5, t=100, h=1, open=1),
     "density_explicit_order": grid("benchmark", "Bruteforce", 4, 3, 4, ranks=_RANKS),
+    "density_directed": grid("benchmark", "Directed", 4, 3, 4, ranks=tuple(r % 40 for r in _RANKS), last=tuple(i % 3 % 2 for i in range(64))),
     "density_greedy_order": grid("benchmark", "Greedy", 5, 3, 4, ranks=(5, 2, 7, 0, 3, 6, 1, 4)),
     "density_templates": grid("benchmark", "Templates", 6, 4, 2, patterns=("_011", "<10", ">01", "0")),
     "sus_lex": grid("benchmark", "SusLex", 8, 2),
@@ -194,6 +199,28 @@ def stream_samples(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{root}/samples").select("seq_id", "win", "pos")
 
 
+def letter_sums(kmers: np.ndarray) -> np.ndarray:
+    """An order of a user's own: k-mers by the sum of their letters."""
+    return kmers.sum(axis=1, dtype=np.int64)
+
+
+def last_largest(windows: np.ndarray) -> np.ndarray:
+    """A scheme of a user's own: the last of the greatest letters among the first eight."""
+    return 7 - np.argmax(windows[:, 7::-1], axis=1)
+
+
+def evaluated(spark: SparkSession, d: str) -> DataFrame:
+    """Records of three schemes by w and k, positions and all, flat: one row for each number."""
+    found = sinks.evaluate(_SMALL.sequences(spark, d), [("Lex", {}), ("Random", {"mod": 1, "r": 2}), ("SusAntiLex", {})], (4, 8), (2, 5), full=True)
+    cell = ["tp.minimizer_type", "w", "k"]
+    lists = {"place": ("positions", "place", None), "jump": ("dists", "jump", None), "transfer": ("transfer", "place_from", "place_to")}
+    out = found.select(*cell, F.lit("density").alias("stat"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.round("density", 9).alias("n"))
+    for stat, (column, a, b) in lists.items():
+        rows = found.select(*cell, F.explode(column).alias("x"))
+        out = out.unionByName(rows.select(*[c.split(".")[-1] for c in cell], F.lit(stat).alias("stat"), F.col(f"x.{a}").alias("a"), (F.col(f"x.{b}") if b else F.lit(0).cast("long")).alias("b"), F.col("x.n").cast("double").alias("n")))
+    return out
+
+
 #: The grid: schemes by w and k, over documents.
 GRID_SCHEMES, GRID_W, GRID_K = ("Random", "Lex", "AntiLex", "Alternating"), (4, 8, 12, 24), (2, 4, 6, 10)
 
@@ -214,6 +241,10 @@ def queries() -> dict[str, Query]:
     out |= {
         "fasta_density": fasta_density,
         "stream_samples": stream_samples,
+        "evaluate_grid": evaluated,
+        "density_user_keys": lambda s, d: stats.density(sample(_BASE.sequences(s, d), user_scheme(keys=letter_sums), 8, 4), "seq_id"),
+        "density_user_places": lambda s, d: stats.density(sample(_BASE.sequences(s, d), user_scheme(places=last_largest), 8, 4), "seq_id"),
+        "density_search_winner": lambda s, d: stats.density(sample(_SMALL._replace(sigma=2).sequences(s, d), search.winner(search.best_order(s, 3, 2, 2, True).first(), 2, 2), 3, 2, 2), "seq_id"),
         "all_stats": lambda s, d: run_stats(_BASE.sequences(s, d), get_scheme("Random"), 8, 4),
         "grid_density": lambda s, d: grid_density(_BASE.sequences(s, d), grid_cells()),
         "density_total": lambda s, d: stats.density(_BASE.samples(s, d)),
@@ -284,6 +315,33 @@ def _runs_sql(seed: int, w: int, sigma: int) -> str:
     return g.sql() + "SELECT count(*) FILTER (prev IS NULL OR pos <> prev) AS n, count(*) AS n_windows FROM smp"
 
 
+def _evaluated_sql(name: str, w: int, k: int, p: dict[str, Any]) -> str:
+    head, jump = f"SELECT '{name}' AS minimizer_type, {w} AS w, {k} AS k,", "pos - coalesce(prev, 0)"
+    return f"""SELECT * FROM ({_SMALL._replace(scheme=name, w=w, k=k, params=tuple(p.items())).sql()}
+        {head} 'density' AS stat, 0::BIGINT AS a, 0::BIGINT AS b, round(count(*) FILTER ({oracle.CHANGED}) / count(*), 9) AS n FROM smp
+        UNION ALL {head} 'place', pos - win, 0, count(*) FROM smp GROUP BY pos - win
+        UNION ALL {head} 'jump', {jump}, 0, count(*) FROM smp WHERE {oracle.CHANGED} GROUP BY {jump}
+        UNION ALL {head} 'transfer', prev - win + 1, pos - win, count(*) FROM smp WHERE prev IS NOT NULL GROUP BY prev - win + 1, pos - win)"""
+
+
+def best_directed(w: int, k: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Ranks and sides of the directed order of words of k digits 0 and 1 with the fewest samples on the circle, the first in the order of the search, by plain loops."""
+    n, text = 2**k, debruijn.de_bruijn_text(2, w + k)
+    codes = [int((text + text)[i : i + k], 2) for i in range(len(text))]
+    best: tuple | None = None
+    for number in range(math.factorial(n)):
+        ranks = search.permutation(number, n)
+        for way in range(2**n):
+            taken = set()
+            for i in range(len(text)):
+                window = [codes[(i + j) % len(text)] for j in range(w)]
+                least = min(window, key=lambda c: ranks[c])
+                taken.add((i + (w - 1 - window[::-1].index(least) if way >> least & 1 else window.index(least))) % len(text))
+            if best is None or len(taken) < best[0]:
+                best = len(taken), tuple(ranks), tuple(way >> j & 1 for j in range(n))
+    return best[1:]
+
+
 def _exact_sql(case: tuple) -> str:
     """Over the circle itself, written out, with the window's letters once more at its end."""
     name, w, k, s, p, forward = case
@@ -321,7 +379,9 @@ def sql() -> dict[str, str]:
         "fasta_density": oracle.density_sql(
             oracle.sample_sql(f"SELECT seq_id::VARCHAR AS seq_id, hex(encode(translate(regexp_replace(h, '0(.)', '\\1', 'g'), '0123', 'ACGT'))) AS h FROM ({oracle.sequence_sql('documents', 'doc_id', 'text', 4)})", get_scheme("Random"), 8, 4, 256)
         ),
-        "all_stats": _BASE.sql() + f""", x AS MATERIALIZED (SELECT win, pos, prev, {low('pos')} AS code, {low('prev')} AS code_before FROM smp)
+        "all_stats": _BASE.sql() + f""", y AS MATERIALIZED (SELECT seq_id, win, pos, prev FROM smp),
+            c AS MATERIALIZED (SELECT seq_id, p, {low_bits('x', 4)} AS code FROM (SELECT seq_id, p, substring(h, 2 * p + 1, 8) AS x FROM (SELECT seq_id, h, unnest(range(0, n - 3)) AS p FROM s))),
+            x AS MATERIALIZED (SELECT win, pos, prev, c.code, d.code AS code_before FROM y JOIN c ON c.seq_id = y.seq_id AND c.p = pos LEFT JOIN c AS d ON d.seq_id = y.seq_id AND d.p = prev)
             SELECT 'windows' AS stat, 0::BIGINT AS a, 0::BIGINT AS b, count(*) AS n FROM x
             UNION ALL SELECT 'changes', 0, 0, count(*) FROM x WHERE {oracle.CHANGED}
             UNION ALL SELECT 'pos_sum', 0, 0, sum(pos)::BIGINT FROM x
@@ -364,6 +424,10 @@ def sql() -> dict[str, str]:
             FROM (SELECT seq_id, any_value(substring(h, 1, {2 * _CYCLE})) AS h, list(DISTINCT pos % {_CYCLE}) AS p FROM ({_cycles_sql()} SELECT * FROM smp) GROUP BY seq_id HAVING count(DISTINCT pos % {_CYCLE}) > {-(-_CYCLE // _CYCLES.w)})))
             GROUP BY word""",
         "context_diff": "SELECT context FROM (" + _SMALL.sql() + ctx + ") EXCEPT SELECT context FROM (" + _SMALL._replace(scheme="Lex").sql() + ctx + ")",
+        "evaluate_grid": " UNION ALL ".join(_evaluated_sql(n, w, k, p) for n, p in (("Lex", {}), ("Random", {"mod": 1, "r": 2}), ("SusAntiLex", {})) for w in (4, 8) for k in (2, 5)),
+        "density_user_keys": oracle.density_sql(oracle.sample_sql(oracle.sequence_sql("documents", "doc_id", "text", 256), Scheme(lambda dialect, x, s: dialect.number(strided_sum(x, s.k, 0, 1), 8)), 8, 4, 256)),
+        "density_user_places": oracle.density_sql(oracle.sample_sql(oracle.sequence_sql("documents", "doc_id", "text", 256), Scheme(lambda dialect, x, s: complement(part(x, 0, 1)), rightmost=True), 8, 4, 256)),
+        "density_search_winner": oracle.density_sql(oracle.sample_sql(oracle.sequence_sql("benchmark", "item_id", "text", 2), Scheme(explicit_directed(*best_directed(3, 2)), sided=True), 3, 2, 2)),
         "stream_samples": _SMALL.sql() + "SELECT seq_id, win, pos FROM smp",
         "samples_all": _SMALL.sql() + "SELECT seq_id, win, pos FROM smp",
         "scheme_report": _BACK.sql() + f"SELECT count(*) AS n_windows, sum(CASE WHEN {oracle.CHANGED} THEN 1 ELSE 0 END)::BIGINT AS n_changes, sum(pos)::BIGINT AS pos_sum, bool_and(coalesce(pos >= prev, true)) AS forward FROM smp",

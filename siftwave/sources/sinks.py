@@ -10,32 +10,22 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import stats
-from ..operators.schemes import get_scheme, sample
+from ..operators.grids import Cell, grid_density, grid_stats
+from ..operators.schemes import get_scheme
 
 
 def evaluate(seqs: DataFrame, schemes: Iterable[tuple[str, dict[str, Any]]], ws: Iterable[int], ks: Iterable[int], sigma: int = 256, full: bool = False) -> DataFrame:
-    """A record for each scheme, w and k: sigma, w, k, l, tp, density, and with full positions, dists and transfer.
-
-    The grid is known to the driver; each cell is a plan of its own, and all are one union, so cells run side by side.
-    """
-    out = None
-    for name, params in schemes:
-        for w in ws:
-            for k in ks:
-                samples = sample(seqs, get_scheme(name, **params), w, k, sigma)
-                tp = F.struct(F.lit(name).alias("minimizer_type"), F.create_map(*[x for p, v in sorted(params.items()) for x in (F.lit(p), F.lit(str(v)))]).cast("map<string,string>").alias("params"))
-                row = stats.density(samples).select(F.lit(sigma).alias("sigma"), F.lit(w).alias("w"), F.lit(k).alias("k"), F.lit(w + k - 1).alias("l"), tp.alias("tp"), (F.col("n_changes") / F.col("n_windows")).alias("density"))
-                if full:
-                    lists = {
-                        "positions": stats.positions(samples).agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("positions")),
-                        "dists": stats.distances(samples).agg(F.sort_array(F.collect_list(F.struct("jump", "n"))).alias("dists")),
-                        "transfer": stats.transfer(samples).agg(F.sort_array(F.collect_list(F.struct("place_from", "place_to", "n"))).alias("transfer")),
-                    }
-                    for part in lists.values():  # one row each
-                        row = row.crossJoin(part)
-                out = row if out is None else out.unionByName(row)
-    return out
+    """A record for each scheme, w and k: sigma, w, k, l, tp, density (null without windows), and with full positions, dists and transfer. The sequences are read once for all records."""
+    grid = [(name, params, w, k) for name, params in schemes for w in ws for k in ks]
+    stats = grid_stats(seqs, [Cell(name, get_scheme(name, **params), w, k) for name, params, w, k in grid], sigma, full)
+    known = [(i, sigma, w, k, w + k - 1, (name, {p: str(v) for p, v in sorted(params.items())})) for i, (name, params, w, k) in enumerate(grid)]
+    records = seqs.sparkSession.createDataFrame(known, "cell int, sigma int, w int, k int, l int, tp struct<minimizer_type: string, params: map<string,string>>")
+    one = lambda stat: F.sum(F.when(F.col("stat") == stat, F.col("n")))
+    some = lambda stat, *names: F.sort_array(F.collect_list(F.when(F.col("stat") == stat, F.struct(*[F.col(c).alias(n) for c, n in zip("ab", names, strict=False)], "n"))))
+    columns = [(one("changes") / one("windows")).alias("density")]
+    if full:  # w numbers, some w, and w times w
+        columns += [some("place", "place").alias("positions"), some("jump", "jump").alias("dists"), some("transfer", "place_from", "place_to").alias("transfer")]
+    return records.join(stats.groupBy("cell").agg(*columns), "cell", "left").drop("cell")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,3 +55,25 @@ def remembered(spark: SparkSession, path: str, make: Callable[[], DataFrame]) ->
     if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+MEMO = "scheme string, w int, k int, sigma int, version string, n_windows long, n_changes long, pos_sum long"
+
+
+def remembered_grid(spark: SparkSession, path: str, seqs: DataFrame, cells: Iterable[Cell], version: str, sigma: int = 256) -> DataFrame:
+    """The densities of cells from a table at path that grows with what is asked for: only cells that it doesn't have are sampled, from one reading, and added.
+
+    A cell's name, w, k, sigma and the input's version are its key, so names must tell parameters apart. One writer at a time. The table is in partitions by scheme, and
+    what is asked for comes back, whatever else it has.
+    """
+    cells, keys = list(cells), ["scheme", "w", "k", "sigma", "version"]
+    wanted = spark.createDataFrame([(c.name, c.w, c.k, sigma, version) for c in cells], "scheme string, w int, k int, sigma int, version string").distinct()
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+    known = spark.read.schema(MEMO).parquet(path).join(F.broadcast(wanted), keys) if there else spark.createDataFrame([], MEMO)
+    missing = {(r.scheme, r.w, r.k) for r in wanted.join(known, keys, "left_anti").collect()}  # at most as many as cells
+    if missing:
+        first = {(c.name, c.w, c.k): c for c in cells}
+        found = grid_density(seqs, [c for key, c in first.items() if key in missing], sigma)
+        found.withColumns({"sigma": F.lit(sigma), "version": F.lit(version)}).write.mode("append").partitionBy("scheme").parquet(path)
+    return spark.read.schema(MEMO).parquet(path).join(F.broadcast(wanted), keys)
