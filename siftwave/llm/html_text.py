@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import Any
 
 import pyarrow as pa
 import xxhash
@@ -45,6 +46,9 @@ PAGES = 8
 HIGH = 0.9
 DECAY = 0.9
 
+#: Judged style nodes of all hosts that go to every executor at once, some 40 bytes each. With more, each page gets its own nodes' importances by a join.
+TREE_ROWS = 200_000
+
 #: Elements that a class alone makes nothing else.
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -320,6 +324,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
+def _read_all(shared: Any):
+    """As _read(), with the trees of all hosts."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of (page_id, url, html, host) to (page_id, url, text)."""
+        trees: dict[str, dict[int, tuple[float, float]]] = {}
+        for host, path, look, content in zip(*(c.to_pylist() for c in shared.value.columns), strict=True):
+            trees.setdefault(host, {})[path] = look, content
+        for b in batches:
+            texts = [text_of(source or "", trees.get(host)) for source, host in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return of
+
+
 def host_of(url: Column) -> Column:
     return ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), "://([^/?#]*)", 1))
 
@@ -357,13 +376,18 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"), F.xxhash64(source).alias("hash"), F.length(source).alias("size"))
     nodes = style_nodes(rows, scratch)
     trees = style_trees(nodes, scratch)
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = f"page_id {kind}, url string, text string"
+    if trees.count() <= TREE_ROWS:
+        shared = df.sparkSession.sparkContext.broadcast(trees.toArrow())
+        scratch.drop("nodes")
+        return rows.select("page_id", "url", "html", "host").mapInArrow(_read_all(shared), schema).withColumn("n_chars", F.length("text").cast("long"))
     page = ["host", "hash", "size"]
     own = nodes.where("kind = 0").select(*page, "path").distinct().join(trees, ["host", "path"])
     own = scratch.save(own.groupBy(*page).agg(F.collect_list(F.struct("path", "look", "content")).alias("stats")), "pages")
     scratch.drop("nodes")
     found = rows.join(own, page, "left").select("page_id", "url", "html", "stats")
-    kind = df.schema[id_col].dataType.simpleString()
-    return found.mapInArrow(_read, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return found.mapInArrow(_read, schema).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,10 +192,12 @@ def _plain_trees(rows):
     return {k: (importance(a), importance(b)) for k, (a, b) in seen.items() if sum(a.values()) >= H.PAGES and min(importance(a), importance(b)) < H.HIGH}
 
 
-def test_trees_and_texts_against_plain_loops(spark):
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_trees_and_texts_against_plain_loops(spark, rows, monkeypatch):
     """A path that repeats within a page has more contents than pages; hosts with few and many pages, equal pages, and null html."""
     import random
 
+    monkeypatch.setattr(H, "TREE_ROWS", rows)
     r = random.Random(5)
     rows = []
     for host, n in (("a.example", 5), ("b.example", 9), ("c.example", 40)):
