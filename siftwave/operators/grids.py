@@ -137,7 +137,8 @@ def _folded(cells: list[Cell], keyed: list[list[int]], full: bool, kmers: bool):
                             continue
                         j = np.arange(len(row)) - (np.cumsum(some) - some)[row]
                         if words is None:
-                            place = j + scheme.places(letters, w, k)[offsets[row] + j]
+                            place = scheme.places(letters, *scheme.inner(w, k))[offsets[row] + j]
+                            place = j + (place % w if scheme.mod else place)
                         else:
                             iw, _ = scheme.inner(w, k)
                             kind = (scheme.rightmost, scheme.sided)

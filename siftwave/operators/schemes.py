@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions.keys import SPARK, Dialect
 from ..sources.records import chunks_of_pieces
+from . import nested as N
 from . import orders as O
 from . import suffixes as S
 from .orders import Order, Shape
@@ -39,8 +40,8 @@ class Scheme(NamedTuple):
     """How windows of w k-mers are sampled.
 
     order: of k-mers, or of what an anchor prefers. kind: ``minimizer`` (least k-mer), ``anchor`` (least suffix of the window that starts at a k-mer)
-    or ``rotation`` (least rotation of the window). mod: inner k-mer length from (w, k); the sampled place counts modulo w. places: of anchors and
-    rotations, the place that each window of a row of letters samples, from (letters, w, k); without it, ``order`` gives a string for each place of each window.
+    or ``rotation`` (least rotation of the window). mod: inner k-mer length from (w, k); the sampled place counts modulo w. places: the
+    place that each window of a row of letters samples, from (letters, w, k), the inner ones; without it, ``order`` gives a string for each k-mer, and for each place of each window of anchors and rotations.
     sided: a key's last character says which of equal keys is preferred, 0 the first, 1 the last.
     """
 
@@ -86,6 +87,10 @@ def _tied(order: Order) -> Scheme:
     return Scheme(O.pair(order, O.random))
 
 
+def _syncmers(p: O.Syncmer, by_letters: bool = False) -> Scheme:
+    return _tied(O.open_closed(p, O.anti_lex if by_letters else O.random))._replace(places=N.open_closed(p, by_letters, least_keys))
+
+
 def user_scheme(keys: Callable[[np.ndarray], np.ndarray] | None = None, places: Callable[[np.ndarray], np.ndarray] | None = None, rightmost: bool = False) -> Scheme:
     """A scheme of the caller's own, for all windows of a batch at once.
 
@@ -148,9 +153,9 @@ def get_scheme(name: str, **p: Any) -> Scheme:
         "SusAntiLex": lambda: _anchor(O.anti_lex, S.anti_lex),
         "SusRandomLex": lambda: _anchor(O.random_lex(p.get("seed", 8797977)), S.random_lex(p.get("seed", 8797977))),
         "FracMin": lambda: _tied(O.frac_min(p["f"], flag("coded"))),
-        "OpenClosed": lambda: _tied(O.open_closed(O.Syncmer(p["r"], *[flag(x) for x in ("open", "closed", "open_tmer", "closed_tmer", "other_tmer")], p.get("offset"), flag("modulo"), flag("anti_tmer")), O.anti_lex if flag("anti_lex") else O.random)),
-        "Miniception": lambda: _tied(O.open_closed(O.Syncmer(p["r"], closed=True, miniception_r=True))),
-        "Threshold": lambda: Scheme(O.threshold(p["t"], p["h"], flag("loose"), flag("open"))),
+        "OpenClosed": lambda: _syncmers(O.Syncmer(p["r"], *[flag(x) for x in ("open", "closed", "open_tmer", "closed_tmer", "other_tmer")], p.get("offset"), flag("modulo"), flag("anti_tmer")), flag("anti_lex")),
+        "Miniception": lambda: _syncmers(O.Syncmer(p["r"], closed=True, miniception_r=True)),
+        "Threshold": lambda: Scheme(O.threshold(p["t"], p["h"], flag("loose"), flag("open")), places=N.threshold(p["t"], p["h"], flag("loose"), flag("open"), least_keys)),
         "Templates": lambda: Scheme(O.templates(tuple(p["patterns"]))),
     }
     if name not in made:
@@ -252,7 +257,7 @@ def sampled(batches: Iterator[pa.RecordBatch], scheme: Scheme, w: int, k: int, k
             best = least_keys(_key_words(keys), keyed, tie_sides(scheme, keys))
         elif scheme.places:  # all places of the letters at once, chunks' ends too, where no window is
             at = np.arange(int(many.sum())) - np.repeat(first, many)
-            best = scheme.places(letters, w, k)[np.repeat(offsets[:-1], many) + at] + at + np.repeat(first, many)
+            best = scheme.places(letters, *scheme.inner(w, k))[np.repeat(offsets[:-1], many) + at] + at + np.repeat(first, many)
         else:
             best = keys.flatten().to_numpy() + np.repeat(first, many)
         row = np.repeat(np.arange(len(start)), count)

@@ -169,6 +169,13 @@ def only_in(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, "context", "left_anti")
 
 
+def differing(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(context, side): contexts that only one of the two has, side being left or right. One shuffle of both."""
+    both = left.select("context", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select("context", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    found = both.groupBy("context").agg(F.max("l").alias("l"), F.max("r").alias("r")).where("l <> r")
+    return found.select("context", F.when(F.col("l") == 1, "left").otherwise("right").alias("side"))
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """How many letters two columns of bytes begin with alike; null if one is null."""
     n = F.least(F.length(a), F.length(b))

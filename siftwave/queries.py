@@ -60,6 +60,7 @@ DENSITIES = {
     "density_antilex": grid("documents", "AntiLex", 8, 4),
     "density_mod": grid("documents", "Random", 8, 12, mod=1, r=4),
     "density_random_w64": grid("documents", "Random", 64, 8),
+    "density_open_documents": grid("documents", "OpenClosed", 8, 8, r=4, open=1),
     "density_alternating": grid("benchmark", "Alternating", 8, 4),
     "density_abb": grid("benchmark", "ABB", 8, 4, 4),
     "density_abb_coded": grid("benchmark", "ABB", 8, 4, 4, coded=1),
@@ -265,6 +266,7 @@ def queries() -> dict[str, Query]:
         "best_seed": lambda s, d: search.best_seed(search.compare_seeds(_SEEDS.sequences(s, d), _SEEDS._replace(sigma=2).sequences(s, d), SEEDS, 8, 1, 4)),
         "seed_table": lambda s, d: search.seed_table(_SEEDS.sequences(s, d), SEEDS[:4], [2, 4, 8, 16], 1, 4),
         "context_diff": lambda s, d: stats.only_in(stats.contexts(_samples_with_letters(_SMALL, s, d)), stats.contexts(_samples_with_letters(_SMALL._replace(scheme="Lex"), s, d))),
+        "context_sides": lambda s, d: stats.differing(stats.contexts(_samples_with_letters(_SMALL, s, d)), stats.contexts(_samples_with_letters(_BACK._replace(k=4), s, d))),
         "samples_all": lambda s, d: _SMALL.samples(s, d).select("seq_id", "win", "pos"),
         "scheme_report": lambda s, d: stats.scheme_report(_BACK.samples(s, d)),
         "rank_listing": lambda s, d: search.rank_listing(s.createDataFrame([(i, r % 40) for i, r in enumerate(_RANKS)], "code long, rank long")),
@@ -428,6 +430,8 @@ def sql() -> dict[str, str]:
         "density_user_keys": oracle.density_sql(oracle.sample_sql(oracle.sequence_sql("documents", "doc_id", "text", 256), Scheme(lambda dialect, x, s: dialect.number(strided_sum(x, s.k, 0, 1), 8)), 8, 4, 256)),
         "density_user_places": oracle.density_sql(oracle.sample_sql(oracle.sequence_sql("documents", "doc_id", "text", 256), Scheme(lambda dialect, x, s: complement(part(x, 0, 1)), rightmost=True), 8, 4, 256)),
         "density_search_winner": oracle.density_sql(oracle.sample_sql(oracle.sequence_sql("benchmark", "item_id", "text", 2), Scheme(explicit_directed(*best_directed(3, 2)), sided=True), 3, 2, 2)),
+        "context_sides": f"""WITH a AS ({_SMALL.sql()} {ctx}), b AS ({_BACK._replace(k=4).sql()} SELECT DISTINCT substring(h, 2 * win - 1, 24) AS context FROM smp WHERE prev IS NOT NULL AND pos <> prev)
+            SELECT context, 'left' AS side FROM a WHERE context NOT IN (SELECT context FROM b) UNION ALL SELECT context, 'right' FROM b WHERE context NOT IN (SELECT context FROM a)""",
         "stream_samples": _SMALL.sql() + "SELECT seq_id, win, pos FROM smp",
         "samples_all": _SMALL.sql() + "SELECT seq_id, win, pos FROM smp",
         "scheme_report": _BACK.sql() + f"SELECT count(*) AS n_windows, sum(CASE WHEN {oracle.CHANGED} THEN 1 ELSE 0 END)::BIGINT AS n_changes, sum(pos)::BIGINT AS pos_sum, bool_and(coalesce(pos >= prev, true)) AS forward FROM smp",

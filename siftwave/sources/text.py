@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import recode
+from .records import file_pieces, whole_sequences
 
 
 def sequences(df: DataFrame, id_col: str, text_col: str, sigma: int = 256) -> DataFrame:
@@ -42,18 +43,13 @@ def file_sequences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, bytes) of all records of FASTA files; the id is the header's first word. Records are read one by one, so files split."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    head = F.substring_index("value", "\n", 1)
-    body = F.regexp_replace(F.substring("value", F.length(head) + F.lit(2), F.length("value")), r"\s+", "")
-    return records.select(F.regexp_extract(head, r"^\S*", 0).alias("seq_id"), F.encode(body, "UTF-8").alias("bytes"))
+    """(seq_id, bytes) of all records of FASTA files, read in splits; the id is the header's first word. For sequences beyond a row's size, see records.file_pieces()."""
+    return whole_sequences(file_pieces(spark, path, "fasta"))
 
 
 def fastq_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, bytes) of FASTQ files with four lines a record. A record ends before a line that begins with @ after a line of qualities."""
-    records = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"@[^\n]*\n[^\n]*\n\+[^\n]*\n[^\n]*"), F.lit(0))).alias("value"))
-    lines = F.split("value", "\n")
-    return records.select(F.regexp_extract(lines[0], r"^@(\S*)", 1).alias("seq_id"), F.encode(F.trim(lines[1]), "UTF-8").alias("bytes"))
+    """(seq_id, bytes) of FASTQ files with four lines a record, read in splits."""
+    return whole_sequences(file_pieces(spark, path, "fastq"))
 
 
 def optimum_table(spark: SparkSession, path: str) -> DataFrame:

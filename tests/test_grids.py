@@ -88,11 +88,18 @@ def seqs(spark):
     return spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "seq_id long, bytes binary").repartition(3).cache()
 
 
-@pytest.mark.parametrize("name", ["SusAntiLex", "SusABB2", "BdAnchor", "SusThresholdABB"])
-def test_as_with_strings(seqs, name):
-    """The same rows as from a string for each place of each window."""
-    scheme = get_scheme(name, thr=2, r=1)
-    for w, k in ((8, 2), (20, 1)):
+NESTED = [
+    ("OpenClosed", {"r": 4, "open": 1}), ("OpenClosed", {"r": 3, "open": 1, "closed": 1, "open_tmer": 1, "other_tmer": 1}), ("OpenClosed", {"r": 2, "closed": 1, "modulo": 1, "open": 1}),
+    ("OpenClosed", {"r": 4, "open": 1, "offset": 1, "anti_tmer": 1}), ("OpenClosed", {"r": 20, "closed": 1, "closed_tmer": 1, "anti_lex": 1}), ("OpenClosed", {"r": 3, "open": 1, "anti_lex": 1, "mod": 1}),
+    ("Miniception", {"r": 3}), ("Threshold", {"t": 2, "h": 1}), ("Threshold", {"t": 1, "h": 2, "loose": 1}), ("Threshold", {"t": 2, "h": 1, "open": 1}), ("Threshold", {"t": 1, "h": 30, "open": 1, "loose": 1}),
+]
+
+
+@pytest.mark.parametrize(("name", "p"), [*((n, {"thr": 2, "r": 1}) for n in ("SusAntiLex", "SusABB2", "BdAnchor", "SusThresholdABB")), *NESTED])
+def test_as_with_strings(seqs, name, p):
+    """The same rows as from a string for each k-mer, or for each place of each window."""
+    scheme = get_scheme(name, **p)
+    for w, k in ((8, 8), (5, 3)) if (name, p) in NESTED else ((8, 2), (20, 1)):
         assert sorted(sample(seqs, scheme, w, k, chunk=50).collect()) == sorted(sample(seqs, scheme._replace(places=None), w, k).collect())
 
 
