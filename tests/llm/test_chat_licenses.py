@@ -11,6 +11,7 @@ from .test_native import native
 
 TURNS = [
     (1, 0, "system", "be kind"), (1, 1, "ann", "hi é"), (1, 2, "bob", "yo\n"), (1, 3, "ann", ""), (1, 3, "ann", ""), (1, 700, "bob", "late"),
+    *((4, i * 255 // 299, "ann" if i % 2 else "bob", f"said {i}") for i in range(300)), (4, 300, "ann", "on"), (4, 600, "system", "again"), (4, 1300, "ann", "end"),
     (2, 0, "system", "alone"), (None, 0, None, "x"), (None, None, "ann", None), (3, 5, "ann", "w " * 50_000), (3, -1, "cy", "before"), (3, 5, "ann", "tie"),
 ]
 
@@ -23,7 +24,12 @@ def test_rotation(spark):
         assert all(r.text[s - len(chat.ASSISTANT) : s] == chat.ASSISTANT and r.text[s:e].endswith(chat.END) for s, e in r.spans)
     got = {(r.conv_id, r.speaker, r.part): r.text for r in out.collect()}
     assert got[1, "bob", 0] == "<|system|>\nbe kind<|end|>\n<|user:ann|>\nhi é<|end|>\n<|assistant|>\nyo\n<|end|>\n<|user:ann|>\n<|end|>\n<|user:ann|>\n<|end|>\n"
-    assert got[1, "bob", 2] == "<|system|>\nbe kind<|end|>\n<|assistant|>\nlate<|end|>\n"  # the context is carried over
+    # the context and the turns before are carried over
+    assert got[1, "bob", 2] == got[1, "bob", 0] + "<|assistant|>\nlate<|end|>\n"
+    assert next(r for r in out.collect() if (r.conv_id, r.speaker, r.part) == (1, "bob", 2)).mask_chars == len("late<|end|>\n")
+    # of a long part the last turns alone, and of a part of context none
+    assert got[4, "ann", 1].count("<|assistant|>") + got[4, "ann", 1].count("<|user:bob|>") == chat.OVERLAP + 1 and "said 283" not in got[4, "ann", 1] and got[4, "ann", 1].index("said 284") < got[4, "ann", 1].index("said 299")
+    assert got[4, "bob", 5].startswith("<|system|>\nagain<|end|>\n<|user:ann|>\nend")
     assert (2, "system", 0) not in got and (1, "ann", 2) in got and (None, "unknown", 0) in got
     con = duckdb.connect()
     con.register("conversations", pd.DataFrame(TURNS, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
