@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +14,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where spark.checkpoint.dir is unset, as in tests, a local one is set once for the context."""
+    """The folder that driver and executors share. Where spark.checkpoint.dir is unset, a local one is set once for the context if all runs in one process, as in tests; elsewhere that is an error, as parts of tables would be missing."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\[]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not context.getCheckpointDir():
             context.setCheckpointDir(f"file:///tmp/siftwave-scratch-{uuid.uuid4().hex[:12]}")
         root = context.getCheckpointDir()
