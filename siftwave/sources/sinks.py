@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -32,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder's path below spark.checkpoint.dir, which driver and executors share; on a local master without that setting, below a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file:{tempfile.gettempdir()}"
     return f"{root.rstrip('/')}/siftwave/{uuid.uuid4().hex}"
