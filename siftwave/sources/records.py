@@ -2,7 +2,7 @@
 
 A split is a range of bytes. What begins in it is its own; what it begins in the middle of is sorted out afterwards from a few rows for each split: prefix sums
 of letters say where in its sequence each piece stands. So neither a file nor a sequence has to fit in a task, and pieces become the chunks that schemes sample
-in one shuffle. Letters are read once.
+in one shuffle. FASTA is read twice, once for these rows; nothing is written in between.
 """
 
 from __future__ import annotations
