@@ -127,7 +127,7 @@ def _folded(cells: list[Cell], keyed: list[list[int]], full: bool, kmers: bool):
                     keys = b.column(5)
                     first_key = keys.offsets.to_numpy()[:-1].astype(np.int64) - keys.offsets[0].as_py()
                     words = _key_words(keys) if which < len(keyed) - 1 else None
-                    minima: dict[tuple[bool, bool], Minima] = {}
+                    minima: dict[tuple, Minima] = {}
                     codes: dict[int, np.ndarray] = {}
                     for c in keyed[which]:
                         _, scheme, w, k = cells[c]
@@ -137,7 +137,14 @@ def _folded(cells: list[Cell], keyed: list[list[int]], full: bool, kmers: bool):
                             continue
                         j = np.arange(len(row)) - (np.cumsum(some) - some)[row]
                         if words is None:
-                            place = scheme.places(letters, *scheme.inner(w, k))[offsets[row] + j]
+                            if scheme.words:
+                                iw, ik = scheme.inner(w, k)
+                                own = (scheme.words, ik, scheme.rightmost)
+                                if own not in minima:
+                                    minima[own] = Minima(scheme.words(letters, ik), scheme.rightmost)
+                                place = minima[own].of(iw)[offsets[row] + j] - (offsets[row] + j)
+                            else:
+                                place = scheme.letter_places(letters, w, k)[offsets[row] + j]
                             place = j + (place % w if scheme.mod else place)
                         else:
                             iw, _ = scheme.inner(w, k)
@@ -179,7 +186,7 @@ def grid_stats(seqs: DataFrame, cells: Iterable[Cell], sigma: int = 256, full: b
     texts: dict[str, list[int]] = {}
     by_letters: list[int] = []
     for i, c in enumerate(cells):
-        if c.scheme.places:
+        if c.scheme.by_letters:
             by_letters.append(i)
             continue
         if c.scheme.kind != "minimizer":

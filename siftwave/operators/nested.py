@@ -24,12 +24,23 @@ Places = Callable[[np.ndarray, int, int], np.ndarray]
 
 def hashed(letters: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
     """The MD5, as two numbers, of the hex of the k letters from each of some places on; each different k-mer is hashed once."""
-    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters, k)[at])
-    _, first, number = np.unique(rows.view([("", np.void, k)]).ravel(), return_index=True, return_inverse=True)
-    digests = b"".join(hashlib.md5(x.tobytes().hex().upper().encode()).digest() for x in rows[first])
+    if not len(at):
+        return np.zeros((2, 0), np.uint64)
+    if k <= 8:
+        rows = packed(letters)[0][at] >> np.uint64(8 * (8 - k))
+    else:
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters, k)[at]).view([("", np.void, k)]).ravel()
+    _, first, number = np.unique(rows, return_index=True, return_inverse=True)
+    text = letters.tobytes()
+    digests = b"".join(hashlib.md5(text[p : p + k].hex().upper().encode()).digest() for p in at[first].tolist())
     return np.frombuffer(digests, ">u8").reshape(-1, 2).T.astype(np.uint64)[:, number]
 
 
+def random(letters: np.ndarray, k: int) -> np.ndarray:
+    """The keys of all k-mers by orders.random()."""
+    return hashed(letters, k, np.arange(max(0, len(letters) - k + 1)))
+
+
 def dense(words: np.ndarray) -> np.ndarray:
     """Ranks of columns of numbers, equal ones alike."""
     order = np.lexsort(words[::-1])

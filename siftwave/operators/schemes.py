@@ -42,6 +42,7 @@ class Scheme(NamedTuple):
     order: of k-mers, or of what an anchor prefers. kind: ``minimizer`` (least k-mer), ``anchor`` (least suffix of the window that starts at a k-mer)
     or ``rotation`` (least rotation of the window). mod: inner k-mer length from (w, k); the sampled place counts modulo w. places: the
     place that each window of a row of letters samples, from (letters, w, k), the inner ones; without it, ``order`` gives a string for each k-mer, and for each place of each window of anchors and rotations.
+    words: the keys of all k-mers of a row of letters as rows of 64-bit numbers, from (letters, inner k), instead of strings of ``order``.
     sided: a key's last character says which of equal keys is preferred, 0 the first, 1 the last.
     """
 
@@ -52,6 +53,7 @@ class Scheme(NamedTuple):
     mod: Callable[[int, int], int] | None = None
     places: Callable[[np.ndarray, int, int], np.ndarray] | None = None
     sided: bool = False
+    words: Callable[[np.ndarray, int], np.ndarray] | None = None
 
     def inner(self, w: int, k: int) -> tuple[int, int]:
         """Window and k-mer length that the order sees; they cover as many letters."""
@@ -62,6 +64,21 @@ class Scheme(NamedTuple):
             raise ValueError(f"t = {t} isn't between 1 and w + k - 1")
         return w + k - t, t
 
+    @property
+    def by_letters(self) -> bool:
+        """Whether windows are sampled from the letters alone, without a string for each k-mer or place."""
+        return self.places is not None or self.words is not None
+
+    def letter_places(self, letters: np.ndarray, w: int, k: int) -> np.ndarray:
+        """The place that each window of a row of letters samples, before it is taken modulo w."""
+        iw, ik = self.inner(w, k)
+        if self.places:
+            return self.places(letters, iw, ik)
+        if len(letters) < iw + ik - 1:
+            return np.zeros(0, np.int64)
+        best = least_keys(self.words(letters, ik), iw, self.rightmost)
+        return best - np.arange(len(best))
+
 
 def mod_sampling(scheme: Scheme, r: int = 1, lr: bool = False, t: int = 0) -> Scheme:
     """The scheme on k-mers of t letters, its places modulo w. Without t: k if it is less than r, else r more than (k - r) modulo w; lr: k, less w if it is at least w + r."""
@@ -87,6 +104,9 @@ def _tied(order: Order) -> Scheme:
     return Scheme(O.pair(order, O.random))
 
 
+_LEX, _ALTERNATING, _ANTI_LEX, _ABB, _ABB2 = map(S.of_kmers, (S.lex, S.alternating, S.anti_lex, S.abb, S.pair(S.abb, S.anti_lex)))
+
+
 def _syncmers(p: O.Syncmer, by_letters: bool = False) -> Scheme:
     return _tied(O.open_closed(p, O.anti_lex if by_letters else O.random))._replace(places=N.open_closed(p, by_letters, least_keys))
 
@@ -127,16 +147,16 @@ def get_scheme(name: str, **p: Any) -> Scheme:
         "AltRot": lambda: _tied(O.alt_rotational),
         "Bruteforce": lambda: Scheme(O.explicit(tuple(p["ranks"]))),
         "Directed": lambda: Scheme(O.explicit_directed(tuple(p["ranks"]), tuple(p["last"])), sided=True),
-        "Random": lambda: _tied(O.unit),
-        "Lex": lambda: Scheme(O.lex),
-        "Alternating": lambda: Scheme(O.alternating),
-        "ABB": lambda: Scheme(O.abb_coded if flag("coded") else O.abb),
-        "ABB2": lambda: Scheme(O.pair(O.abb_coded if flag("coded") else O.abb, O.anti_lex)),
+        "Random": lambda: _tied(O.unit)._replace(words=N.random),
+        "Lex": lambda: Scheme(O.lex, words=_LEX),
+        "Alternating": lambda: Scheme(O.alternating, words=_ALTERNATING),
+        "ABB": lambda: Scheme(O.abb_coded) if flag("coded") else Scheme(O.abb, words=_ABB),
+        "ABB2": lambda: Scheme(O.pair(O.abb_coded, O.anti_lex)) if flag("coded") else Scheme(O.pair(O.abb, O.anti_lex), words=_ABB2),
         "ThresholdABB": lambda: Scheme(t()),
         "ThresholdABB2": lambda: Scheme(O.pair(t(), O.anti_lex)),
         "T2": lambda: Scheme(O.pair(O.two_under(p["thr"]), O.anti_lex)),
         "Thresholds": lambda: Scheme(O.pair(t(), t(2), t(3), O.anti_lex)),
-        "AntiLex": lambda: Scheme(O.anti_lex),
+        "AntiLex": lambda: Scheme(O.anti_lex, words=_ANTI_LEX),
         "Greedy": lambda: Scheme(O.greedy(tuple(p["ranks"]))),
         "RcAntiLex": lambda: Scheme(O.rc_anti_lex(letters=flag("letters"))),
         "RcAntiLexMax": lambda: Scheme(O.rc_anti_lex(True, letters=flag("letters"))),
@@ -245,9 +265,9 @@ def sampled(batches: Iterator[pa.RecordBatch], scheme: Scheme, w: int, k: int, k
     """What each window of batches of chunks (start, count, lead, data, and keys if keyed) samples. keyed: k-mers in a window whose keys there are; width: letters to give with each window."""
     for b in (part.slice(lo, 1024) for part in batches for lo in range(0, len(part), 1024)):
         start, count, lead = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("start", "count", "lead"))
-        if scheme.places or width:
+        if scheme.by_letters or width:
             letters, offsets = binary_rows(b.column(b.schema.get_field_index("data")))
-        if keyed or not scheme.places:
+        if keyed or not scheme.by_letters:
             keys = b.column(b.schema.get_field_index("keys"))
             many = np.diff(keys.offsets.to_numpy())
         else:
@@ -255,9 +275,9 @@ def sampled(batches: Iterator[pa.RecordBatch], scheme: Scheme, w: int, k: int, k
         first = np.cumsum(many) - many
         if keyed:
             best = least_keys(_key_words(keys), keyed, tie_sides(scheme, keys))
-        elif scheme.places:  # all places of the letters at once, chunks' ends too, where no window is
+        elif scheme.by_letters:  # all places of the letters at once, chunks' ends too, where no window is
             at = np.arange(int(many.sum())) - np.repeat(first, many)
-            best = scheme.places(letters, *scheme.inner(w, k))[np.repeat(offsets[:-1], many) + at] + at + np.repeat(first, many)
+            best = scheme.letter_places(letters, w, k)[np.repeat(offsets[:-1], many) + at] + at + np.repeat(first, many)
         else:
             best = keys.flatten().to_numpy() + np.repeat(first, many)
         row = np.repeat(np.arange(len(start)), count)
@@ -295,7 +315,7 @@ def _picked(scheme: Scheme, w: int, k: int, keyed: int, width: int, kept: list[s
 def keyed_chunks(rows: DataFrame, scheme: Scheme, w: int, k: int, sigma: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """(chunks with all that sampled() needs, keyed)."""
     many, columns = "count + lead", ["seq_id", *keep, "start", "count", "lead", "data"]
-    if scheme.places:
+    if scheme.by_letters:
         return rows.select(*columns), 0
     if scheme.kind == "minimizer":
         keyed, ik = scheme.inner(w, k)

@@ -70,6 +70,16 @@ def pair(*keys: Keys) -> Keys:
     return lambda letters, w: np.concatenate([k(letters, w) for k in keys])
 
 
+def of_kmers(keys: Keys) -> Callable[[np.ndarray, int], np.ndarray]:
+    """The same order's keys of k-mers, from (letters, k)."""
+
+    def of(letters: np.ndarray, k: int) -> np.ndarray:
+        words = keys(letters, 1)[:, : max(0, len(letters) - k + 1)]
+        return words | _beyond_all(min(k, PREFIX), len(words))
+
+    return of
+
+
 class Prefixes:
     """The different prefixes of the suffixes of a row of letters, by length, found once for all seeds."""
 

@@ -91,6 +91,7 @@ def seqs(spark):
 NESTED = [
     ("OpenClosed", {"r": 4, "open": 1}), ("OpenClosed", {"r": 3, "open": 1, "closed": 1, "open_tmer": 1, "other_tmer": 1}), ("OpenClosed", {"r": 2, "closed": 1, "modulo": 1, "open": 1}),
     ("OpenClosed", {"r": 4, "open": 1, "offset": 1, "anti_tmer": 1}), ("OpenClosed", {"r": 20, "closed": 1, "closed_tmer": 1, "anti_lex": 1}), ("OpenClosed", {"r": 3, "open": 1, "anti_lex": 1, "mod": 1}),
+    ("Random", {}), ("Lex", {}), ("AntiLex", {"mod": 1, "r": 2}), ("Alternating", {}), ("ABB", {}), ("ABB2", {}),
     ("Miniception", {"r": 3}), ("Threshold", {"t": 2, "h": 1}), ("Threshold", {"t": 1, "h": 2, "loose": 1}), ("Threshold", {"t": 2, "h": 1, "open": 1}), ("Threshold", {"t": 1, "h": 30, "open": 1, "loose": 1}),
 ]
 
@@ -100,7 +101,7 @@ def test_as_with_strings(seqs, name, p):
     """The same rows as from a string for each k-mer, or for each place of each window."""
     scheme = get_scheme(name, **p)
     for w, k in ((8, 8), (5, 3)) if (name, p) in NESTED else ((8, 2), (20, 1)):
-        assert sorted(sample(seqs, scheme, w, k, chunk=50).collect()) == sorted(sample(seqs, scheme._replace(places=None), w, k).collect())
+        assert sorted(sample(seqs, scheme, w, k, chunk=50).collect()) == sorted(sample(seqs, scheme._replace(places=None, words=None), w, k).collect())
 
 
 @pytest.mark.parametrize(("name", "r"), [("SusAntiLex", 0), ("BdAnchor", 3)])
@@ -139,6 +140,7 @@ def test_all_statistics(seqs, name, p, w, k):
     one = stats.scheme_report(samples).first()
     expected = Counter({("windows", 0, 0): one.n_windows, ("changes", 0, 0): one.n_changes, ("pos_sum", 0, 0): one.pos_sum, ("outside", 0, 0): 0})
     expected["back", 0, 0] = samples.where("pos < prev").count()
+    expected["runs", 0, 0] = samples.where("prev IS NULL OR pos <> prev").count()
     for stat, df in {
         "place": stats.positions(samples).selectExpr("place", "0", "n"), "jump": stats.distances(samples).selectExpr("jump", "0", "n"),
         "transfer": stats.transfer(samples), "kmer": stats.sampled_kmers(samples, k).selectExpr("kmer", "0", "n"), "kmer_place": stats.kmer_places(samples, k),
