@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import SPARK
 from .orders import Shape
-from .schemes import CHUNK, Scheme, _key_words, binary_rows, tie_sides
+from .ranks import Minima, cut
+from .schemes import BLOCK, CHUNK, Scheme, _key_words, binary_rows, chunk_size, tie_sides
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,29 +36,6 @@ class Cell(NamedTuple):
     k: int
 
 
-class Minima:
-    """The least of any number of neighbouring keys, by a sparse table that grows with what is asked for."""
-
-    def __init__(self, words: np.ndarray, rightmost: bool | np.ndarray):
-        self.words, self.rightmost = words, rightmost
-        self.levels = [np.arange(words.shape[1] if len(words) else 0)]
-
-    def _better(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        later = self.rightmost[a] if isinstance(self.rightmost, np.ndarray) else np.full(len(a), self.rightmost)
-        for x in self.words[::-1]:
-            later = (x[b] < x[a]) | ((x[b] == x[a]) & later)
-        return np.where(later, b, a)
-
-    def of(self, w: int) -> np.ndarray:
-        """The place of the least of each w keys, the first of equals or the last."""
-        level = w.bit_length() - 1
-        while len(self.levels) <= level:
-            step, best = 1 << (len(self.levels) - 1), self.levels[-1]
-            self.levels.append(self._better(best[:-step], best[step:]))
-        best, rest = self.levels[level], w - (1 << level)
-        return self._better(best[: len(best) - rest], best[rest:]) if rest else best
-
-
 def low_codes(letters: np.ndarray, k: int) -> np.ndarray:
     """The number that the lowest bits of the k letters from each place on make."""
     bits = np.concatenate(((letters & 1).astype(np.int64), np.zeros(k, np.int64)))
@@ -173,7 +151,81 @@ def _folded(cells: list[Cell], keyed: list[list[int]], full: bool, kmers: bool):
     return of
 
 
-def grid_stats(seqs: DataFrame, cells: Iterable[Cell], sigma: int = 256, full: bool = True, kmers: bool = False, chunk: int = CHUNK) -> DataFrame:
+class Found:
+    """What windows of a block sample, each distinct way of finding it once."""
+
+    def __init__(self, scheme_words: np.ndarray | None, sides: dict | None, letters: np.ndarray):
+        self.words, self.sides, self.letters, self.minima = scheme_words, sides, letters, {}
+
+    def of(self, scheme: Scheme, w: int, k: int) -> np.ndarray:
+        """The place that the window at each place samples, counted as these are."""
+        iw, ik = scheme.inner(w, k)
+        if self.words is not None:
+            key, make = (scheme.rightmost, scheme.sided), lambda: Minima(self.words, self.sides[scheme.sided, scheme.rightmost])
+        elif scheme.words:
+            key, make = (scheme.words, ik, scheme.rightmost), lambda: Minima(scheme.words(self.letters, ik), scheme.rightmost)
+        else:
+            place = scheme.letter_places(self.letters, w, k)
+            return np.arange(len(place)) + (place % w if scheme.mod else place)
+        if key not in self.minima:
+            self.minima[key] = make()
+        at = self.minima[key].of(iw)
+        if scheme.mod:
+            i = np.arange(len(at))
+            at = i + (at - i) % w
+        return at
+
+
+def _counted(cells: list[Cell], keyed: list[list[int]]):
+    """As _folded(), of windows, changes, pos_sum and runs alone: counted in a block as a whole, one row for each cell and task."""
+    names = ("windows", "changes", "pos_sum", "runs")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(cells), len(names)), np.int64)
+        for part in batches:
+            whiches = part.column(4).to_numpy(zero_copy_only=False)
+            for which in np.unique(whiches):
+                mine = part.filter(pa.array(whiches == which))
+                for lo, hi in cut(binary_rows(mine.column(3))[1], BLOCK):
+                    b = mine.slice(lo, hi - lo)
+                    start, count, lead = (b.column(c).to_numpy().astype(np.int64) for c in range(3))
+                    letters, offsets = binary_rows(b.column(3))
+                    by_keys = which < len(keyed) - 1
+                    base, words, sides = offsets[:-1], None, None
+                    if by_keys:
+                        keys = b.column(5)
+                        base, words = keys.offsets.to_numpy()[:-1].astype(np.int64) - keys.offsets[0].as_py(), _key_words(keys)
+                        kinds = {(cells[c].scheme.sided, cells[c].scheme.rightmost): cells[c].scheme for c in keyed[which]}
+                        sides = {kind: tie_sides(scheme, keys) for kind, scheme in kinds.items()}
+                    found, masks = Found(words, sides, letters), {}
+                    for c in keyed[which]:
+                        _, scheme, w, k = cells[c]
+                        some = np.maximum(0, np.minimum(np.diff(offsets) - (w + k - 2), count + lead))  # windows, the one before a chunk's among them
+                        have = np.flatnonzero(some)
+                        if not len(have):
+                            continue
+                        at = found.of(scheme, w, k)
+                        if w + k not in masks:  # windows that have one before them
+                            edges = np.zeros(len(at) + 1, np.int64)
+                            np.add.at(edges, base[have] + 1, 1)
+                            np.add.at(edges, base[have] + some[have], -1)
+                            inner = np.cumsum(edges)[: len(at)]
+                            masks[w + k] = inner, inner[1:] != 0
+                        inner, later = masks[w + k]
+                        first = have[lead[have] == 0]
+                        zero = at[base[first]] - base[first]
+                        others = some - (some > 0)  # all but the first of each sequence
+                        moved = int(np.count_nonzero((at[1:] != at[:-1]) & later))
+                        places = int(at.dot(inner)) + int((others * (start - lead - base)).sum()) + int(zero.sum())
+                        total[c] += (int(others.sum()) + len(first), moved + int(np.count_nonzero(zero)), places, moved + len(first))
+        cell, stat = np.nonzero(total)
+        columns = [pa.array(cell.astype(np.int32)), pa.array([names[i] for i in stat], pa.string()), *(pa.array(x) for x in (np.zeros_like(cell), np.zeros_like(cell), total[cell, stat]))]
+        yield pa.RecordBatch.from_arrays(columns, ["cell", "stat", "a", "b", "n"])
+
+    return of
+
+
+def grid_stats(seqs: DataFrame, cells: Iterable[Cell], sigma: int = 256, full: bool = True, kmers: bool = False, chunk: int | None = None) -> DataFrame:
     """(cell, stat, a, b, n) of sequences (seq_id, bytes), read once for all cells; cell is a cell's number.
 
     stat is windows, changes, pos_sum (sums of positions) or runs (windows that sample another place than the one before, first ones too; a and b are 0), and with ``full`` also back (windows that sample a place before that of the one before), outside
@@ -181,6 +233,8 @@ def grid_stats(seqs: DataFrame, cells: Iterable[Cell], sigma: int = 256, full: b
     windows); with ``kmers`` too, kmer (a: number of the lowest bits, of changes), kmer_place (b: place), jump_to and jump_from (b: jump forward). Sequences shorter than a cell's window have none there.
     """
     cells = list(cells)
+    light = not full and not kmers
+    chunk = chunk or (chunk_size(*(c.scheme for c in cells)) if light else CHUNK)
     lengths = [c.w + c.k - 1 for c in cells]
     least, most = min(lengths), max(lengths)
     texts: dict[str, list[int]] = {}
@@ -206,11 +260,12 @@ def grid_stats(seqs: DataFrame, cells: Iterable[Cell], sigma: int = 256, full: b
     if by_letters:
         columns.append(f"named_struct('which', {len(texts)}, 'keys', cast(array() as array<string>))")
     rows = rows.select("start", "count", "lead", "data", F.expr(f"inline(array({', '.join(columns)}))"))
-    found = rows.mapInArrow(_folded(cells, [*texts.values(), by_letters], full, kmers), STATS)
+    keyed = [*texts.values(), by_letters]
+    found = rows.mapInArrow(_counted(cells, keyed) if light else _folded(cells, keyed, full, kmers), STATS)
     return found.groupBy("cell", "stat", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def grid_density(seqs: DataFrame, cells: Iterable[Cell], sigma: int = 256, chunk: int = CHUNK) -> DataFrame:
+def grid_density(seqs: DataFrame, cells: Iterable[Cell], sigma: int = 256, chunk: int | None = None) -> DataFrame:
     """(scheme, w, k, n_windows, n_changes, pos_sum) for each cell, 0 where there is no window; density is n_changes / n_windows."""
     cells = list(cells)
     stats = grid_stats(seqs, cells, sigma, False, False, chunk)
@@ -220,6 +275,6 @@ def grid_density(seqs: DataFrame, cells: Iterable[Cell], sigma: int = 256, chunk
     return known.join(sums, "cell", "left").na.fill(0, ["n_windows", "n_changes", "pos_sum"]).drop("cell")
 
 
-def run_stats(seqs: DataFrame, scheme: Scheme, w: int, k: int, sigma: int = 256, kmers: bool = True, chunk: int = CHUNK) -> DataFrame:
+def run_stats(seqs: DataFrame, scheme: Scheme, w: int, k: int, sigma: int = 256, kmers: bool = True, chunk: int | None = None) -> DataFrame:
     """(stat, a, b, n): all statistics of one scheme from one sampling."""
     return grid_stats(seqs, [Cell("", scheme, w, k)], sigma, True, kmers, chunk).drop("cell")

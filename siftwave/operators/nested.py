@@ -5,7 +5,6 @@ What k-mers share is worked out once: r-mers have their keys by what they are, m
 
 from __future__ import annotations
 
-import hashlib
 import sys
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from pyspark import cloudpickle
 
 from ..functions.keys import PREFIX
 from .orders import Syncmer
+from .ranks import dense, md5_of_hex
 from .suffixes import beyond, packed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -22,31 +22,31 @@ Least = Callable[..., np.ndarray]
 Places = Callable[[np.ndarray, int, int], np.ndarray]
 
 
-def hashed(letters: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
-    """The MD5, as two numbers, of the hex of the k letters from each of some places on; each different k-mer is hashed once."""
-    if not len(at):
-        return np.zeros((2, 0), np.uint64)
-    if k <= 8:
-        rows = packed(letters)[0][at] >> np.uint64(8 * (8 - k))
+def kmers(letters: np.ndarray, k: int) -> np.ndarray:
+    """All k-mers as rows of numbers of 8 letters."""
+    n, raw = max(0, len(letters) - k + 1), packed(letters)[0]
+    return np.stack([raw[i : i + n] >> np.uint64(8 * max(0, 8 - (k - i))) for i in range(0, k, 8)])
+
+
+def hashed(letters: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Ranks, as a row of numbers, by the MD5 of the hex of the k letters from each of some places on, or from all; each different k-mer is hashed once."""
+    words = kmers(letters, k)
+    if at is None:
+        at = np.arange(words.shape[1])
     else:
-        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters, k)[at]).view([("", np.void, k)]).ravel()
-    _, first, number = np.unique(rows, return_index=True, return_inverse=True)
-    text = letters.tobytes()
-    digests = b"".join(hashlib.md5(text[p : p + k].hex().upper().encode()).digest() for p in at[first].tolist())
-    return np.frombuffer(digests, ">u8").reshape(-1, 2).T.astype(np.uint64)[:, number]
+        words = words[:, at]
+    if not len(at):
+        return np.zeros((1, 0), np.uint64)
+    number = dense(words)
+    first = np.empty(int(number.max()) + 1, np.int64)
+    first[number] = at
+    digests = md5_of_hex(np.lib.stride_tricks.sliding_window_view(letters, k)[first])
+    return dense(digests)[number][None].astype(np.uint64)
 
 
 def random(letters: np.ndarray, k: int) -> np.ndarray:
     """The keys of all k-mers by orders.random()."""
-    return hashed(letters, k, np.arange(max(0, len(letters) - k + 1)))
-
-
-def dense(words: np.ndarray) -> np.ndarray:
-    """Ranks of columns of numbers, equal ones alike."""
-    order = np.lexsort(words[::-1])
-    out = np.zeros(words.shape[1], np.int64)
-    out[order[1:]] = np.cumsum((words[:, order[1:]] != words[:, order[:-1]]).any(axis=0))
-    return out
+    return hashed(letters, k)
 
 
 def _sliding(x: np.ndarray, w: int, better: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -65,7 +65,7 @@ def tied_by_hash(words: np.ndarray, letters: np.ndarray, w: int, k: int, least:
     lowest = _sliding(rank, w, np.minimum)
     around = np.concatenate((np.full(w - 1, -1), lowest, np.full(w - 1, -1)))
     at = np.flatnonzero(_sliding(around, w, np.maximum) == rank)
-    keys = np.zeros((3, len(rank)), np.uint64)
+    keys = np.zeros((2, len(rank)), np.uint64)
     keys[0] = rank
     keys[1:, at] = hashed(letters, k, at)
     best = least(keys, w)
@@ -88,7 +88,7 @@ def open_closed(p: Syncmer, by_letters: bool, least: Least) -> Places:
         if by_letters:
             inner = (packed(letters)[:, : n - r + 1] ^ beyond(1)) | beyond(min(r, PREFIX))
         else:
-            inner = hashed(letters, r, np.arange(n - r + 1))
+            inner = hashed(letters, r)
         best = least(inner, slots)
         slot = best - np.arange(len(best))
         kinds = [(0, p.open_tmer) if p.open and (i % w if p.modulo else i) == offset else (1, p.closed_tmer) if p.closed and i in (0, slots - 1) else (2, p.other_tmer) for i in range(slots)]

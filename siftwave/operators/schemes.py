@@ -25,6 +25,7 @@ from . import nested as N
 from . import orders as O
 from . import suffixes as S
 from .orders import Order, Shape
+from .ranks import cut, least_keys
 
 # executors need no copy of this module: its functions travel with the tasks
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,6 +33,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Windows in a chunk; an Arrow batch holds up to 10,000 chunks' keys.
 CHUNK = 256
 
+#: Windows in a chunk that gives no row for a window and has no strings of keys.
+LONG_CHUNK = 4096
+
+#: Letters that are looked at together, so that their arrays stay in a core's cache.
+BLOCK = 1 << 16
+
 #: Digits of a position in a key.
 PLACE = 12
 
@@ -193,36 +200,22 @@ def window_key(d: Dialect, scheme: Scheme, w: int, k: int, sigma: int, lmer: str
     return f"CASE WHEN {j} > 0 AND {j} >= {l - r} THEN 'z' ELSE substring({lmer} || {lmer}, {d.integer(f'2 * {j} + 1')}, {2 * l}) END"
 
 
-def chunks(seqs: DataFrame, w: int, k: int, chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(seq_id, n, start, count, lead, data): windows start up to start + count; data begins at window start - lead, lead being 1 but for the first chunk. Sequences shorter than a window have none."""
+def chunk_size(*schemes: Scheme) -> int:
+    """Windows in a chunk where windows have no rows."""
+    return LONG_CHUNK if all(s.by_letters for s in schemes) else CHUNK
+
+
+def chunks(seqs: DataFrame, w: int, k: int, chunk: int = CHUNK, keep: tuple[str, ...] = (), back: int = 1) -> DataFrame:
+    """(seq_id, n, start, count, lead, data): windows start up to start + count; data begins at window start - lead, lead being ``back``, or less if there are fewer before it. Sequences shorter than a window have none."""
     l = w + k - 1
     n = F.length("bytes")
     windows = F.col("n") - (l - 1)
     rows = seqs.withColumn("n", n).where(F.col("n") >= l)
     rows = rows.select("seq_id", "n", "bytes", *keep, F.explode_outer(F.sequence(F.lit(0), windows - 1, F.lit(chunk))).alias("start"))
-    rows = rows.withColumns({"count": F.least(F.lit(chunk), windows - F.col("start")), "lead": F.when(F.col("start") > 0, 1).otherwise(0)})
+    rows = rows.withColumns({"count": F.least(F.lit(chunk), windows - F.col("start")), "lead": F.least(F.lit(back), F.col("start"))})
     return rows.select("seq_id", *keep, "n", "start", "count", "lead", F.substring("bytes", F.col("start") - F.col("lead") + 1, F.col("count") + F.col("lead") + (l - 1)).alias("data"))
 
 
-def least_keys(words: np.ndarray, w: int, rightmost: bool | np.ndarray = False) -> np.ndarray:
-    """The place of the least of each w consecutive keys, the first of equals or the last; rightmost may say it for each key. words: a column of 64-bit numbers for each 8 bytes of the keys."""
-
-    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Where key b is less than key a, or as little if the last is wanted."""
-        out = rightmost[a] if isinstance(rightmost, np.ndarray) else np.full(len(a), rightmost)
-        for x in words[::-1]:
-            x, y = x[a], x[b]
-            out = (y < x) | ((y == x) & out)
-        return out
-
-    best, have = np.arange(words.shape[1] if len(words) else 0), 1
-    while have < w:
-        step = min(have, w - have)
-        a, b = best[:-step], best[step:]
-        best, have = np.where(better(a, b), b, a), have + step
-    return best
-
-
 def _key_words(keys: pa.ListArray) -> np.ndarray:
     """The keys of all lists, strings of one length, as big-endian numbers: a row for each 8 bytes."""
     flat = keys.flatten()
@@ -261,41 +254,53 @@ def binary_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def sampled(batches: Iterator[pa.RecordBatch], scheme: Scheme, w: int, k: int, keyed: int, width: int) -> Iterator[Windows]:
-    """What each window of batches of chunks (start, count, lead, data, and keys if keyed) samples. keyed: k-mers in a window whose keys there are; width: letters to give with each window."""
-    for b in (part.slice(lo, 1024) for part in batches for lo in range(0, len(part), 1024)):
-        start, count, lead = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("start", "count", "lead"))
-        if scheme.by_letters or width:
+class Places(NamedTuple):
+    """Some chunks of a batch: of each its window number, how many windows it has and how many stand before them, where its first window, those before it too, stands in ``place``, and its letters in ``letters``. place: where in its window each one samples."""
+
+    batch: pa.RecordBatch
+    start: np.ndarray
+    count: np.ndarray
+    lead: np.ndarray
+    base: np.ndarray
+    place: np.ndarray
+    letters: np.ndarray
+    offsets: np.ndarray
+
+
+def places(batches: Iterator[pa.RecordBatch], scheme: Scheme, w: int, k: int, keyed: int) -> Iterator[Places]:
+    """What each window of batches of chunks (start, count, lead, data, and keys if keyed) samples, up to BLOCK letters at a time. keyed: k-mers in a window whose keys there are."""
+    for part in batches:
+        for lo, hi in cut(binary_rows(part.column(part.schema.get_field_index("data")))[1], BLOCK):
+            b = part.slice(lo, hi - lo)
+            start, count, lead = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("start", "count", "lead"))
             letters, offsets = binary_rows(b.column(b.schema.get_field_index("data")))
-        if keyed or not scheme.by_letters:
-            keys = b.column(b.schema.get_field_index("keys"))
-            many = np.diff(keys.offsets.to_numpy())
-        else:
-            many = count + lead
-        first = np.cumsum(many) - many
-        if keyed:
-            best = least_keys(_key_words(keys), keyed, tie_sides(scheme, keys))
-        elif scheme.by_letters:  # all places of the letters at once, chunks' ends too, where no window is
-            at = np.arange(int(many.sum())) - np.repeat(first, many)
-            best = scheme.letter_places(letters, w, k)[np.repeat(offsets[:-1], many) + at] + at + np.repeat(first, many)
-        else:
-            best = keys.flatten().to_numpy() + np.repeat(first, many)
-        row = np.repeat(np.arange(len(start)), count)
-        i = np.arange(len(row)) - (np.cumsum(count) - count)[row]
-        shift = (start - lead)[row]
-
-        def place(j: np.ndarray) -> np.ndarray:
-            """What window j of each row's chunk samples."""
-            at = best[np.maximum(first[row] + j, 0)] - first[row]
-            return shift + (j + (at - j) % w if scheme.mod else at)
-
-        j = i + lead[row]
+            if scheme.by_letters:  # all places of the letters at once, chunks' ends too, where no window is
+                base, place = offsets[:-1], scheme.letter_places(letters, w, k)
+            else:
+                keys = b.column(b.schema.get_field_index("keys"))
+                many = np.diff(keys.offsets.to_numpy()).astype(np.int64)
+                base = np.cumsum(many) - many
+                if keyed:
+                    best = least_keys(_key_words(keys), keyed, tie_sides(scheme, keys))
+                    place = best - np.arange(len(best))
+                else:
+                    place = keys.flatten().to_numpy() - (np.arange(int(many.sum())) - np.repeat(base, many))
+            yield Places(b, start, count, lead, base, place % w if scheme.mod else place, letters, offsets)
+
+
+def sampled(batches: Iterator[pa.RecordBatch], scheme: Scheme, w: int, k: int, keyed: int, width: int) -> Iterator[Windows]:
+    """What each window of batches of chunks, as of places(), samples. width: letters to give with each window."""
+    for x in places(batches, scheme, w, k, keyed):
+        row = np.repeat(np.arange(len(x.start)), x.count)
+        j = np.arange(len(row)) - (np.cumsum(x.count) - x.count - x.lead)[row]
+        at, shift = x.base[row] + j, (x.start - x.lead)[row] + j
+        first = j == 0
         pieces = None
         if width:
-            at = (offsets[row] + j - 1)[:, None] + np.arange(width)
+            l = (x.offsets[row] + j - 1)[:, None] + np.arange(width)
             # the first window of a sequence has none before it
-            pieces = np.where((at < offsets[row][:, None]), np.uint8(0), letters[np.maximum(at, 0)])
-        yield Windows(b, row, start[row] + i, place(j), place(j - 1), j == 0, pieces)
+            pieces = np.where((l < x.offsets[row][:, None]), np.uint8(0), x.letters[np.maximum(l, 0)])
+        yield Windows(x.batch, row, shift, shift + x.place[at], shift - 1 + x.place[np.where(first, at, at - 1)], first, pieces)
 
 
 def _picked(scheme: Scheme, w: int, k: int, keyed: int, width: int, kept: list[str]):
