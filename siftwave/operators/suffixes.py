@@ -15,13 +15,14 @@ import numpy as np
 from pyspark import cloudpickle
 
 from ..functions.keys import PREFIX
+from .ranks import dense
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: (letters, w) -> a row of 64-bit numbers for each 8 bytes of the keys of the suffixes at all places. Suffixes that are w places apart or more don't meet.
 Keys = Callable[[np.ndarray, int], np.ndarray]
 
-#: Letters of windows that are ranked as circles together.
+#: Letters of windows that are compared as circles together.
 BLOCK = 1 << 20
 
 
@@ -203,34 +204,104 @@ def least_rotations(letters: np.ndarray, l: int, many: int, least_keys: Callable
     """The place in each window of l letters of the least of its first ``many`` rotations, the first of equals.
 
     The first PREFIX letters of a rotation are those at its place, and near the window's end those of the window's beginning behind them. Where longer rotations are alike in
-    these, the windows concerned are looked at as a whole.
+    these, those rotations are compared further on.
     """
     keys, n = packed(letters), len(letters)
     count = max(0, n - l + 1)
+    if not count:
+        return np.zeros(0, np.int64)
     begin, head = np.arange(count), keys[:, :count]
     many = max(1, min(many, l))
     whole = max(0, min(many, l - PREFIX + 1))
     tie = np.zeros(count, bool)
     if whole:
-        place = least_keys(keys, whole)[:count] - begin
-        tie = least_keys(keys, whole, True)[:count] - begin != place
+        rank = dense(keys)
+        place = least_keys(rank[None], whole)[:count] - begin
+        tie = least_keys(rank[None], whole, True)[:count] - begin != place
         best = keys[:, begin + place]
     else:
         whole, place, best = 1, np.zeros(count, np.int64), _turned(head, head, 0, l)
     for j in range(whole, many):
-        other = _turned(keys[:, j : j + count], head, j, l)
-        less = _less(other, best)
-        tie = (tie & ~less) | (other == best).all(axis=0)
-        place[less] = j
-        best = np.where(less, other, best)
+        # the letters up to the window's end alone make all others greater
+        some = np.flatnonzero((keys[0, j : j + count] & ~beyond(l - j)[0]) <= best[0])
+        other, now = _turned(keys[:, some + j], head[:, some], j, l), best[:, some]
+        less = _less(other, now)
+        tie[some] = (tie[some] & ~less) | (other == now).all(axis=0)
+        place[some[less]] = j
+        best[:, some[less]] = other[:, less]
     if l > PREFIX and tie.any():
-        at = np.flatnonzero(tie)
-        for lo in range(0, len(at), max(1, BLOCK // l)):
-            some = at[lo : lo + max(1, BLOCK // l)]
-            place[some] = np.argmin(circle_ranks(np.lib.stride_tricks.sliding_window_view(letters, l)[some])[:, :many], axis=1)
+        alike, at = Alike(rank), np.flatnonzero(tie)
+        for lo in range(0, len(at), BLOCK // PREFIX):
+            some = at[lo : lo + BLOCK // PREFIX]
+            place[some] = _least_of_tied(keys, some, place[some], best[:, some], l, whole, many, alike)
     return place
 
 
+class Alike:
+    """The places of each rank in order, and how far they follow each other at one distance, PREFIX at most. Of three rotations that begin alike for d letters or more and stand d apart, the one between is never the only least:
+    each is the same d letters and then the next, so they rise, fall or are equal."""
+
+    def __init__(self, rank: np.ndarray):
+        n = len(rank)
+        self.at = np.argsort(rank, kind="stable")
+        self.number = np.empty(n, np.int64)
+        self.number[self.at] = np.arange(n)
+        self.gap = np.full(n, n + 1)
+        same = rank[self.at[1:]] == rank[self.at[:-1]]
+        self.gap[:-1][same] = np.diff(self.at)[same]
+        ends = np.where(np.append(self.gap[1:] != self.gap[:-1], True), np.arange(n) + 1, n)
+        self.end = np.minimum.accumulate(ends[::-1])[::-1]
+
+    def after(self, at: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """The next place of the same rank before limit, those between at one distance left out, or -1."""
+        i = self.number[at]
+        gap, room = self.gap[i], limit - 1 - at
+        steps = np.where(gap <= PREFIX, np.minimum(self.end[i] - i, room // gap), gap <= room)
+        return np.where(steps > 0, self.at[np.minimum(i + steps, len(self.at) - 1)], -1)
+
+
+def _least_of_tied(keys: np.ndarray, begin: np.ndarray, place: np.ndarray, best: np.ndarray, l: int, whole: int, many: int, alike: Alike) -> np.ndarray:
+    """The places of the least rotations of some windows, which begin at ``begin`` and have several that begin with the PREFIX letters of ``best``. These are compared eight letters on at a time, all windows at once."""
+    found = []
+    window = np.flatnonzero(place < whole)
+    at = begin[window] + place[window]
+    while len(window):
+        found.append((window, at - begin[window]))
+        at = alike.after(at, begin[window] + whole)
+        window, at = window[at >= 0], at[at >= 0]
+    for j in range(whole, many):
+        equal = np.flatnonzero((_turned(keys[:, begin + j], keys[:, begin], j, l) == best).all(axis=0))
+        found.append((equal, np.full(len(equal), j)))
+    window, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(window * l + j)
+    window, j = window[order], j[order]
+    out = place.copy()
+    letters = PREFIX
+    while len(window) and letters < l:
+        x = (j + letters) % l
+        tail, left = keys[0][begin[window] + x], (l - x).astype(np.uint64)
+        over = left < 8
+        shift = np.uint64(8) * np.where(over, left, np.uint64(0))
+        wrapped = ((tail >> (np.uint64(64) - shift)) << (np.uint64(64) - shift)) | (keys[0][begin[window]] >> shift)
+        key = np.where(over, wrapped, tail)
+        first = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
+        size = np.diff(np.append(first, len(window)))
+        keep = key == np.repeat(np.minimum.reduceat(key, first), size)
+        window, j, letters = window[keep], j[keep], letters + 8
+        # those between others at one distance, and the only ones of their window
+        new = np.append(True, window[1:] != window[:-1])
+        gap = np.append(0, np.diff(j))
+        between = np.zeros(len(j), bool)
+        between[1:-1] = ~new[1:-1] & ~new[2:] & (gap[1:-1] == gap[2:]) & (gap[1:-1] <= letters)
+        only = new & np.append(new[1:], True)
+        out[window[only]] = j[only]
+        stay = ~between & ~only
+        window, j = window[stay], j[stay]
+    new = np.append(True, window[1:] != window[:-1])[: len(window)]
+    out[window[new]] = j[new]  # equal ones: the first
+    return out
+
+
 def _turned(tail: np.ndarray, head: np.ndarray, j: int, l: int) -> np.ndarray:
     """The first PREFIX letters, l at most, of rotation j: l - j letters of tail, then those of head."""
     if l - j >= PREFIX:

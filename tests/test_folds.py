@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from siftwave.operators import grids, ranks
+from siftwave.operators import suffixes as S
 from siftwave.operators.schemes import get_scheme, least_keys
 
 
@@ -56,3 +57,15 @@ def test_one_number_keeps_the_order():
             assert least_keys(words, 9, side).tolist() == best
 
 
+def test_tied_rotations_are_not_ranked_whole(monkeypatch):
+    """bd_anchor_w256: rotations that begin alike are compared further on, not all rotations of their window."""
+    monkeypatch.setattr(S, "circle_ranks", lambda rows: pytest.fail("all rotations were ranked"))
+    r = random.Random(5)
+    phrase = bytes(r.choice(b"ab") for _ in range(18))
+    texts = [b"a" * 150, b"ab" * 80, phrase * 9, phrase * 4 + b"a" + phrase * 5, b"".join(r.choice([phrase, phrase[::-1]]) for _ in range(9)), (b"a" * 17 + b"b") * 9, (b"a" * 30 + b"b" + b"a" * 33 + b"c") * 3]
+    for text in texts:
+        for l, many in ((17, 17), (40, 37), (65, 50)):
+            expected = [min(range(many), key=lambda j: (text[s + j : s + l] + text[s : s + j], j)) for s in range(len(text) - l + 1)]
+            assert S.least_rotations(np.frombuffer(text, np.uint8), l, many, least_keys).tolist() == expected
+
+
