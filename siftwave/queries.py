@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.keys import complement, low_bits, part, strided_sum
-from .operators import coverage, stats
+from .operators import coverage, folds, stats
 from .operators.grids import Cell, grid_density, run_stats
 from .operators.orders import explicit_directed
 from .operators.schemes import Scheme, explicit_local, get_scheme, sample, sample_pieces, user_scheme
@@ -121,7 +121,7 @@ WIDE = ("sus_antilex_w256", "bd_anchor_w256")
 
 
 def _density(g: Grid) -> Query:
-    return lambda spark, d: stats.density(g.samples(spark, d), "seq_id")
+    return lambda spark, d: folds.density(g.sequences(spark, d), get_scheme(g.scheme, **dict(g.params)), g.w, g.k, g.sigma)
 
 
 _BASE = grid("documents", "Random", 8, 4)
@@ -243,13 +243,13 @@ def queries() -> dict[str, Query]:
         "fasta_density": fasta_density,
         "stream_samples": stream_samples,
         "evaluate_grid": evaluated,
-        "density_user_keys": lambda s, d: stats.density(sample(_BASE.sequences(s, d), user_scheme(keys=letter_sums), 8, 4), "seq_id"),
-        "density_user_places": lambda s, d: stats.density(sample(_BASE.sequences(s, d), user_scheme(places=last_largest), 8, 4), "seq_id"),
-        "density_search_winner": lambda s, d: stats.density(sample(_SMALL._replace(sigma=2).sequences(s, d), search.winner(search.best_order(s, 3, 2, 2, True).first(), 2, 2), 3, 2, 2), "seq_id"),
+        "density_user_keys": lambda s, d: folds.density(_BASE.sequences(s, d), user_scheme(keys=letter_sums), 8, 4),
+        "density_user_places": lambda s, d: folds.density(_BASE.sequences(s, d), user_scheme(places=last_largest), 8, 4),
+        "density_search_winner": lambda s, d: folds.density(_SMALL._replace(sigma=2).sequences(s, d), search.winner(search.best_order(s, 3, 2, 2, True).first(), 2, 2), 3, 2, 2),
         "all_stats": lambda s, d: run_stats(_BASE.sequences(s, d), get_scheme("Random"), 8, 4),
         "grid_density": lambda s, d: grid_density(_BASE.sequences(s, d), grid_cells()),
-        "density_total": lambda s, d: stats.density(_BASE.samples(s, d)),
-        "density_rightmost": lambda s, d: stats.density(sample(_SMALL.sequences(s, d), get_scheme("ThresholdABB", thr=100)._replace(rightmost=True), 8, 4), "seq_id"),
+        "density_total": lambda s, d: folds.density(_BASE.sequences(s, d), get_scheme(_BASE.scheme), _BASE.w, _BASE.k, by=()),
+        "density_rightmost": lambda s, d: folds.density(_SMALL.sequences(s, d), get_scheme("ThresholdABB", thr=100)._replace(rightmost=True), 8, 4),
         "distinct_positions": lambda s, d: stats.distinct_positions(_BASE.samples(s, d)),
         "distinct_positions_bd_anchor": lambda s, d: stats.distinct_positions(_BACK.samples(s, d)),
         "hist_positions": lambda s, d: stats.positions(_BASE.samples(s, d)),

@@ -7,9 +7,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftwave.operators import grids, ranks
+from siftwave import queries as core
+from siftwave.operators import folds, grids, ranks, stats
 from siftwave.operators import suffixes as S
-from siftwave.operators.schemes import get_scheme, least_keys
+from siftwave.operators.schemes import get_scheme, least_keys, sample
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def some_texts():
@@ -17,6 +20,11 @@ def some_texts():
     return [bytes(r.randrange(4) for _ in range(n)) for n in (0, 1, 11, 12, 300, 900)] + [b"\0" * 60, bytes(r.randrange(256) for _ in range(200)), b"ab" * 90]
 
 
+@pytest.fixture(scope="module")
+def seqs(spark):
+    return spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(some_texts())], "seq_id long, bytes binary").repartition(3).cache()
+
+
 def batch_of(texts, l, chunk):
     """Chunks as they come to a task."""
     rows = [(s, min(chunk, len(t) - l + 1 - s), int(s > 0), t[s - (s > 0) : s + chunk + l - 1]) for t in texts for s in range(0, len(t) - l + 1, chunk)]
@@ -69,3 +77,20 @@ def test_tied_rotations_are_not_ranked_whole(monkeypatch):
             assert S.least_rotations(np.frombuffer(text, np.uint8), l, many, least_keys).tolist() == expected
 
 
+@pytest.mark.parametrize(("name", "p", "w", "k"), [("Random", {}, 8, 4), ("OpenClosed", {"r": 4, "open": 1}, 8, 8), ("AntiLex", {"mod": 1, "r": 2}, 5, 4), ("BdAnchor", {"r": 1}, 20, 2), ("SusABB2", {}, 6, 3), ("ThresholdABB", {"thr": 2}, 8, 4), ("Lex", {}, 1, 1)])
+@pytest.mark.parametrize("chunk", [7, 300])
+def test_folds_are_the_rows(seqs, name, p, w, k, chunk):
+    for scheme in (get_scheme(name, **p), get_scheme(name, **p)._replace(places=None, words=None)):
+        samples = sample(seqs, scheme, w, k)
+        assert sorted(folds.density(seqs, scheme, w, k, chunk=chunk).collect()) == sorted(stats.density(samples, "seq_id").collect())
+        assert folds.density(seqs, scheme, w, k, by=(), chunk=chunk).collect() == stats.density(samples).collect()
+        assert sorted(folds.distinct_positions(seqs, scheme, w, k, chunk=chunk).collect()) == sorted(stats.distinct_positions(samples).collect())
+    assert folds.density(seqs.limit(0), get_scheme(name, **p), w, k, by=()).collect() == [(0, None, None)]
+
+
+@pytest.mark.parametrize("name", ["density_random_w64"])
+def test_no_row_for_a_window(spark, name):
+    plan = core.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "win#" not in plan and "pos#" not in plan
+
+
