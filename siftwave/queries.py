@@ -250,8 +250,8 @@ def queries() -> dict[str, Query]:
         "grid_density": lambda s, d: grid_density(_BASE.sequences(s, d), grid_cells()),
         "density_total": lambda s, d: folds.density(_BASE.sequences(s, d), get_scheme(_BASE.scheme), _BASE.w, _BASE.k, by=()),
         "density_rightmost": lambda s, d: folds.density(_SMALL.sequences(s, d), get_scheme("ThresholdABB", thr=100)._replace(rightmost=True), 8, 4),
-        "distinct_positions": lambda s, d: stats.distinct_positions(_BASE.samples(s, d)),
-        "distinct_positions_bd_anchor": lambda s, d: stats.distinct_positions(_BACK.samples(s, d)),
+        "distinct_positions": lambda s, d: folds.distinct_positions(_BASE.sequences(s, d), get_scheme("Random"), 8, 4),
+        "distinct_positions_bd_anchor": lambda s, d: folds.distinct_positions(_BACK.sequences(s, d), get_scheme("BdAnchor", r=1), 8, 2),
         "hist_positions": lambda s, d: stats.positions(_BASE.samples(s, d)),
         "hist_distances": lambda s, d: stats.distances(_BACK.samples(s, d)),
         "transfer_matrix": lambda s, d: stats.transfer(_BASE.samples(s, d)),
