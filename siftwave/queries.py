@@ -14,11 +14,11 @@ from .functions.keys import complement, low_bits, part, strided_sum
 from .operators import coverage, folds, stats
 from .operators.grids import Cell, grid_density, run_stats
 from .operators.orders import explicit_directed
-from .operators.schemes import Scheme, explicit_local, get_scheme, sample, sample_pieces, user_scheme
+from .operators.schemes import Scheme, explicit_local, get_scheme, sample, user_scheme
 from .plans import bounds, debruijn, explore, oracle, search
 from .sources import sinks
 from .sources.records import file_pieces
-from .sources.text import sequences
+from .sources.text import sequences, spelled
 from .streaming.sampler import STORE, sample_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,10 +179,8 @@ def selections(spark: SparkSession, _: str) -> DataFrame:
 def fasta_density(spark: SparkSession, d: str) -> DataFrame:
     """Densities of documents, written as FASTA of four letters and read again in splits as pieces, whatever the lengths."""
     path = sinks.shared_folder(spark)
-    four = _BASE._replace(sigma=4).sequences(spark, d)
-    acgt = F.expr("translate(regexp_replace(hex(bytes), '0(.)', '$1'), '0123', 'ACGT')")
-    sinks.write_fasta(four.select("seq_id", F.encode(acgt, "UTF-8").alias("bytes")), path)
-    return stats.density(sample_pieces(file_pieces(spark, path, "fasta", 1 << 22), get_scheme("Random"), 8, 4), "seq_id")
+    sinks.write_fasta(spelled(_BASE.sequences(spark, d), b"ACGT"), path)
+    return folds.density_of_pieces(file_pieces(spark, path, "fasta", 1 << 22), get_scheme("Random"), 8, 4)
 
 
 def stream_samples(spark: SparkSession, d: str) -> DataFrame:

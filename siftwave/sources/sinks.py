@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grids import Cell, grid_density, grid_stats
 from ..operators.schemes import get_scheme
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def evaluate(seqs: DataFrame, schemes: Iterable[tuple[str, dict[str, Any]]], ws: Iterable[int], ks: Iterable[int], sigma: int = 256, full: bool = False) -> DataFrame:
     """A record for each scheme, w and k: sigma, w, k, l, tp, density (null without windows), and with full positions, dists and transfer. The sequences are read once for all records."""
@@ -39,10 +44,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/siftwave/{uuid.uuid4().hex}"
 
 
+def _fasta_records(width: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = (x.decode() for x in b.column(1).to_pylist())
+            records = ["\n".join([f">{name}", *(text[i : i + width] for i in range(0, len(text), width))]) for name, text in zip(b.column(0).to_pylist(), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.string())], ["value"])
+
+    return of
+
+
 def write_fasta(seqs: DataFrame, path: str, width: int = 60) -> None:
     """Sequences (seq_id, bytes) of printable letters as FASTA, a folder of files; lines of width letters."""
-    lines = F.rtrim(F.regexp_replace(F.decode("bytes", "UTF-8"), f"(.{{{width}}})", "$1\n"))
-    seqs.select(F.concat_ws("\n", F.concat(F.lit(">"), F.col("seq_id").cast("string")), F.when(F.length("bytes") > 0, lines)).alias("value")).write.mode("overwrite").text(path)
+    rows = seqs.select(F.coalesce(F.col("seq_id").cast("string"), F.lit("")).alias("seq_id"), F.coalesce("bytes", F.lit(b"")).alias("bytes"))
+    rows.mapInArrow(_fasta_records(width), "value string").write.mode("overwrite").text(path)
 
 
 def write_results(df: DataFrame, path: str) -> None:

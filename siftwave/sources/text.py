@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import recode
 from .records import file_pieces, whole_sequences
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def sequences(df: DataFrame, id_col: str, text_col: str, sigma: int = 256) -> DataFrame:
     """(seq_id, bytes) of a text column: UTF-8 bytes, recoded to letters 0 up to sigma (2, 4 or 256) by their lowest bits. Null text is an empty sequence."""
@@ -19,6 +27,25 @@ def recoded(seqs: DataFrame, sigma: int) -> DataFrame:
     return seqs.withColumn("bytes", F.unhex(F.expr(recode("hex(bytes)", sigma))))
 
 
+def _spelled(alphabet: bytes, at: int):
+    table = np.frombuffer(alphabet, np.uint8)[np.arange(256) % len(alphabet)]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(at)
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            made = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(table[data])])
+            yield b.set_column(at, b.schema.field(at), made)
+
+    return of
+
+
+def spelled(seqs: DataFrame, alphabet: bytes) -> DataFrame:
+    """Sequences (seq_id, bytes) with the signs of an alphabet, of 2, 4, ... or 256, in place of letters, by their lowest bits."""
+    return seqs.mapInArrow(_spelled(alphabet, seqs.columns.index("bytes")), seqs.schema)
+
+
 def letters(codes: Column) -> Column:
     """Bytes of an array of letters."""
     return F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")), ""))

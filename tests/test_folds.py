@@ -6,11 +6,14 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from siftwave import queries as core
 from siftwave.operators import coverage, folds, grids, ranks, stats
 from siftwave.operators import suffixes as S
 from siftwave.operators.schemes import get_scheme, least_keys, sample
+from siftwave.sources import sinks
+from siftwave.sources.text import recoded, spelled
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -88,7 +91,7 @@ def test_folds_are_the_rows(seqs, name, p, w, k, chunk):
     assert folds.density(seqs.limit(0), get_scheme(name, **p), w, k, by=()).collect() == [(0, None, None)]
 
 
-@pytest.mark.parametrize("name", ["density_random_w64", "distinct_positions"])
+@pytest.mark.parametrize("name", ["density_random_w64", "distinct_positions", "fasta_density"])
 def test_no_row_for_a_window(spark, name):
     plan = core.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "win#" not in plan and "pos#" not in plan
@@ -106,3 +109,10 @@ def test_islands_inside_are_not_dealt(seqs, monkeypatch, chunk):
         assert dealt[0].count() < len(expected) / 2
 
 
+def test_spelled_and_written(spark, seqs, tmp_path):
+    acgt = spelled(seqs, b"ACGT")
+    assert sorted(acgt.select("seq_id", F.col("bytes").cast("string")).collect()) == sorted(recoded(seqs, 4).select("seq_id", F.translate(F.regexp_replace(F.hex("bytes"), "0(.)", "$1"), "0123", "ACGT")).collect())
+    sinks.write_fasta(acgt, str(tmp_path / "x"), 7)
+    lines = [x.value for x in spark.read.text(str(tmp_path / "x")).collect()]
+    assert all(x.startswith(">") or 0 < len(x) <= 7 for x in lines) and sum(x.startswith(">") for x in lines) == len(some_texts())
+    assert sum(len(x) for x in lines if not x.startswith(">")) == sum(map(len, some_texts()))
