@@ -15,7 +15,7 @@ import numpy as np
 from pyspark import cloudpickle
 
 from ..functions.keys import PREFIX
-from .ranks import dense
+from .ranks import dense, one_number
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -165,18 +165,24 @@ def least_suffixes(keys: np.ndarray, w: int, k: int, least_keys: Callable[[np.nd
     l, n = w + k - 1, keys.shape[1]
     count = max(0, n - l + 1)
     whole = max(0, min(w, l - PREFIX + 1))
-    begin = np.arange(count)
+    if not count or whole == w:
+        return least_keys(keys, w)[:count] - np.arange(count)
     if whole:
-        place = least_keys(keys, whole)[:count] - begin
-        best = keys[:, begin + place]
+        # letters that are replaced by the greatest make no key less, so only windows whose least would be a cut suffix are looked at closer
+        x = one_number(keys, 1)[0][None]
+        place = least_keys(x, w)[:count] - np.arange(count)
+        some = np.flatnonzero(place >= whole)
+        now = least_keys(x, whole)[some] - some
+        best = keys[:, some + now]
     else:
-        whole, place = 1, np.zeros(count, np.int64)
+        whole, place, some, now = 1, np.zeros(count, np.int64), np.arange(count), np.zeros(count, np.int64)
         best = keys[:, :count] | _beyond_all(l, len(keys))
     for j in range(whole, w):
-        other = keys[:, j : j + count] | _beyond_all(l - j, len(keys))
+        other = keys[:, some + j] | _beyond_all(l - j, len(keys))
         less = _less(other, best)
-        place[less] = j
+        now[less] = j
         best = np.where(less, other, best)
+    place[some] = now
     return place
 
 

@@ -80,6 +80,15 @@ def test_tied_rotations_are_not_ranked_whole(monkeypatch):
             assert S.least_rotations(np.frombuffer(text, np.uint8), l, many, least_keys).tolist() == expected
 
 
+def test_few_suffixes_are_compared_alone(monkeypatch):
+    """sus_antilex_w256: only windows whose least suffix may be a cut one are looked at closer."""
+    seen, plain = [], S._less
+    monkeypatch.setattr(S, "_less", lambda a, b: seen.append(a.shape[1]) or plain(a, b))
+    text = np.random.default_rng(6).integers(0, 256, 4000).astype(np.uint8)
+    get_scheme("SusAntiLex").places(text, 256, 2)
+    assert sum(seen) < 0.2 * 15 * len(text)
+
+
 @pytest.mark.parametrize(("name", "p", "w", "k"), [("Random", {}, 8, 4), ("OpenClosed", {"r": 4, "open": 1}, 8, 8), ("AntiLex", {"mod": 1, "r": 2}, 5, 4), ("BdAnchor", {"r": 1}, 20, 2), ("SusABB2", {}, 6, 3), ("ThresholdABB", {"thr": 2}, 8, 4), ("Lex", {}, 1, 1)])
 @pytest.mark.parametrize("chunk", [7, 300])
 def test_folds_are_the_rows(seqs, name, p, w, k, chunk):
@@ -91,7 +100,7 @@ def test_folds_are_the_rows(seqs, name, p, w, k, chunk):
     assert folds.density(seqs.limit(0), get_scheme(name, **p), w, k, by=()).collect() == [(0, None, None)]
 
 
-@pytest.mark.parametrize("name", ["density_random_w64", "distinct_positions", "fasta_density"])
+@pytest.mark.parametrize("name", ["density_random_w64", "distinct_positions", "fasta_density", "bd_anchor_w256", "sus_antilex_w256"])
 def test_no_row_for_a_window(spark, name):
     plan = core.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "win#" not in plan and "pos#" not in plan
