@@ -100,7 +100,7 @@ def test_folds_are_the_rows(seqs, name, p, w, k, chunk):
     assert folds.density(seqs.limit(0), get_scheme(name, **p), w, k, by=()).collect() == [(0, None, None)]
 
 
-@pytest.mark.parametrize("name", ["density_random_w64", "distinct_positions", "fasta_density", "bd_anchor_w256", "sus_antilex_w256"])
+@pytest.mark.parametrize("name", ["density_random_w64", "density_open_documents", "distinct_positions", "fasta_density", "bd_anchor_w256", "sus_antilex_w256"])
 def test_no_row_for_a_window(spark, name):
     plan = core.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "win#" not in plan and "pos#" not in plan
