@@ -1,6 +1,6 @@
 """Orders that look inside k-mers, for all k-mers of an Arrow batch: the least r-mer of each by nested minima, runs of letters by where the next run ends.
 
-What k-mers share is worked out once: r-mers have their keys by what they are, minima double, and a k-mer is hashed only where it can decide between equals.
+What k-mers share is worked out once: r-mers have their keys by what they are, minima double, and a k-mer is hashed only where it can decide between equals, and short ones not again in later blocks.
 """
 
 from __future__ import annotations
@@ -13,11 +13,16 @@ from pyspark import cloudpickle
 
 from ..functions.keys import PREFIX
 from .orders import Syncmer
-from .ranks import dense, md5_of_hex
+from .ranks import dense, md5_of_hex, one_number
 from .suffixes import beyond, packed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: K-mers of one length whose digests are kept, as a power of two; 16 bytes each.
+SLOT_BITS = 20
+
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
 Least = Callable[..., np.ndarray]
 Places = Callable[[np.ndarray, int, int], np.ndarray]
 
@@ -28,15 +33,65 @@ def kmers(letters: np.ndarray, k: int) -> np.ndarray:
     return np.stack([raw[i : i + n] >> np.uint64(8 * max(0, 8 - (k - i))) for i in range(0, k, 8)])
 
 
-def hashed(letters: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Ranks, as a row of numbers, by the MD5 of the hex of the k letters from each of some places on, or from all; each different k-mer is hashed once."""
-    words = kmers(letters, k)
+class Digests:
+    """The first 64 bits of the MD5 of the hex of k-mers of up to 8 letters, kept for the blocks to come; a k-mer takes the slot of another."""
+
+    def __init__(self):
+        self.tables: dict[int, np.ndarray] = {}
+
+    def __reduce__(self):
+        return Digests, ()  # what is kept doesn't travel
+
+    def of(self, words: np.ndarray, k: int) -> np.ndarray:
+        """words: k-mers as of kmers(), one row."""
+        if k not in self.tables:
+            self.tables[k] = np.zeros((1 << SLOT_BITS, 2), np.uint64).T
+            self.tables[k][0, 0] = 1  # the k-mer of zeros isn't there yet; the one of number 1 has another slot
+        known, digests = self.tables[k]
+        slot = ((words * _SPREAD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        out = digests[slot]
+        new = np.flatnonzero(known[slot] != words)
+        if len(new):
+            some, slot = words[new], slot[new]
+            out[new] = found = md5_of_hex((some << np.uint64(64 - 8 * k)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :k])[0]
+            known[slot] = some
+            last = known[slot] == some
+            digests[slot[last]] = found[last]
+        return out
+
+
+_DIGESTS = Digests()
+
+
+def _distinct(x: np.ndarray) -> int:
+    x = np.sort(x)
+    return int(np.count_nonzero(x[1:] != x[:-1])) + min(len(x), 1)
+
+
+def _told_apart(found: np.ndarray, words: np.ndarray, reach: int | None) -> bool:
+    """Whether different words less than ``reach`` places apart, or any, have different numbers."""
+    if reach is None or reach > 32:
+        return _distinct(found) == _distinct(words)
+    return not any(((found[d:] == found[:-d]) & (words[d:] != words[:-d])).any() for d in range(1, min(reach, len(words))))
+
+
+def _place_bits(n: int) -> int:
+    return max(1, (n - 1).bit_length())
+
+
+def hashed(letters: np.ndarray, k: int, at: np.ndarray | None = None, bits: int = 0, reach: int | None = None) -> np.ndarray:
+    """Numbers, as a row, in the order of the MD5 of the hex of the k letters from each of some places on, or from all: the MD5's first ``bits`` bits, by default as many as leave room for a place, or ranks where these don't tell k-mers apart. reach: k-mers that many places apart or more don't meet."""
+    words = kmers(letters, k)  # one row up to 8 letters
     if at is None:
         at = np.arange(words.shape[1])
     else:
         words = words[:, at]
     if not len(at):
         return np.zeros((1, 0), np.uint64)
+    if k <= 8:
+        found = _DIGESTS.of(words[0], k) >> np.uint64(64 - (bits or 64 - _place_bits(len(at))))
+        if _told_apart(found, words[0], reach):
+            return found[None]
     number = dense(words)
     first = np.empty(int(number.max()) + 1, np.int64)
     first[number] = at
@@ -59,15 +114,21 @@ def _sliding(x: np.ndarray, w: int, better: Callable[[np.ndarray, np.ndarray], n
 
 def tied_by_hash(words: np.ndarray, letters: np.ndarray, w: int, k: int, least: Least) -> np.ndarray:
     """The place in each window of the least of its w k-mers by words, then by their MD5, then the first. Only k-mers that no other of some window is less than are hashed."""
-    rank = dense(words)
-    if len(rank) < w:
+    n = words.shape[1]
+    if n < w:
         return np.zeros(0, np.int64)
+    rank, have = one_number(words)
+    if have > 8:
+        rank = dense(words)
+        have = int(rank.max()).bit_length()
+    rank = rank.astype(np.int8 if have < 7 else np.int64)
     lowest = _sliding(rank, w, np.minimum)
-    around = np.concatenate((np.full(w - 1, -1), lowest, np.full(w - 1, -1)))
+    none = np.full(w - 1, -1, rank.dtype)
+    around = np.concatenate((none, lowest, none))
     at = np.flatnonzero(_sliding(around, w, np.maximum) == rank)
-    keys = np.zeros((2, len(rank)), np.uint64)
+    keys = np.zeros((2, n), np.uint64)
     keys[0] = rank
-    keys[1:, at] = hashed(letters, k, at)
+    keys[1:, at] = hashed(letters, k, at, max(1, 64 - _place_bits(n) - have), w)
     best = least(keys, w)
     return best - np.arange(len(best))
 
@@ -85,17 +146,21 @@ def open_closed(p: Syncmer, by_letters: bool, least: Least) -> Places:
         offset = p.offset if p.offset is not None else ((k - r) % w if p.modulo else k - r) // 2
         if p.modulo:
             offset %= w
+        kinds = [(0, p.open_tmer) if p.open and (i % w if p.modulo else i) == offset else (1, p.closed_tmer) if p.closed and i in (0, slots - 1) else (2, p.other_tmer) for i in range(slots)]
+        kind, by_rmer = (np.array(x) for x in zip(*kinds, strict=True))
+        kinds_alone = not (by_rmer.any() or p.anti_tmer)
         if by_letters:
             inner = (packed(letters)[:, : n - r + 1] ^ beyond(1)) | beyond(min(r, PREFIX))
         else:
-            inner = hashed(letters, r)
+            inner = hashed(letters, r, reach=slots if kinds_alone else w + slots)
         best = least(inner, slots)
         slot = best - np.arange(len(best))
-        kinds = [(0, p.open_tmer) if p.open and (i % w if p.modulo else i) == offset else (1, p.closed_tmer) if p.closed and i in (0, slots - 1) else (2, p.other_tmer) for i in range(slots)]
-        kind, by_rmer = (np.array(x) for x in zip(*kinds, strict=True))
-        rmer = inner[:, best]
-        other = ~rmer if p.anti_tmer else np.zeros_like(rmer)
-        return tied_by_hash(np.concatenate((kind[slot][None].astype(np.uint64), np.where(by_rmer[slot].astype(bool), rmer, other))), letters, w, k, least)
+        words = kind[slot][None].astype(np.uint64)
+        if not kinds_alone:
+            rmer = inner[:, best]
+            other = ~rmer if p.anti_tmer else np.zeros_like(rmer)
+            words = np.concatenate((words, np.where(by_rmer[slot].astype(bool), rmer, other)))
+        return tied_by_hash(words, letters, w, k, least)
 
     return of
 

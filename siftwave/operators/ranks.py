@@ -17,6 +17,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _U = np.uint64
 
+#: Rows that are hashed one by one.
+FEW = 512
+
 
 def _bits(x: np.ndarray) -> tuple[np.ndarray, int]:
     """(the bits of x from the first to the last that differ, how many)."""
@@ -108,28 +111,29 @@ def least_keys(words: np.ndarray, w: int, rightmost: bool | np.ndarray = False)
 
 
 _TURNS = np.repeat([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], 4, axis=0).reshape(4, 4, 4).reshape(64).tolist()
+_LEFT, _RIGHT = ([np.array(x, np.uint32) for x in some] for some in (_TURNS, [32 - x for x in _TURNS]))
 _SINES = [int(abs(np.sin(i + 1)) * 2**32) for i in range(64)]
 _HEX = np.frombuffer("".join(f"{i:02X}" for i in range(256)).encode(), np.uint16)
 
 
 def md5_of_hex(rows: np.ndarray) -> np.ndarray:
-    """The MD5 of the upper-case hex of each row of letters, as two numbers: (2, rows). All rows at once if their hex fits in one block of 64 bytes."""
+    """The MD5 of the upper-case hex of each row of letters, as two numbers: (2, rows). All rows at once if their hex fits in one block of 64 bytes and they are not few."""
     n, k = rows.shape
-    if k > 27:
-        digests = b"".join(hashlib.md5(x.tobytes().hex().upper().encode()).digest() for x in rows)
+    if k > 27 or n < FEW:
+        text = rows.tobytes().hex().upper().encode()
+        digests = b"".join([hashlib.md5(text[i : i + 2 * k]).digest() for i in range(0, 2 * k * n, 2 * k)])
         return np.frombuffer(digests, ">u8").reshape(-1, 2).T.astype(_U)
     out = np.empty((2, n), _U)
-    for lo in range(0, n, 8192):  # as many as stay in the cache
-        out[:, lo : lo + 8192] = _md5_block(rows[lo : lo + 8192])
+    for lo in range(0, n, 16384):  # as many as stay in the cache
+        out[:, lo : lo + 16384] = _md5_block(rows[lo : lo + 16384])
     return out
 
 
 def _md5_block(rows: np.ndarray) -> np.ndarray:
     n, k = rows.shape
-    block = np.zeros((n, 64), np.uint8)
+    block = np.zeros((n, 2 * k // 4 * 4 + 4), np.uint8)
     block.view(np.uint16)[:, :k] = np.take(_HEX, rows)
     block[:, 2 * k] = 128
-    block[:, 56:58] = np.frombuffer((16 * k).to_bytes(2, "little"), np.uint8)
     m = np.ascontiguousarray(block.view("<u4").T)
     begin = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
     a, b, c, d = (np.full(n, x, np.uint32) for x in begin)
@@ -149,12 +153,14 @@ def _md5_block(rows: np.ndarray) -> np.ndarray:
             np.bitwise_or(f, b, out=f)
             np.bitwise_xor(f, c, out=f)
             g = (7 * i) % 16
-        f += a
-        f += m[g]
-        f += np.uint32(_SINES[i])
-        np.right_shift(f, np.uint32(32 - _TURNS[i]), out=t)
-        np.left_shift(f, np.uint32(_TURNS[i]), out=f)
-        f |= t
+        np.add(f, a, out=f)
+        if g < len(m):
+            np.add(f, m[g], out=f)
+        # of the rest of the block only the length, in word 14, isn't zero
+        np.add(f, np.array((_SINES[i] + (16 * k if g == 14 else 0)) % 2**32, np.uint32), out=f)
+        np.right_shift(f, _RIGHT[i], out=t)
+        np.left_shift(f, _LEFT[i], out=f)
+        np.bitwise_or(f, t, out=f)
         np.add(f, b, out=a)  # the old a is not needed again
         a, b, c, d = d, a, b, c
     four = np.stack([x + y for x, y in zip((a, b, c, d), begin, strict=True)], axis=1).astype("<u4")

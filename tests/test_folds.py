@@ -1,15 +1,18 @@
 """Counts by chunk and block against the rows of windows, and that none are made for a window."""
 
+import functools
 import hashlib
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from siftwave import queries as core
 from siftwave.operators import coverage, folds, grids, ranks, stats
+from siftwave.operators import nested as N
 from siftwave.operators import suffixes as S
 from siftwave.operators.schemes import get_scheme, least_keys, sample
 from siftwave.sources import sinks
@@ -54,6 +57,14 @@ def test_md5_of_many():
         assert [a.to_bytes(8, "big") + b.to_bytes(8, "big") for a, b in ranks.md5_of_hex(rows).T.tolist()] == digests
 
 
+def test_md5_of_blocks():
+    r = np.random.default_rng(3)
+    for k in (1, 2, 3, 4, 5, 8, 26, 27):
+        rows = r.integers(0, 256, (ranks.FEW + 1, k)).astype(np.uint8)
+        digests = [hashlib.md5(x.tobytes().hex().upper().encode()).digest() for x in rows]
+        assert [a.to_bytes(8, "big") + b.to_bytes(8, "big") for a, b in ranks.md5_of_hex(rows).T.tolist()] == digests
+
+
 def test_one_number_keeps_the_order():
     r = np.random.default_rng(4)
     for top in (1, 3, 1 << 20, 1 << 63):
@@ -89,6 +100,46 @@ def test_few_suffixes_are_compared_alone(monkeypatch):
     assert sum(seen) < 0.2 * 15 * len(text)
 
 
+def test_kmers_are_not_hashed_again(monkeypatch):
+    """density_open_documents: k-mers of earlier blocks have their digests already, which don't travel with tasks."""
+    hashed, plain = [], N.md5_of_hex
+    monkeypatch.setattr(N, "md5_of_hex", lambda rows: hashed.append(len(rows)) or plain(rows))
+    monkeypatch.setattr(N, "_DIGESTS", N.Digests() if hasattr(N, "Digests") else None, raising=False)
+    places = get_scheme("OpenClosed", r=4, open=1).places
+    text = np.random.default_rng(7).integers(0, 4, 4000).astype(np.uint8)
+    first = places(text, 8, 8).tolist()
+    once = sum(hashed)
+    assert once and places(text, 8, 8).tolist() == first and sum(hashed) < 1.05 * once
+    assert N._DIGESTS.tables and len(cloudpickle.dumps(N._DIGESTS)) < 1 << 16
+
+
+@pytest.mark.parametrize("kept", [1, 3, 20])
+@pytest.mark.parametrize("alike", [0, 30, 60, 64])
+def test_digests_that_begin_alike(monkeypatch, kept, alike):
+    """The MD5 decides to its last bit, however few digests are kept."""
+    plain = N.md5_of_hex
+    cut = lambda x: x if alike == 0 else x - x % 2**alike
+    monkeypatch.setattr(N, "md5_of_hex", lambda rows: np.array([[cut(x) for x in plain(rows)[0].tolist()], plain(rows)[1].tolist()], np.uint64).reshape(2, -1))
+    monkeypatch.setattr(N, "SLOT_BITS", kept)
+    monkeypatch.setattr(N, "_DIGESTS", N.Digests())
+
+    @functools.cache
+    def md5(x):
+        digest = hashlib.md5(x.hex().upper().encode()).digest()
+        return cut(int.from_bytes(digest[:8], "big")), digest[8:]
+
+    def key(x):
+        slot = min(range(5), key=lambda j: (md5(x[j : j + 4]), j))
+        return slot != 2, md5(x)
+
+    scheme = get_scheme("OpenClosed", r=4, open=1)
+    for text in (b"\0" * 30 + b"\1" * 20 + b"\0\1" * 20, bytes(np.random.default_rng(8).integers(0, 3, 400).tolist()), bytes(np.random.default_rng(9).integers(0, 256, 400).tolist())):
+        expected = [min(range(8), key=lambda j: (key(text[i + j : i + j + 8]), j)) for i in range(len(text) - 14)]
+        assert scheme.places(np.frombuffer(text, np.uint8), 8, 8).tolist() == expected
+        expected = [min(range(8), key=lambda j: (md5(text[i + j : i + j + 4]), j)) for i in range(len(text) - 10)]
+        assert get_scheme("Random").letter_places(np.frombuffer(text, np.uint8), 8, 4).tolist() == expected
+
+
 @pytest.mark.parametrize(("name", "p", "w", "k"), [("Random", {}, 8, 4), ("OpenClosed", {"r": 4, "open": 1}, 8, 8), ("AntiLex", {"mod": 1, "r": 2}, 5, 4), ("BdAnchor", {"r": 1}, 20, 2), ("SusABB2", {}, 6, 3), ("ThresholdABB", {"thr": 2}, 8, 4), ("Lex", {}, 1, 1)])
 @pytest.mark.parametrize("chunk", [7, 300])
 def test_folds_are_the_rows(seqs, name, p, w, k, chunk):
